@@ -1,6 +1,10 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import exact
+from . import exact, language, mixing
 
-QUERIES = {"op8_exact_dedup": exact.op8_exact_dedup}
+QUERIES = {
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_language_id": language.op9_language_id,
+}
 SQL = {"op8_exact_dedup": exact.SQL8}
