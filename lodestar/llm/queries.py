@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, exact, language, mixing
+from . import contamination, exact, language, mixing, similarity
 
 QUERIES = {
     "op2_decontaminate": contamination.op2_decontaminate,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_ngram_jaccard": similarity.op5_ngram_jaccard,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_language_id": language.op9_language_id,
 }
