@@ -16,6 +16,8 @@ BLOCK = 64
 HEAVY = 200
 #: Up to so many sources are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Documents (16 bytes each) that the pipeline's stage broadcasts at most.
+BROADCAST_DOCS = 500_000
 SEED = 20240817
 
 
@@ -155,3 +157,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes it."""
+    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("mix_copies")).dropDuplicates(["doc_id"])
+    taken = Scratch(spark, "taken").put(taken, "copies")
+    small = F.broadcast(taken) if taken.count() <= BROADCAST_DOCS else taken
+    return docs.join(small, "doc_id").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

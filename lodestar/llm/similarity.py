@@ -369,7 +369,13 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the row with the smallest doc_id of each component of five-word shingles at 0.8."""
-    found = similar_components(docs, 5, 80, 100)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """Pipeline stage: the row with the smallest doc_id of each component of five-word shingles at 0.8.
+
+    Of rows that repeat that doc_id, those with the same text are one.
+    """
+    found = Scratch(spark, "similar-stage").put(similar_components(docs, 5, 80, 100), "found")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    again = not stay.where("count > 1").isEmpty()
+    stay = F.broadcast(stay) if found.count() <= BROADCAST_ROWS else stay
+    out = docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if again else out
