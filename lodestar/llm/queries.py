@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, exact, language, mixing, similarity, training_order
+from . import contamination, exact, language, mixing, similarity, toxicity, training_order
 
 QUERIES = {
     "op1_training_order": training_order.op1_training_order,
     "op2_decontaminate": contamination.op2_decontaminate,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard": similarity.op5_ngram_jaccard,
     "op8_exact_dedup": exact.op8_exact_dedup,
