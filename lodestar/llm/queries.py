@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, exact, html_text, language, mixing, similarity, toxicity, training_order
+from . import contamination, exact, html_text, language, mixing, repeats, similarity, toxicity, training_order
 
 QUERIES = {
     "op1_training_order": training_order.op1_training_order,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard": similarity.op5_ngram_jaccard,
+    "op6_suffix_dedup": repeats.op6_suffix_dedup,
     "op7_html_text": html_text.op7_html_text,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_language_id": language.op9_language_id,
