@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, exact, html_text, language, mixing, repeats, similarity, toxicity, training_order
+from . import contamination, exact, html_text, language, mixing, personal, repeats, similarity, toxicity, training_order
 
 QUERIES = {
+    "op10_personal_data": personal.op10_personal_data,
     "op1_training_order": training_order.op1_training_order,
     "op2_decontaminate": contamination.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
