@@ -1,0 +1 @@
+"""The library's operators bound to the test tables, each with SQL that gives the same rows."""
