@@ -244,11 +244,11 @@ def covered(contexts: list[bytes], before: np.ndarray, group: np.ndarray, powers
         by = np.argsort(key, kind="stable")
         later = by[1:][key[by][1:] == key[by][:-1]]
         out.append(np.stack([rows[later], np.full(len(later), k)], axis=1))
-    if not out:
+    hits = np.concatenate([np.empty((0, 2), np.int64), *out])
+    if not len(hits):
         return np.empty((0, 3), np.int64)
-    hits = np.concatenate(out)
     hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
-    new = np.concatenate([[True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] != hits[:-1, 1] + 1)]) if len(hits) else np.empty(0, bool)
+    new = np.concatenate([[True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] != hits[:-1, 1] + 1)])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(hits)) - 1
     return np.stack([hits[begin, 0], hits[end, 1], hits[begin, 1]], axis=1)
