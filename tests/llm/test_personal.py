@@ -2,18 +2,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.personal import CLASSES, KINDS, LABELS, LabelledSpans, Tagger, base_spans, classes_of, find, find_personal_data, train, written
+from lodestar.llm.personal import CLASSES, KINDS, LABELS, LabelledSpans, Tagger, base_spans, classes_of, find, find_personal_data, trained, written
 
 
 @pytest.fixture(scope="module")
 def tagger():
-    made = LabelledSpans(1)
-    return train([made.window() for _ in range(600)], rounds=6)
+    return trained()
 
 
 def test_base():
-    text = "x a.b@c.de y 1.2.3.4 z 1.2.3.400 4111111111111111 4111 1111 1111 1112 +1 (988) 555-2485 +12"
-    assert written(base_spans(text)) == "email:2:10,ip:13:20,card:33:49,phone:70:87"
+    text = "x a.b@c.de y 1.2.3.4 z 1.2.3.400 w 4111111111111111 v 4111 1111 1111 1112 u +1 (988) 555-2485 t +12"
+    assert written(base_spans(text)) == "email:2:10,ip:13:20,card:35:51,phone:76:93"
     assert base_spans("no digits") == [] and base_spans("é a@b.c")[0][1:] == (2, 7)
 
 
@@ -46,7 +45,7 @@ def test_held_out_windows(tagger):
         got = {(int((labels[s] - 1) // 2), int(s)) for s in np.flatnonzero(labels % 2 == 1)}
         own = {(k, a) for k, a, _ in spans}
         right, found, want = right + len(got & own), found + len(got), want + len(own)
-    assert right / found > 0.8 and right / want > 0.7
+    assert right / found > 0.85 and right / want > 0.75, (right, found, want)
 
 
 def test_base_stays_and_added_spans_keep_off(tagger):
