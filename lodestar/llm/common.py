@@ -14,9 +14,20 @@ from pyspark.sql import types as T
 
 #: Bytes of text that the numpy code works on at once; one longer text is worked on alone.
 PIECE = 1 << 18
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as texts may be long; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = spark.conf.get(name, f"{BATCH_BYTES}b").removesuffix("b")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +39,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestar-")
@@ -46,6 +58,7 @@ def held_out(doc_id: Column) -> Column:
 
 def append_columns(df: DataFrame, fn: Callable, fields: Sequence[T.StructField], drop: Sequence[str] = ()) -> DataFrame:
     """df with new columns in place of any of the same names; fn: RecordBatch -> list of arrays, one for each field."""
+    bound_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
     names, schema = [f.name for f in kept], T.StructType([*kept, *fields])
@@ -59,6 +72,13 @@ def append_columns(df: DataFrame, fn: Callable, fields: Sequence[T.StructField],
     return df.mapInArrow(run, schema)
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names called otherwise, and a function that drops the new ones and calls those as before."""
+    clash = [n for n in names if n in df.columns]
+    aside = df.withColumnsRenamed({n: f"{n}__given" for n in clash})
+    return aside, lambda out: out.drop(*clash).withColumnsRenamed({f"{n}__given": n for n in clash})
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and where each text starts, with the end; null is an empty text."""
     if not len(column):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Powers, Scratch, append_columns, pieces, shingle_hashes, table, utf8, word_hashes
+from .common import ALNUM, Powers, Scratch, append_columns, pieces, set_aside, shingle_hashes, table, utf8, word_hashes
 
 #: Words of a window, and of the shingles of which a window's rarest is its prefix.
 WINDOW, SHINGLE = 10, 4
@@ -186,8 +186,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any word of an occurrence of a window."""
-    found = mark_contamination(docs.withColumn("whole", F.struct(*docs.columns)), table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select("whole.*")
+    names, (safe, back) = docs.columns, set_aside(docs, ("n_words", "n_hit", "hit_spans", "hit_items"))
+    return back(mark_contamination(safe, table(spark, sf_dir, "benchmark")).where("n_hit = 0")).select(*names)
 
 
 SQL2 = r"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, held_out, pieces, table, utf8
+from .common import append_columns, bound_batches, held_out, pieces, set_aside, table, utf8
 
 #: n-gram lengths, hash buckets, added count, and the most texts of each language to learn from.
 ORDERS, BUCKETS, SMOOTHING, TRAIN_TEXTS = (2, 3), 1 << 15, 0.1, 3000
@@ -72,6 +72,7 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
 
     Learns only from rows with a language that are not held out. Nothing to learn from: a model without languages.
     """
+    bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -131,5 +132,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Pipeline stage: documents whose language can be told."""
-    found = identify(docs.withColumn("lang_given", F.col("lang")), train(docs))
-    return found.where((F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= min_score)).select(*docs.columns)
+    names, (safe, back) = docs.columns, set_aside(docs, ("lang_pred", "score", "has_letter"))
+    found = identify(safe, train(docs))
+    return back(found.where((F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= min_score))).select(*names)
