@@ -6,6 +6,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SINGLE = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
 END = 50256
-#: Tokens of a sequence, and slots of a shard file (about 33 MB).
-LENGTH, SHARD_SLOTS = 2048, 8192
+#: Tokens of a sequence, and slots of a shard file (about 17 MB, which a reader holds as a whole).
+LENGTH, SHARD_SLOTS = 2048, 4096
 KEY, ROUNDS = 20240817, 6
 #: Little-endian: sequence, first and last doc_id, number of tokens before the filling; then LENGTH 16-bit ids, then a line feed.
 HEADER = "<qqqq"
@@ -32,10 +33,17 @@ class Encoder:
     """Encodes whole texts. Where no two white-space characters meet, a pattern without look-ahead finds the same pre-tokens, faster."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.single, self.pair = ranks, self.encoding(ranks, SINGLE), re.compile(r"\s\s").search
+
+    @staticmethod
+    def encoding(ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        self.any, self.single = (tiktoken.Encoding("shards", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE))
-        self.pair = re.compile(r"\s\s").search
+        return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def any(self):
+        return self.encoding(self.ranks, PATTERN)
 
     def __call__(self, text: str) -> list[int]:
         return self.any(text) if self.pair(text) else self.single(text)
