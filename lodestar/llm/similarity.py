@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DARK, Powers, Scratch, mixed, pieces, shingle_hashes, table, utf8, word_hashes
 from .components import connected_components
 
-#: Counters of the sketch by which shingles are ordered: about one for 64 shingles, within these bounds.
-SKETCH_LOG2_MIN, SKETCH_LOG2_MAX = 12, 24
+#: Counters of the sketch by which shingles are ordered: one for so many bytes of texts, and of a task's input, within bounds.
+#: A task sends its counters, two bytes each: an eighth of its input at most, however many tasks there are.
+TEXT_BYTES, TASK_BYTES, SKETCH_LOG2_MIN, SKETCH_LOG2_MAX = 400, 16, 12, 24
 #: A list of up to so many sets gives pairs; the sets of a longer one are joined as a family.
 SHORT = 32
 #: Hashes in one block of a family; a task holds two blocks.
@@ -23,7 +25,10 @@ BLOCK_TOKENS = 1 << 20
 BROADCAST_ROWS = 500_000
 #: Bits of a shingle's hash that are kept, of which the last ones stay beside the order when sorting.
 BITS, TAIL = 52, 42
+#: Nodes of classes whose rows have no doc_id; above any doc_id.
+NAMELESS = 1 << 62
 MASK, TAIL_MASK = np.uint64((1 << BITS) - 1), np.uint64((1 << TAIL) - 1)
+#: A set's bitmap has at least so many bits, and at least one for two of its shingles; a power of 2.
 BITMAP = 512
 
 
@@ -69,22 +74,25 @@ def describe(docs: DataFrame, k: int, sketch_bits: int) -> DataFrame:
         names = ["doc_id", "n", "hi", "lo", "bitmap", "part", "counters"]
         for batch in batches:
             rows = batch.num_rows
-            n, ids, bitmaps = np.zeros(rows, np.int32), np.zeros((rows, 2), np.int64), np.zeros((rows, BITMAP // 64), np.int64)
+            n, ids, bitmaps, lengths = np.zeros(rows, np.int32), np.zeros((rows, 2), np.int64), [], [np.zeros(1, np.int64)]
             for a, b, tokens, first in sets_of(batch.column(1), k, powers):
                 n[a:b] = np.diff(first)
                 np.add.at(counters, (tokens >> np.uint64(BITS - sketch_bits)).astype(np.int64), 1)
-                bit = (tokens % np.uint64(BITMAP)).astype(np.int64)
-                odd = np.bincount(np.repeat(np.arange(b - a), n[a:b]) * BITMAP + bit, minlength=(b - a) * BITMAP) & 1
-                bitmaps[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, BITMAP), axis=1).view(np.int64)
+                bits = BITMAP << np.ceil(np.log2(np.maximum(n[a:b] / 2, BITMAP) / BITMAP)).astype(np.int64)
+                begin = np.concatenate([[0], np.cumsum(bits)])
+                text = np.repeat(np.arange(b - a), n[a:b])
+                odd = np.bincount(begin[text] + (tokens.astype(np.int64) & (bits[text] - 1)), minlength=begin[-1]) & 1
+                bitmaps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                lengths.append(bits // 64)
                 for t in range(b - a):
                     ids[a + t] = _identity(tokens[first[t] : first[t + 1]])
-            lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * (BITMAP // 64), pa.array(bitmaps.ravel()))
+            lists = pa.ListArray.from_arrays(np.cumsum(np.concatenate(lengths)).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *bitmaps])))
             nothing = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), lists, *nothing], names=names)
         cut = counters.reshape(-1, part)
         some = np.flatnonzero(cut.any(axis=1))
         for i in some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array([i], pa.int32()), pa.array([cut[i].tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array([i], pa.int32()), pa.array([np.minimum(cut[i], 65535).astype(np.uint16).tobytes()], pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, hi long, lo long, bitmap array<long>, part int, counters binary")
 
@@ -96,7 +104,7 @@ def rarity(described: DataFrame, sketch_bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(raw, np.uint16).astype(np.int64)
         for part, n in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(np.log2(n + 1.0) * 24, 1023).astype(np.uint16).tobytes()], pa.binary())], names=["part", "levels"])
 
@@ -108,6 +116,13 @@ def rarity(described: DataFrame, sketch_bits: int) -> np.ndarray:
     return out
 
 
+def sketch_bits(text_bytes: int, task_bytes: str) -> int:
+    """task_bytes: a size as Spark's settings have it, as 128m or 134217728b."""
+    number, unit = re.fullmatch(r"([0-9]+)\s*([kmgt]?)i?b?", task_bytes.strip().lower()).groups()
+    task = int(number) * 1024 ** " kmgt".index(unit or " ")
+    return int(min(SKETCH_LOG2_MAX, max(SKETCH_LOG2_MIN, min(np.log2(text_bytes / TEXT_BYTES + 1), np.log2(task / TASK_BYTES)))))
+
+
 def least_overlap(n, m, num: int, den: int):
     """Of sets of n and m elements, the smallest intersection with den * intersection >= num * union."""
     return -(-num * (n + m) // (den + num))
@@ -265,7 +280,7 @@ def joined(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list
 
 
 def family_links(units: DataFrame, num: int, den: int) -> DataFrame:
-    """units: family (hi, lo), i, j, side, id (hi, lo), tokens, all rows of a unit in one partition, one unit after another."""
+    """units: family, i, j, side, node, tokens, all rows of a unit in one partition, one unit after another."""
 
     def run(batches):
         key, ids, sets, sides, out = None, [], [], [], []
@@ -273,28 +288,23 @@ def family_links(units: DataFrame, num: int, den: int) -> DataFrame:
         def close():
             if len(ids) > 1:
                 for x, y in joined(sets, np.array(sides), num, den):
-                    out.append((*ids[x], *ids[y]))
+                    out.append((ids[x], ids[y]))
 
         for batch in batches:
-            unit = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            who = list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True))
-            for u, s, x, raw in zip(unit, batch.column(4).to_pylist(), who, batch.column(7), strict=True):
+            unit = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for u, s, x, raw in zip(unit, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
                 if u != key:
                     close()
                     key, ids, sets, sides = u, [], [], []
                 ids.append(x), sides.append(s), sets.append(np.frombuffer(raw.as_buffer(), np.int64).copy())
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["ahi", "alo", "bhi", "blo"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out.clear()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["ahi", "alo", "bhi", "blo"])
-
-    return units.mapInArrow(run, "ahi long, alo long, bhi long, blo long")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-
-def _edges(df: DataFrame) -> DataFrame:
-    return df.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b"))
+    return units.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -303,7 +313,8 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. A row's set has its distinct k-word shingles; with fewer
     words the whole sequence as one; null and texts without words have an empty set and are linked with nothing.
     Two rows link when den * intersection >= num * union. component_id is the smallest doc_id that links reach. Equal
-    sets are one class from the start. A null doc_id is a row of its own class's component. Other columns are dropped.
+    sets are one class from the start. Rows that repeat a doc_id are one node of the graph. Rows without a doc_id take part, but
+    name no component: one of such rows alone has a null component_id. Other columns are dropped.
     Shingles are compared as 52-bit hashes, classes as 128-bit ones.
 
     1. One pass describes each text and counts shingles in a sketch, by which they are ordered, rare ones first.
@@ -313,27 +324,35 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "similar")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(SKETCH_LOG2_MAX, max(SKETCH_LOG2_MIN, np.ceil(np.log2(bytes_in / 400 + 1)))))
+    bits = sketch_bits(bytes_in, spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    tied = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     described = scratch.put(describe(docs, k, bits), "described")
     levels = rarity(described, bits)
     texts = described.where("part is null").select("doc_id", "n", "hi", "lo", "bitmap")
-    classes = scratch.put(texts.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "classes")
+    node = F.coalesce(F.min("doc_id"), F.first("hi").bitwiseOR(F.lit(NAMELESS)).bitwiseAND(F.lit((1 << 63) - 1)))
+    classes = scratch.put(texts.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), node.alias("node"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "classes")
     found = scratch.put(candidates(prefixes(docs, k, num, den, levels), num, den), "candidates")
     pairs = found.groupBy("ahi", "alo", "bhi", "blo").agg(F.any_value("na").alias("na"), F.any_value("nb").alias("nb"), F.max("far").alias("far"))
-    maps = classes.select("hi", "lo", "bitmap")
-    pairs = pairs.join(maps.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("bitmap").alias("abits")), ["ahi", "alo"])
-    pairs = pairs.join(maps.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("bitmap").alias("bbits")), ["bhi", "blo"])
-    apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    maps = classes.select("hi", "lo", "node", "bitmap")
+    pairs = pairs.join(maps.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("node").alias("a"), F.col("bitmap").alias("abits")), ["ahi", "alo"]).drop("ahi", "alo")
+    pairs = pairs.join(maps.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("node").alias("b"), F.col("bitmap").alias("bbits")), ["bhi", "blo"])
+    length = F.least(F.size("abits"), F.size("bbits"))
+
+    def folded(c: str) -> Column:  # sizes of a pair are close, so that one bitmap is at most twice the other
+        halves = F.zip_with(F.slice(c, 1, length), F.slice(c, length + 1, length), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) > length, halves).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(folded("abits"), folded("bbits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = F.col("na") + F.col("nb")
-    pairs = pairs.where(F.col("far") | ((both - apart) * (den + num) >= 2 * num * both)).select("ahi", "alo", "bhi", "blo")
-    families = scratch.put(connected_components(_edges(pairs), scratch, "families").select("id.hi", "id.lo", F.col("root.hi").alias("fhi"), F.col("root.lo").alias("flo")), "families")
+    pairs = pairs.where(F.col("far") | ((both - apart) * (den + num) >= 2 * num * both)).select("a", "b")
+    families = scratch.put(connected_components(pairs, scratch, "families").select(F.col("id").alias("node"), F.col("root").alias("family")), "families")
     # The sets of the families, from the texts.
-    members = families.join(classes.select("hi", "lo", "doc_id", "n"), ["hi", "lo"])
-    sizes = members.groupBy("fhi", "flo").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    members = scratch.put(members.join(sizes, ["fhi", "flo"]), "members")
+    members = classes.select("hi", "lo", "node", "doc_id", "n").join(families, "node")
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    members = scratch.put(members.join(sizes, "family"), "members")
     few = members.select("doc_id")
     few = F.broadcast(few) if members.count() <= BROADCAST_ROWS else few
-    chosen = docs.join(few, "doc_id", "left_semi")
+    chosen = docs.alias("d").join(few.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
 
     def tokens(batches):
         powers = Powers()
@@ -348,17 +367,16 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # Of rows that repeat a doc_id with other texts, those of other classes fall out here.
     units = sets.join(members, ["hi", "lo"]).withColumn("own", F.pmod(F.xxhash64("hi", "lo"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = units.select("fhi", "flo", "hi", "lo", "tokens", "own", "blocks", other)
-    units = units.select("fhi", "flo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "hi", "lo", "tokens")
-    keys = ["fhi", "flo", "i", "j"]
-    units = units.repartition(*keys).sortWithinPartitions(*keys, "hi", "lo")
+    # Rows that repeat a text give its set more than once.
+    units = units.dropDuplicates(["hi", "lo"]) if tied else units
+    units = units.select("family", "node", "tokens", "own", other)
+    units = units.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "tokens")
+    keys = ["family", "i", "j"]
+    units = units.repartition(*keys).sortWithinPartitions(*keys, "node")
     links = scratch.put(family_links(units, num, den), "links")
-    roots = scratch.put(connected_components(_edges(links), scratch, "components").select("id.hi", "id.lo", "root"), "roots")
-    linked = roots.join(classes.select("hi", "lo", "doc_id"), ["hi", "lo"])
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("component"))
-    linked = linked.join(least, "root").select("hi", "lo", "component")
-    whole = classes.select("hi", "lo", F.col("doc_id").alias("least")).join(linked, ["hi", "lo"], "left")
-    whole = scratch.put(whole.select("hi", "lo", F.coalesce("component", "least").alias("component")), "whole")
+    roots = connected_components(links, scratch, "components").select(F.col("id").alias("node"), "root")
+    whole = classes.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
+    whole = scratch.put(whole.withColumn("component", F.when(F.col("component") < NAMELESS, F.col("component"))), "whole")
     out = texts.select("doc_id", "n", "hi", "lo").join(whole, ["hi", "lo"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
