@@ -204,12 +204,12 @@ def best_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Votes for and against low quality, what two or more make of them, and how that fits the given labels."""
+    """Votes for and against low quality: two or more for it and none against give 1, one against and none for it 0, the rest null; and how that fits the given labels."""
     doc = table(spark, d, "documents")
     words = F.size(F.split("text", r"\s+"))
     votes = [F.when(F.col("text").contains("!!"), 1), F.when(words < 40, 1), F.when(F.regexp_count("text", F.lit(r"\|")) > 5, 1), F.when(F.col("text").rlike(r"(\b\w+ )\1{5}"), 1), F.when(words > 300, -1)]
     yes, no = sum(F.coalesce((v == 1).cast("int"), F.lit(0)) for v in votes), sum(F.coalesce((v == -1).cast("int"), F.lit(0)) for v in votes)
-    label = F.when((yes >= 1) & (no == 0), 1).when((no >= 1) & (yes == 0), 0)
+    label = F.when((yes >= 2) & (no == 0), 1).when((no >= 1) & (yes == 0), 0)
     return doc.select("doc_id", label.alias("label")).join(table(spark, d, "labels"), "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low"))
 
 
