@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.personal import CLASSES, KINDS, LABELS, LabelledSpans, Tagger, base_spans, classes_of, find, find_personal_data, trained, written
+from lodestar.llm.personal import CLASSES, KINDS, LABELS, LabelledSpans, Tagger, base_spans, classes_of, find, find_personal_data, regions, trained, written
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,24 @@ def test_rows(spark, tagger):
     got = sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, len(r.spans) > 0) for r in find_personal_data(docs, tagger).collect())
     assert got == [(1, 0, 0, 0, 0, False), (2, 0, 0, 0, 0, False), (3, 0, 1, 0, 0, True), (3, 20_000, 0, 0, 0, True)]
     assert KINDS == ("email", "ip", "card", "phone")
+
+
+def test_held_out_spellings_that_the_patterns_miss(tagger):
+    made, hit, base, n = LabelledSpans(99), 0, 0, 100
+    words = lambda: " ".join(made.word() for _ in range(20))
+    for k, kind in enumerate(KINDS):
+        hit = 0
+        for _ in range(n):
+            before, piece = words() + " ", made.missed(kind)
+            text, span = f"{before}{piece}, {words()}", (k, len(before), len(before) + len(piece))
+            assert span not in base_spans(text)
+            assert any(a <= span[1] and span[2] <= b for a, b in regions(text)), text
+            hit += span in find([text], tagger)[0][1]
+        assert hit / n >= 0.25, (kind, hit)
+
+
+def test_texts_written_by_hand(tagger):
+    texts = ["call (415) 555-0132 or 030 1234567 now", "mail: john @ host . com", "ip １９２．１６８．０．１ x", "john＠example.com here"]
+    for text in texts:
+        assert not base_spans(text) and find([text], tagger)[0][1], text
+    assert find(["in 1999 we met at the red dot of 12 345 678 people on 2024-03-04"], tagger)[0] == ([], [])
