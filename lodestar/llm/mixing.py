@@ -160,8 +160,24 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it."""
-    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("mix_copies")).dropDuplicates(["doc_id"])
-    taken = Scratch(spark, "taken").put(taken, "copies")
+    """Pipeline stage: each document as often as the mix takes it.
+
+    Where doc_ids repeat, rows are told apart by a 128-bit hash of all their columns and drawn by it; rows that agree in
+    every column are drawn one by one and enter as often as they are taken together. A null doc_id is one like any other.
+    """
+    scratch, names = Scratch(spark, "taken"), [f"mix_{c}" for c in ("id", "high", "low")]
+    tied = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    parts = [F.col(f"`{c}`") for c in docs.columns]
+    parts += [c.isNull() for c in parts]  # hashes leave nulls out
+    # Nulls add nothing to a draw's hash: without repeats the draws are those of doc_id alone.
+    high, low = (F.xxhash64(F.lit(SEED + i), *parts) if tied else F.lit(None).cast("long") for i in range(2))
+    keyed = docs.withColumns(dict(zip(names, (F.col("doc_id"), high, low), strict=True)))
+    taken = mix(keyed.select(F.struct(*names).alias("doc_id"), "source", "text"))
+    taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    taken = scratch.put(taken.select("doc_id.*", "mix_copies", "mix_rows"), "copies")
     small = F.broadcast(taken) if taken.count() <= BROADCAST_DOCS else taken
-    return docs.join(small, "doc_id").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    same = [F.col(f"d.{n}").eqNullSafe(F.col(f"t.{n}")) for n in (names if tied else names[:1])]
+    out = keyed.alias("d").join(small.alias("t"), same).select("d.*", "t.mix_copies", "t.mix_rows")
+    if tied:
+        out = out.where("mix_rows = 1").unionByName(out.where("mix_rows > 1").dropDuplicates(names))
+    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

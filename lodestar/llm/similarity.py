@@ -389,11 +389,19 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the row with the smallest doc_id of each component of five-word shingles at 0.8.
 
-    Of rows that repeat that doc_id, those with the same text are one.
+    Rows that repeat a doc_id with the same text are one; with other texts they are rows of their own, in the order of
+    hashes of their texts. Rows without a doc_id are the last ones, told apart in the same way.
     """
-    found = Scratch(spark, "similar-stage").put(similar_components(docs, 5, 80, 100), "found")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    again = not stay.where("count > 1").isEmpty()
+    scratch = Scratch(spark, "similar-stage")
+    # Repeated and missing doc_ids: numbers in the order of doc_id and text hashes stand for them.
+    again = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    rows, row = docs, "doc_id"
+    if again:
+        row, text = "similar_row", [F.xxhash64(F.lit(i), "text", F.col("text").isNull()) for i in range(2)]
+        rows = docs.withColumns({"similar_high": text[0], "similar_low": text[1]}).dropDuplicates(["doc_id", "similar_high", "similar_low"])
+        rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), "similar_high", "similar_low").withColumn(row, F.monotonically_increasing_id())
+        rows = scratch.put(rows.drop("similar_high", "similar_low"), "rows")
+    found = scratch.put(similar_components(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80, 100), "found")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
     stay = F.broadcast(stay) if found.count() <= BROADCAST_ROWS else stay
-    out = docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
