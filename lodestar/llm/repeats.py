@@ -21,6 +21,8 @@ SIDE = PLACES - 1
 BROADCAST_TEXTS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bytes of contexts that are sorted together; a larger group is sorted alone.
 SORTED = 8 << 20
+#: Contexts of one anchor that are sorted in a task; the strings of more are joined by hash.
+MOST_CONTEXTS = SORTED // (2 * SIDE + ANCHOR)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
@@ -283,6 +285,41 @@ def partly_covered(contexts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, tie long, begin int, end int")
 
 
+def joined_strings(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """contexts as in `partly_covered`, of anchors with any number of them. The same spans, by 128-bit hashes of the strings.
+
+    The first place of each string is a partial aggregate, and every other place is compared with its bytes.
+    """
+    contexts = scratch.put(contexts, "many")
+    before, after = F.shiftright("spot", 7).bitwiseAND(F.lit(127)), F.col("spot").bitwiseAND(F.lit(127))
+    low, high = F.greatest(F.lit(0), LENGTH - ANCHOR - after), F.least(before, F.lit(LENGTH - ANCHOR))
+    each = contexts.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    start = (F.shiftright("spot", 14) - F.col("k")).cast("int")
+    each = each.select("doc", "tie", start.alias("start"), F.substring("bytes", (before - F.col("k") + 1).cast("int"), F.lit(LENGTH)).alias("string"))
+    each = each.withColumns({"high": F.xxhash64(F.lit(0), "string"), "low": F.xxhash64(F.lit(1), "string")})
+    place = F.struct("doc", "tie", "start")
+    firsts = each.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    firsts = scratch.put(firsts, "firsts")
+    few = firsts.count() <= BROADCAST_TEXTS // 4
+    small = F.broadcast(firsts) if few else firsts
+    # One row for each first place, with its bytes; two anchors may both have it.
+    bytes_of = each.join(small, ["high", "low"]).where(place == F.col("first")).groupBy("high", "low").agg(F.first("first").alias("first"), F.min("string").alias("wanted"))
+    bytes_of = scratch.put(bytes_of, "bytes")
+    found = each.join(F.broadcast(bytes_of) if few else bytes_of, ["high", "low"]).where(place > F.col("first"))
+    same = F.when(F.col("string") == F.col("wanted"), F.col("start")).otherwise(F.raise_error(F.lit("a hash collision of repeated strings")).cast("int"))
+
+    def join_up(batches):
+        for batch in batches:
+            doc, tie, begin = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            if not len(doc):
+                continue
+            texts, of = np.unique(np.stack([doc, tie], axis=1), axis=0, return_inverse=True)
+            of, begin, end = merged(of.ravel(), begin, begin + LENGTH)
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts[of, i].copy()) for i in range(2)), *(pa.array(v.astype(np.int32)) for v in (begin, end))], names=["doc", "tie", "begin", "end"])
+
+    return found.select("doc", "tie", same.alias("begin")).mapInArrow(join_up, "doc long, tie long, begin int, end int")
+
+
 def mark_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
@@ -294,7 +331,8 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     1. Every string of LENGTH bytes has an anchor, the same one wherever the string is. An anchor whose surroundings (all that
        strings with it reach) are there earlier has all their strings repeated.
     2. Anchors with several surroundings: their bytes are fetched, and two merge sorts, of what follows the anchors and of what
-       precedes them, tell which strings of the first text with each surroundings are in an earlier text.
+       precedes them, tell which strings of the first text with each surroundings are in an earlier text. Of an anchor with more
+       than MOST_CONTEXTS of them, each string's first place is found by its hash, and the bytes are compared.
     3. The spans of each text are merged.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
@@ -320,8 +358,15 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     # Rows that repeat a text are one text.
     chosen = docs.select("doc", "tie", "text").join(small, ["doc", "tie"])
     contexts = (chosen.dropDuplicates(["doc", "tie"]) if tied else chosen).select("doc", "tie", "text", "spots").mapInArrow(fetch, "anchor long, doc long, tie long, spot long, bytes binary")
-    partly = scratch.put(partly_covered(contexts), "partly")
+    # Each of these has MOST_CONTEXTS rows and more, so that they are few.
+    large = scratch.put(found.where("spot is not null").groupBy("anchor").count().where(F.col("count") > MOST_CONTEXTS).select("anchor"), "large")
+    some = not large.isEmpty()
+    cold = contexts.join(F.broadcast(large), "anchor", "left_anti").select("anchor", "doc", "tie", "spot", "bytes") if some else contexts
+    partly = scratch.put(partly_covered(cold), "partly")
     spans = found.where("begin is not null").select("doc", "tie", "begin", "end").unionByName(partly)
+    if some:
+        hot = contexts.join(F.broadcast(large), "anchor", "left_semi").select("anchor", "doc", "tie", "spot", "bytes")
+        spans = spans.unionByName(scratch.put(joined_strings(hot, scratch), "joined"))
 
     def join_up(batches):
         names = ["doc", "tie", "spans"]

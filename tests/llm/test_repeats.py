@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from lodestar.llm import repeats
 from lodestar.llm.repeats import mark_repeats
 
 
@@ -42,3 +43,22 @@ def test_rows_that_repeat_a_doc_id(spark):
     got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in mark_repeats(docs).collect())
     assert got == [(1, 150, 0), (1, 150, 0), (2, 5, 0), (2, 150, 150)]
     assert mark_repeats(docs.limit(0)).count() == 0
+
+
+def test_anchors_with_many_contexts(spark, monkeypatch):
+    r, sorted_rows = random.Random(3), repeats.partly_covered
+    base = "".join(r.choices("abc", k=300))
+    rows = [(i, "".join(r.choices("xyzé", k=r.randint(40, 120))) + base[r.randint(0, 20) :] + "".join(r.choices("xyz", k=r.randint(0, 120)))) for i in range(120)]
+    rows += [(500, base * 3), (501, "x" * 300 + base[:90] + "x" * 300), (502, None)]
+    most = []
+
+    def watched(contexts):
+        most.append(max([x["count"] for x in contexts.groupBy("anchor").count().collect()], default=0))
+        return sorted_rows(contexts)
+
+    monkeypatch.setattr(repeats, "MOST_CONTEXTS", 5, raising=False)
+    monkeypatch.setattr(repeats, "partly_covered", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in mark_repeats(docs).collect()}
+    assert got == brute(rows)
+    assert max(most) <= 5
