@@ -234,7 +234,7 @@ def train(texts: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 8,
 class LabelledSpans:
     """Made windows with labelled spans: personal data of the four kinds in some spellings, and numbers that are none.
 
-    Half of the spans are in spellings that the patterns miss (`missed`).
+    Six of ten spans are in spellings that the patterns miss (`missed`).
     """
 
     def __init__(self, seed: int = 20240817):
