@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -35,14 +36,17 @@ class Scratch:
     """Tables in a new folder below spark.checkpoint.dir, which driver and executors share.
 
     A table written there cuts the lineage and outlives an executor. The folder is not removed here,
-    as lazy results read it; the owner of spark.checkpoint.dir clears it.
+    as lazy results read it; the owner of spark.checkpoint.dir clears it. Where that setting is unset, as in tests,
+    a local session gets a folder of this machine; on a cluster it is an error, as executors would not see such a folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
-            base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestar-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="lodestar-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -69,7 +73,20 @@ def append_columns(df: DataFrame, fn: Callable, fields: Sequence[T.StructField],
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *fn(batch)], names=labels)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, with the memory that its arrays leave given back at its end: a Python worker stays for other tasks."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -128,11 +145,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_hash(data: np.ndarray, powers: Powers) -> np.ndarray:
-    """S with S[j] - S[i] = base**i times the polynomial hash of bytes i..j."""
+def prefix_hash(data: np.ndarray, powers: Powers, numbers: np.ndarray = _BYTES) -> np.ndarray:
+    """S with S[j] - S[i] = base**i times the polynomial hash of bytes i..j, each byte standing for one of the numbers."""
     up, _ = powers.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
+    np.cumsum(numbers[data] * up[: len(data)], out=out[1:])
     return out
 
 

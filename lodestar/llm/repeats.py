@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,24 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, Scratch, append_columns, mixed, pieces, prefix_hash, table, utf8
+from .common import Powers, Scratch, append_columns, mixed, pieces, prefix_hash, table, tidy, utf8
 
 #: Bytes of a repeated string, and of an anchor: in every string of LENGTH bytes the ANCHOR bytes with the smallest hash.
 LENGTH, ANCHOR = 100, 37
 #: Places for an anchor in a string of LENGTH bytes (a power of 2), and what of such strings can stand before or after it.
 PLACES = LENGTH - ANCHOR + 1
 SIDE = PLACES - 1
-#: Texts, and bytes about them, that are broadcast at most; more are joined by a shuffle.
-BROADCAST_TEXTS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Of two contexts that share a string of LENGTH bytes, so many bytes before or after the anchor are the same.
+HALF = SIDE // 2 + 1
+#: Random numbers for the hashes of contexts.
+CONTEXT_BYTES = np.random.default_rng(20240818).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Surroundings whose earliest place a task remembers, and first rows of one anchor that wait for a partner, at most.
+MOST_SEEN, MOST_HEADS = 1 << 17, 1 << 17
+#: First places of strings (40 bytes each, and 100 more with their bytes) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_FIRSTS = 125_000
 #: Bytes of contexts that are sorted together; a larger group is sorted alone.
 SORTED = 8 << 20
 #: Contexts of one anchor that are sorted in a task; the strings of more are joined by hash.
 MOST_CONTEXTS = SORTED // (2 * SIDE + ANCHOR)
 
 
-def anchors(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Of each anchor: its text, place, bytes before and after it within reach, its hash, and its hash with those bytes."""
-    nothing = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+class Anchors(NamedTuple):
+    """Of each anchor: its text and place, bytes before and after it within reach, its hash, one of all these bytes, and of its halves."""
+
+    text: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    hash: np.ndarray
+    context: np.ndarray
+    sides: np.ndarray
+
+
+def anchors(data: np.ndarray, at: np.ndarray, powers: Powers) -> Anchors:
+    """The anchors of texts. Their hashes and those of their surroundings are by two tables of random numbers, independent of each other.
+
+    sides: 16 bits of the hash of the anchor with the HALF bytes before it, then of it with the HALF bytes after it; 0 where there are fewer.
+    """
+    nothing = Anchors(*(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)))
     if len(data) < LENGTH:
         return nothing
     s, (_, down) = prefix_hash(data, powers), powers.get(len(data) + 1)
@@ -49,8 +71,16 @@ def anchors(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarra
     text = np.searchsorted(at, place, "right") - 1
     before, after = np.minimum(SIDE, place - at[text]), np.minimum(SIDE, at[text + 1] - place - ANCHOR)
     begin, end = place - before, place + ANCHOR + after
-    whole = mixed((s[end] - s[begin]) * down[begin] + (before * 128 + after).astype(np.uint64))
-    return text, place - at[text], before, after, h[place], whole
+    other = prefix_hash(data, powers, CONTEXT_BYTES)
+    context = mixed((other[end] - other[begin]) * down[begin] + (before * 128 + after).astype(np.uint64))
+
+    def half(first: np.ndarray, there: np.ndarray) -> np.ndarray:
+        first = np.where(there, first, 0)
+        found = mixed((s[first + HALF + ANCHOR] - s[first]) * down[first]) & np.uint64((1 << 16) - 1)
+        return np.where(there, np.maximum(found, np.uint64(1)), np.uint64(0))
+
+    sides = (half(place - HALF, before >= HALF) << np.uint64(16)) | half(place, after >= HALF)
+    return Anchors(text, place - at[text], before, after, h[place], context, sides)
 
 
 def merged(of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,82 +97,141 @@ def merged(of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return of[first], begin[first], reach[last] - rank[last]
 
 
+class Earliest:
+    """The earliest place that a task has seen of some surroundings: of those that were there twice in a batch, at most MOST_SEEN.
+
+    It only saves rows: what is forgotten goes through the shuffle.
+    """
+
+    def __init__(self) -> None:
+        self.key, self.at = np.empty(0, np.uint64), np.empty((0, 3), np.int64)
+
+    def later(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which places (doc, tie, spot) of surroundings are after one that was seen."""
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        x, y = at, self.at[i]
+        after = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & ((x[:, 1] > y[:, 1]) | ((x[:, 1] == y[:, 1]) & (x[:, 2] > y[:, 2]))))
+        return (self.key[i] == key) & after
+
+    def add(self, key: np.ndarray, at: np.ndarray) -> None:
+        key, at = np.concatenate([self.key, key]), np.vstack([self.at, at])
+        order = np.lexsort((at[:, 2], at[:, 1], at[:, 0], key))
+        order = order[np.concatenate([[True], key[order[1:]] != key[order[:-1]]])[: len(order)]]
+        self.key, self.at = (key[order], at[order]) if len(order) <= MOST_SEEN else (np.empty(0, np.uint64), np.empty((0, 3), np.int64))
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """docs: doc, tie, text. A row for each anchor, but one for each context in a task; of the others the bytes are covered at once."""
-    names = ["anchor", "context", "doc", "tie", "spot", "begin", "end"]
+    """docs: doc, tie, text. A row for each anchor, but one for each context in a batch; of the others the bytes are covered at once."""
+    names = ["anchor", "context", "sides", "doc", "tie", "spot", "begin", "end"]
 
     def run(batches):
-        powers = Powers()
+        powers, seen = Powers(), Earliest()
         for batch in batches:
             data, at = utf8(batch.column(2))
             doc, tie = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            found = []
             for a, b in pieces(at):
-                text, place, before, after, h, whole = anchors(data[at[a] : at[b]], at[a : b + 1] - at[a], powers)
-                spot = (place << 14) | (before << 7) | after
-                d, t = doc[a:b][text], tie[a:b][text]
-                order = np.lexsort((spot, t, d, whole, h))
-                again = np.zeros(len(order), bool)
-                if len(order):
-                    x, y = order[1:], order[:-1]
-                    again[1:] = (h[x] == h[y]) & (whole[x] == whole[y]) & ((d[x] != d[y]) | (t[x] != t[y]) | (spot[x] != spot[y]))
-                first, cover = order[~again], order[again]
-                none = pa.nulls(len(first), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array(v[first].view(np.int64)) for v in (h, whole, d, t, spot)), none, none], names=names)
-                if len(cover):
-                    of, begin, end = merged(text[cover], place[cover] - before[cover], place[cover] + ANCHOR + after[cover])
-                    none, at_doc = pa.nulls(len(of), pa.int64()), doc[a:b][of]
-                    # These go through the same shuffle, to a place by their text.
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(at_doc.view(np.uint64)).view(np.int64)), none, pa.array(at_doc), pa.array(tie[a:b][of]), none, *(pa.array(v.astype(np.int32)) for v in (begin, end))], names=names)
-
-    return docs.select("doc", "tie", "text").mapInArrow(run, "anchor long, context long, doc long, tie long, spot long, begin int, end int")
+                x = anchors(data[at[a] : at[b]], at[a : b + 1] - at[a], powers)
+                found.append(x._replace(text=x.text + a))
+            if not found:
+                continue
+            x = Anchors(*map(np.concatenate, zip(*found, strict=True)))
+            if not len(x.text):
+                continue
+            where = np.stack([doc[x.text], tie[x.text], (x.place << 14) | (x.before << 7) | x.after], axis=1)
+            key = mixed(x.hash + mixed(x.context))
+            order = np.lexsort((where[:, 2], where[:, 1], where[:, 0], key))
+            key, own = key[order], where[order]
+            repeats = np.concatenate([[False], key[1:] == key[:-1]])
+            again = repeats & np.concatenate([[False], (own[1:] != own[:-1]).any(axis=1)])
+            heads = ~repeats
+            again[heads] = seen.later(key[heads], own[heads])
+            seen.add(key[heads & np.append(repeats[1:], False)], own[heads & np.append(repeats[1:], False)])
+            first, cover = order[heads & ~again], order[again]
+            none = pa.nulls(len(first), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[first].view(np.int64)) for v in (x.hash, x.context)), pa.array(x.sides[first].astype(np.uint32).view(np.int32)), *(pa.array(where[first, i]) for i in range(3)), none, none], names=names)
+            if len(cover):
+                of, begin, end = merged(x.text[cover], (x.place - x.before)[cover], (x.place + ANCHOR + x.after)[cover])
+                none, at_doc = pa.nulls(len(of), pa.int64()), doc[of]
+                # These go through the same shuffle, to a place by their text.
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(at_doc.view(np.uint64)).view(np.int64)), none, pa.nulls(len(of), pa.int32()), pa.array(at_doc), pa.array(tie[of]), none, *(pa.array(v.astype(np.int32)) for v in (begin, end))], names=names)
+
+    return docs.select("doc", "tie", "text").mapInArrow(tidy(run), "anchor long, context long, sides int, doc long, tie long, spot long, begin int, end int")
+
+
+def partnered(heads: np.ndarray) -> np.ndarray:
+    """Which first rows of contexts (anchor, context, doc, tie, spot, sides) agree with another of their anchor in one of the sides.
+
+    Strings of LENGTH bytes that two contexts share have HALF bytes before or after the anchor.
+    """
+    out, anchor, sides = np.zeros(len(heads), bool), heads[:, 0].astype(np.uint64), heads[:, 5].astype(np.uint64) & np.uint64((1 << 32) - 1)
+    for i, side in enumerate((sides >> np.uint64(16), sides & np.uint64((1 << 16) - 1))):
+        there = np.flatnonzero(side)
+        # Keys that agree by chance only let a row too many through.
+        key = mixed(anchor[there] ^ mixed(side[there] + np.uint64(i)))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        out[there[order]] |= np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return out
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
-    """Of rows in order of anchor, context, doc, tie, spot: spans of later rows of a context; and, of anchors with several contexts, each context's first row.
+    """Of rows in order of anchor, context, doc, tie, spot: spans of later rows of a context; and each context's first row if it is `partnered`.
 
-    Rows stream by, so that an anchor may have any number of them.
+    Rows stream by, so that an anchor may have any number of them; of one with more than MOST_HEADS contexts, all first rows stay.
     """
     names = ["anchor", "doc", "tie", "spot", "begin", "end"]
 
-    def batch_of(e: np.ndarray, span: bool) -> pa.RecordBatch:
+    def heads_of(e: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(e[:, i].copy()) for i in (0, 2, 3, 4)), *[pa.nulls(len(e), pa.int32())] * 2], names=names)
+
+    def spans_of(e: np.ndarray) -> pa.RecordBatch:
         place, before, after = e[:, 4] >> 14, (e[:, 4] >> 7) & 127, e[:, 4] & 127
-        cols = [pa.array(e[:, i].copy()) for i in (0, 2, 3, 4)]
-        ends = [pa.array((place - before).astype(np.int32)), pa.array((place + ANCHOR + after).astype(np.int32))] if span else [pa.nulls(len(e), pa.int32())] * 2
-        return pa.RecordBatch.from_arrays([*cols, *ends], names=names)
+        none = pa.nulls(len(e), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(e[:, 2].copy()), pa.array(e[:, 3].copy()), none, pa.array((place - before).astype(np.int32)), pa.array((place + ANCHOR + after).astype(np.int32))], names=names)
 
     def run(batches):
-        last, waiting = None, None  # the last row; the first context's first row of its anchor while it is the only one
+        # The last row; first rows of the last row's anchor, or its number where they are too many to wait.
+        last, waiting, crowded = None, np.empty((0, 6), np.int64), None
         for batch in batches:
-            spans = batch.filter(batch.column(5).is_valid())
+            spans = batch.filter(batch.column(6).is_valid())
             if spans.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), spans.column(2), spans.column(3), pa.nulls(spans.num_rows, pa.int64()), spans.column(5), spans.column(6)], names=names)
-            batch = batch.filter(batch.column(5).is_null())
+                none = pa.nulls(spans.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, spans.column(3), spans.column(4), none, spans.column(6), spans.column(7)], names=names)
+            batch = batch.filter(batch.column(6).is_null())
             if not batch.num_rows:
                 continue
-            e = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
+            e = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4, 5, 2)], axis=1)
             prior = np.vstack([last if last is not None else np.append(~e[0, :1], e[0, 1:])[None], e[:-1]])
-            same_anchor = e[:, 0] == prior[:, 0]
-            new = ~(same_anchor & (e[:, 1] == prior[:, 1]))
+            same = (e[:, 0] == prior[:, 0]) & (e[:, 1] == prior[:, 1])
+            if (same & (e[:, 5] != prior[:, 5])).any():
+                raise RuntimeError("a hash collision of surroundings")
             # Rows of one text that are there twice are one row.
-            twin = ~new & (e[:, 2:] == prior[:, 2:]).all(axis=1)
-            cover = ~new & ~twin
+            cover = same & (e[:, 2:5] != prior[:, 2:5]).any(axis=1)
             if cover.any():
-                yield batch_of(e[cover], True)
-            firsts = np.flatnonzero(new)
-            heads = e[firsts]
-            if waiting is not None:
-                heads = np.vstack([waiting, heads])
-            if len(firsts):
-                more = np.concatenate([heads[1:, 0] == heads[:-1, 0], [False]]) | np.concatenate([[False], heads[1:, 0] == heads[:-1, 0]])
-                more[0] |= waiting is None and last is not None and heads[0, 0] == last[0, 0]
-                tail_alone = not more[-1]
+                yield spans_of(e[cover])
+            heads, last = np.vstack([waiting, e[~same]]), e[-1:]
+            if crowded is not None:
+                more = heads[:, 0] == crowded
                 if more.any():
-                    yield batch_of(heads[more], False)
-                waiting = heads[-1:] if tail_alone else None
-            last = e[-1:]
+                    yield heads_of(heads[more])
+                heads, crowded = heads[~more], crowded if last[0, 0] == crowded else None
+            open_ = heads[:, 0] == last[0, 0]
+            done, waiting = heads[~open_], heads[open_]
+            done = done[partnered(done)]
+            if len(done):
+                yield heads_of(done)
+            if len(waiting) > MOST_HEADS:
+                yield heads_of(waiting)
+                waiting, crowded = waiting[:0], last[0, 0]
+        waiting = waiting[partnered(waiting)]
+        if len(waiting):
+            yield heads_of(waiting)
 
     keys = ["anchor", "context", "doc", "tie", "spot"]
-    return rows.repartition("anchor").sortWithinPartitions(*keys).mapInArrow(run, "anchor long, doc long, tie long, spot long, begin int, end int")
+    return rows.repartition("anchor").sortWithinPartitions(*keys).mapInArrow(tidy(run), "anchor long, doc long, tie long, spot long, begin int, end int")
 
 
 class Suffixes:
@@ -282,7 +371,7 @@ def partly_covered(contexts: DataFrame) -> DataFrame:
             yield spans(held)
 
     ordered = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc", "tie", "spot")
-    return ordered.mapInArrow(run, "doc long, tie long, begin int, end int")
+    return ordered.mapInArrow(tidy(run), "doc long, tie long, begin int, end int")
 
 
 def joined_strings(contexts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -300,7 +389,7 @@ def joined_strings(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct("doc", "tie", "start")
     firsts = each.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     firsts = scratch.put(firsts, "firsts")
-    few = firsts.count() <= BROADCAST_TEXTS // 4
+    few = firsts.count() <= BROADCAST_FIRSTS
     small = F.broadcast(firsts) if few else firsts
     # One row for each first place, with its bytes; two anchors may both have it.
     bytes_of = each.join(small, ["high", "low"]).where(place == F.col("first")).groupBy("high", "low").agg(F.first("first").alias("first"), F.min("string").alias("wanted"))
@@ -317,7 +406,7 @@ def joined_strings(contexts: DataFrame, scratch: Scratch) -> DataFrame:
             of, begin, end = merged(of.ravel(), begin, begin + LENGTH)
             yield pa.RecordBatch.from_arrays([*(pa.array(texts[of, i].copy()) for i in range(2)), *(pa.array(v.astype(np.int32)) for v in (begin, end))], names=["doc", "tie", "begin", "end"])
 
-    return found.select("doc", "tie", same.alias("begin")).mapInArrow(join_up, "doc long, tie long, begin int, end int")
+    return found.select("doc", "tie", same.alias("begin")).mapInArrow(tidy(join_up), "doc long, tie long, begin int, end int")
 
 
 def mark_repeats(docs: DataFrame) -> DataFrame:
@@ -342,10 +431,9 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", key.alias("doc"), (F.xxhash64("text") if tied else F.lit(0)).cast("long").alias("tie"), "text")
     found = scratch.put(sorted_out(anchor_rows(docs)), "found")
     # The bytes around anchors with several surroundings.
-    heads = found.where("spot is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "spot")).alias("spots"))
+    heads = found.where("begin is null").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "spot")).alias("spots"))
     heads = scratch.put(heads, "heads")
-    n, size = heads.agg(F.count("*"), F.coalesce(F.sum(F.size("spots") * 32), F.lit(0))).first()
-    small = F.broadcast(heads) if n <= BROADCAST_TEXTS and size <= BROADCAST_BYTES else heads
+    # As many texts as the corpus has may have some, at any size: texts and spots are shuffled, by doc.
 
     def fetch(batches):
         for batch in batches:
@@ -356,10 +444,10 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([doc] * len(own), pa.int64()), pa.array([tie] * len(own), pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array(cut, pa.binary())], names=["anchor", "doc", "tie", "spot", "bytes"])
 
     # Rows that repeat a text are one text.
-    chosen = docs.select("doc", "tie", "text").join(small, ["doc", "tie"])
-    contexts = (chosen.dropDuplicates(["doc", "tie"]) if tied else chosen).select("doc", "tie", "text", "spots").mapInArrow(fetch, "anchor long, doc long, tie long, spot long, bytes binary")
+    chosen = docs.select("doc", "tie", "text").join(heads.hint("merge"), ["doc", "tie"])
+    contexts = (chosen.dropDuplicates(["doc", "tie"]) if tied else chosen).select("doc", "tie", "text", "spots").mapInArrow(tidy(fetch), "anchor long, doc long, tie long, spot long, bytes binary")
     # Each of these has MOST_CONTEXTS rows and more, so that they are few.
-    large = scratch.put(found.where("spot is not null").groupBy("anchor").count().where(F.col("count") > MOST_CONTEXTS).select("anchor"), "large")
+    large = scratch.put(found.where("begin is null").groupBy("anchor").count().where(F.col("count") > MOST_CONTEXTS).select("anchor"), "large")
     some = not large.isEmpty()
     cold = contexts.join(F.broadcast(large), "anchor", "left_anti").select("anchor", "doc", "tie", "spot", "bytes") if some else contexts
     partly = scratch.put(partly_covered(cold), "partly")
@@ -392,10 +480,9 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
         if len(keep):
             yield out(keep)
 
-    spans = spans.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "begin").mapInArrow(join_up, "doc long, tie long, spans binary")
+    spans = spans.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "begin").mapInArrow(tidy(join_up), "doc long, tie long, spans binary")
     spans = scratch.put(spans, "spans")
-    n, size = spans.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("spans") + 64), F.lit(0))).first()
-    whole = docs.join(F.broadcast(spans) if n <= BROADCAST_TEXTS and size <= BROADCAST_BYTES else spans, ["doc", "tie"], "left")
+    whole = docs.join(spans.hint("merge"), ["doc", "tie"], "left")
 
     def digest(batch: pa.RecordBatch) -> list[pa.Array]:
         data, at = utf8(batch.column(batch.schema.get_field_index("text")))

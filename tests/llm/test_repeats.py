@@ -62,3 +62,29 @@ def test_anchors_with_many_contexts(spark, monkeypatch):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in mark_repeats(docs).collect()}
     assert got == brute(rows)
     assert max(most) <= 5
+
+
+def test_null_doc_ids_other_columns_and_a_very_long_text(spark):
+    r = random.Random(8)
+    part = "".join(r.choices("abcdefgh", k=400))
+    long = "".join(r.choices("abcdefghij é", k=300_000)) + part
+    rows = [(5, part + "x"), (None, part), (9, long), (9, long), (10, long[:1000])]
+    docs = spark.createDataFrame([(i, t, "given", 3) for i, t in rows], "doc_id long, text string, spans string, doc int")
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in mark_repeats(docs).collect()), key=str)
+    want = {None if i == -1 else i: v for i, v in brute([(-1, part), (5, part + "x"), (9, long), (10, long[:1000])]).items()}
+    assert got == sorted([(i, *want[i]) for i, _ in rows], key=str)
+
+
+def test_sides_of_contexts_that_share_a_string():
+    from lodestar.llm.repeats import anchors, partnered
+
+    r, found = random.Random(2), []
+    shared = "".join(r.choices("abcd", k=100)).encode()
+    for _ in range(2):
+        data = np.frombuffer(bytes(r.choices(b"wxyz", k=150)) + shared + bytes(r.choices(b"wxyz", k=150)), np.uint8)
+        x = anchors(data, np.array([0, len(data)]), repeats.Powers())
+        inside = np.flatnonzero((x.place >= 150) & (x.place + repeats.ANCHOR <= 250))
+        found += [[x.hash[i].view(np.int64), x.context[i].view(np.int64), 0, 0, i, int(x.sides[i])] for i in inside]
+    heads = np.array(found, np.int64)
+    both = [h for h in set(heads[:, 0].tolist()) if (heads[:, 0] == h).sum() == 2]
+    assert both and any(partnered(heads)[heads[:, 0] == h].all() for h in both)
