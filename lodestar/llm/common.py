@@ -93,7 +93,7 @@ def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[
     """df with columns of these names called otherwise, and a function that drops the new ones and calls those as before."""
     clash = [n for n in names if n in df.columns]
     aside = df.withColumnsRenamed({n: f"{n}__given" for n in clash})
-    return aside, lambda out: out.drop(*clash).withColumnsRenamed({f"{n}__given": n for n in clash})
+    return aside, lambda out: out.drop(*names).withColumnsRenamed({f"{n}__given": n for n in clash})
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

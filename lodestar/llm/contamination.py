@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Powers, Scratch, append_columns, pieces, set_aside, shingle_hashes, table, utf8, word_hashes
+from .common import ALNUM, Powers, Scratch, append_columns, pieces, set_aside, shingle_hashes, table, tidy, utf8, word_hashes
 
 #: Words of a window, and of the shingles of which a window's rarest is its prefix.
 WINDOW, SHINGLE = 10, 4
@@ -116,7 +116,7 @@ def shingle_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["k", "i", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k int, i int, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(tidy(count), "k int, i int, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toPandas()
     out = {k: np.zeros(len(keys), np.int64) for k, keys in known.items()}
     for k in out:
         own = rows[rows["k"] == k]

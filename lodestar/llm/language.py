@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bound_batches, held_out, pieces, set_aside, table, utf8
+from .common import append_columns, bound_batches, held_out, pieces, set_aside, table, tidy, utf8
 
 #: n-gram lengths, hash buckets, added count, and the most texts of each language to learn from.
 ORDERS, BUCKETS, SMOOTHING, TRAIN_TEXTS = (2, 3), 1 << 15, 0.1, 3000
+#: Languages at most (128 KB of the broadcast matrix each); a table with more is an error.
+MOST_LANGUAGES = 500
 #: What is predicted for a text without a letter.
 NO_LANGUAGE = "und"
 
@@ -52,7 +54,10 @@ class Model:
     prior: np.ndarray
 
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the likeliest language of each text, and its probability if evidence grew with the root of the length."""
+        """Index of the likeliest language of each text, by naive Bayes, and its probability if evidence grew with the root of the length.
+
+        The root is for the probability alone: n-grams overlap, so that the plain one is 0 or 1 for all but the shortest texts.
+        """
         total, n = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1)
         for a, b in pieces(at):
             grams, first = ngrams(data[at[a] : at[b]], at[a : b + 1] - at[a])
@@ -61,24 +66,27 @@ class Model:
                 for row in grams:
                     total[full] += np.add.reduceat(self.log_prob[row], first[full - a], axis=0, dtype=np.float64)
                 n[a:b] = np.diff(first)
+        best = (total + self.prior).argmax(axis=1)
         total = total / np.sqrt(np.maximum(n, 1))[:, None] + self.prior
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return p.argmax(axis=1), p.max(axis=1)
+        return best, p[np.arange(len(best)), best]
 
 
 def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
-    """Counts n-grams in at most about train_texts texts of each language, those with the smallest hash of doc_id.
+    """Counts n-grams in at most about train_texts texts of each language, those with the smallest hash of doc_id and text.
 
     Learns only from rows with a language that are not held out. Nothing to learn from: a model without languages.
     """
     bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_texts / n))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -94,7 +102,7 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = drawn.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     counts = np.full((BUCKETS, len(languages)), SMOOTHING)
     counts[counted["bucket"], counted["lang"].map({lang: i for i, lang in enumerate(languages)})] += counted["n"]

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, Powers, append_columns, held_out, mixed, pieces, prefix_hash, table, utf8
+from .common import ALNUM, LOWER, Powers, append_columns, held_out, mixed, pieces, prefix_hash, table, tidy, utf8
 
 #: Features are words and their first bytes, hashed; a text has a feature or has it not.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6, 7, 8)
-#: Texts to learn from at most about: confirmed toxic ones and unlabelled ones, those with the smallest hash of doc_id.
+#: Texts to learn from at most about: confirmed toxic ones and unlabelled ones, those with the smallest hash of doc_id and text.
 TRAIN_POSITIVE, TRAIN_UNLABELLED = 6000, 20_000
 #: Features that the classifier gets at most, and how much more often, and by how many deviations, they must be in toxic texts.
 FEATURES, RATIO, DEVIATIONS = 2048, 2.0, 3.5
@@ -98,9 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Cla
         return Classifier(np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     toxic = marks.where((F.col("toxic") == 1) & (draw < TRAIN_POSITIVE / n_toxic)).select("doc_id", F.lit(True).alias("confirmed"))
+    by_text = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)  # rows that share a doc_id are drawn apart
     learn = docs.select("doc_id", "text").where(may)
     n_learn = learn.count()
-    learn = learn.join(F.broadcast(toxic), "doc_id", "left").withColumn("unlabelled", draw < TRAIN_UNLABELLED / max(n_learn, 1))
+    learn = learn.join(F.broadcast(toxic), "doc_id", "left").withColumn("unlabelled", by_text < TRAIN_UNLABELLED / max(n_learn, 1))
     learn = learn.where("confirmed or unlabelled").select("text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "unlabelled")
 
     def counts(batches):
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Cla
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["bucket", "p", "u"])
 
-    counted = learn.mapInArrow(counts, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = learn.mapInArrow(tidy(counts), "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     n_p, n_u = learn.agg(F.coalesce(F.sum(F.col("confirmed").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("unlabelled").cast("int")), F.lit(0))).first()
     n_p, n_u = max(n_p, 1), max(n_u, 1)
     pu = counted.withColumn("sp", F.col("p") / n_p).withColumn("su", F.col("u") / n_u)
@@ -137,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Cla
                 rows += [x.astype(np.int32).tobytes() for x in np.split(own, np.searchsorted(of, np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["features", "confirmed", "unlabelled"])
 
-    rows = learn.mapInArrow(of_texts, "features binary, confirmed boolean, unlabelled boolean").toArrow()
+    rows = learn.mapInArrow(tidy(of_texts), "features binary, confirmed boolean, unlabelled boolean").toArrow()
     confirmed, unlabelled = (np.array(rows.column(i).to_pylist(), bool) for i in (1, 2))
     x = np.zeros((rows.num_rows, len(good)), np.float32)
     for i, r in enumerate(rows.column(0)):

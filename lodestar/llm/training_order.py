@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed, table
+from .common import Scratch, mixed, table, tidy
 
 #: A public byte-level BPE of 50,256 ids; the next id ends a document and fills the last sequence.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -22,11 +22,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SINGLE = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
 END = 50256
-#: Tokens of a sequence, and slots of a shard file (about 17 MB, which a reader holds as a whole).
-LENGTH, SHARD_SLOTS = 2048, 4096
+#: Tokens of a sequence, slots of a shard file at least (about 17 MB), and shard files at most, which then grow.
+LENGTH, SHARD_SLOTS, MOST_SHARDS = 2048, 4096, 100_000
 KEY, ROUNDS = 20240817, 6
-#: Little-endian: sequence, first and last doc_id, number of tokens before the filling; then LENGTH 16-bit ids, then a line feed.
-HEADER = "<qqqq"
+#: Little-endian: slot, sequence, first and last doc_id, number of tokens before the filling; then LENGTH 16-bit ids, then a line feed.
+HEADER = "<qqqqq"
+#: What stands for a null doc_id in a record.
+NO_DOC = -(1 << 63)
 
 
 class Encoder:
@@ -82,19 +84,24 @@ def _encoded(batches, encoder: Encoder) -> Iterator[tuple[int, list[int]]]:
                 yield doc, ids
 
 
+def shard_size(n: int, least: int = SHARD_SLOTS, most_shards: int = MOST_SHARDS) -> int:
+    """Slots of a shard file of n sequences."""
+    return max(least, -(-n // most_shards))
+
+
 def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> int:
     """Writes all texts' tokens below path and returns the number of sequences.
 
     The texts, each with END after it, follow one another in the order of docs' partitions and rows; every `length` tokens
-    are a sequence, the last filled with END. Sequence i is in slot permuted(i); shard s holds slots from s * shard_slots
-    on, one record after another, in the file part-s of fixed stride. Null and empty texts have no tokens; rows that repeat
-    are texts of their own; other columns are left out. No tokens: no file.
+    are a sequence, the last filled with END. Sequence i is in slot permuted(i); shard s holds shard_size(n) slots, of which
+    there are shard_slots at least, one record after another, in the file part-s of fixed stride. Null and empty texts have no
+    tokens; rows that repeat are texts of their own; a null doc_id stays null; other columns are left out. No tokens: no file.
 
     docs is read twice and must have the same partitions both times, as tables in files do; a task that finds
     other totals than the first time fails. Every token moves once, to its shard, and no count of them to the driver but one a task.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), "text")
     sent = spark.sparkContext.broadcast(ranks)
 
     def count(batches):
@@ -103,7 +110,7 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
             texts, tokens = texts + 1, tokens + len(ids)
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (TaskContext.get().partitionId(), texts, tokens)], names=["part", "texts", "tokens"])
 
-    totals = sorted(docs.mapInArrow(count, "part long, texts long, tokens long").collect())
+    totals = sorted(docs.mapInArrow(tidy(count), "part long, texts long, tokens long").collect())
     starts, at = {}, 0
     for r in totals:
         starts[r["part"]] = (at, r["texts"], r["tokens"])
@@ -111,7 +118,7 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
     n = -(-at // length)
     if not n:
         return 0
-    offsets = spark.sparkContext.broadcast(starts)
+    offsets, shard_slots = spark.sparkContext.broadcast(starts), shard_size(n, shard_slots)
 
     def cut(batches):
         """Pieces of sequences: shard, slot, seq, first token's place, doc_ids, tokens."""
@@ -151,18 +158,18 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
 
     def records(batches):
         """Whole records from pieces that come in order of slots and places."""
-        now, first, last, body, rows = None, None, None, b"", []
+        now, slot, first, last, body, rows = None, None, None, None, b"", []
 
         def close():
             ids = body + np.full(length - len(body) // 2, END, np.uint16).tobytes()
-            rows.append(struct.pack(HEADER, now, first, last, len(body) // 2) + ids)
+            rows.append(struct.pack(HEADER, slot, now, first, last, len(body) // 2) + ids)
 
         for batch in batches:
-            for seq, a, b, tokens in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6)), strict=True):
+            for at_slot, seq, a, b, tokens in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)), strict=True):
                 if seq != now:
                     if now is not None:
                         close()
-                    now, first, body = seq, a, b""
+                    now, slot, first, body = seq, at_slot, a, b""
                 last, body = b, body + tokens
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
@@ -171,32 +178,34 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
             close()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
 
-    pieces = docs.mapInArrow(cut, "shard int, slot long, seq long, at int, first_doc long, last_doc long, tokens binary")
+    pieces = docs.mapInArrow(tidy(cut), "shard int, slot long, seq long, at int, first_doc long, last_doc long, tokens binary")
     pieces = pieces.repartitionById(-(-n // shard_slots), F.col("shard")).sortWithinPartitions("slot", "at")
-    pieces.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    pieces.mapInArrow(tidy(records), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
     return n
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH) -> DataFrame:
     """Records from slot `first` on: slot, shard, byte_offset, seq, n_tokens, first_doc_id, last_doc_id, tokens (binary).
 
-    A reader that stopped goes on from its slot: earlier shards are not opened and earlier records are skipped by stride.
+    Files are read record by record of the fixed stride, a large one by several tasks; no task holds one. A reader that
+    stopped goes on from its slot: files of earlier shards are not opened. A folder without shards gives no rows.
     """
-    stride = struct.calcsize(HEADER) + 2 * length + 1
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content").where(F.col("shard") >= first // shard_slots)
-
-    def split(batches):
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = memoryview(content.as_buffer())
-                for begin in range(max(0, first - shard * shard_slots), len(raw) // stride, 512):
-                    rows = [(i, raw[i * stride : (i + 1) * stride]) for i in range(begin, min(begin + 512, len(raw) // stride))]
-                    heads = [struct.unpack(HEADER, r[: struct.calcsize(HEADER)]) for _, r in rows]
-                    cols = [[shard * shard_slots + i for i, _ in rows], [shard] * len(rows), [i * stride for i, _ in rows], [h[0] for h in heads], [h[3] for h in heads], [h[1] for h in heads], [h[2] for h in heads]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([bytes(r[struct.calcsize(HEADER) : -1]) for _, r in rows], pa.binary())], names=["slot", "shard", "byte_offset", "seq", "n_tokens", "first_doc_id", "last_doc_id", "tokens"])
-
-    return files.mapInArrow(split, "slot long, shard long, byte_offset long, seq long, n_tokens long, first_doc_id long, last_doc_id long, tokens binary")
+    schema = "slot long, shard long, byte_offset long, seq long, n_tokens long, first_doc_id long, last_doc_id long, tokens binary"
+    stride, head = struct.calcsize(HEADER) + 2 * length + 1, struct.calcsize(HEADER)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")  # contents are not read
+    shards = sorted((int(re.search(r"part-(\d+)", f["path"])[1]), f["path"], f["length"] // stride) for f in files.collect())
+    slots = max((x[2] for x in shards), default=0)  # all files but the last one are full
+    wanted = [file for shard, file, _ in shards if (shard + 1) * slots > first]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+
+    def parsed(records):
+        for r in records:
+            slot, seq, a, b, n = struct.unpack(HEADER, r[:head])
+            if slot >= first:
+                yield slot, slot // slots, slot % slots * stride, seq, n, None if a == NO_DOC else a, None if b == NO_DOC else b, bytearray(r[head:-1])
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(",".join(wanted), stride).mapPartitions(parsed), schema, verifySchema=False)
 
 
 def in_training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
