@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DARK, Powers, Scratch, mixed, pieces, shingle_hashes, table, utf8, word_hashes
+from .common import DARK, Powers, Scratch, mixed, pieces, set_aside, shingle_hashes, table, tidy, utf8, word_hashes
 from .components import connected_components
 
 #: Counters of the sketch by which shingles are ordered: one for so many bytes of texts, and of a task's input, within bounds.
@@ -19,14 +19,14 @@ from .components import connected_components
 TEXT_BYTES, TASK_BYTES, SKETCH_LOG2_MIN, SKETCH_LOG2_MAX = 400, 16, 12, 24
 #: A list of up to so many sets gives pairs; the sets of a longer one are joined as a family.
 SHORT = 32
+#: Entries of a list that are skipped together.
+SKIP = 8
 #: Hashes in one block of a family; a task holds two blocks.
 BLOCK_TOKENS = 1 << 20
 #: Rows that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 500_000
 #: Bits of a shingle's hash that are kept, of which the last ones stay beside the order when sorting.
 BITS, TAIL = 52, 42
-#: Nodes of classes whose rows have no doc_id; above any doc_id.
-NAMELESS = 1 << 62
 MASK, TAIL_MASK = np.uint64((1 << BITS) - 1), np.uint64((1 << TAIL) - 1)
 #: A set's bitmap has at least so many bits, and at least one for two of its shingles; a power of 2.
 BITMAP = 512
@@ -94,7 +94,7 @@ def describe(docs: DataFrame, k: int, sketch_bits: int) -> DataFrame:
         for i in some:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array([i], pa.int32()), pa.array([np.minimum(cut[i], 65535).astype(np.uint16).tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, hi long, lo long, bitmap array<long>, part int, counters binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n int, hi long, lo long, bitmap array<long>, part int, counters binary")
 
 
 def rarity(described: DataFrame, sketch_bits: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def rarity(described: DataFrame, sketch_bits: int) -> np.ndarray:
         for part, n in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(np.log2(n + 1.0) * 24, 1023).astype(np.uint16).tobytes()], pa.binary())], names=["part", "levels"])
 
-    parts = described.where("part is not null").select("part", "counters").repartition("part").mapInArrow(add, "part int, levels binary").collect()
+    parts = described.where("part is not null").select("part", "counters").repartition("part").mapInArrow(tidy(add), "part int, levels binary").collect()
     size = min(1 << 14, 1 << sketch_bits)
     out = np.zeros(1 << sketch_bits, np.uint16)
     for r in parts:
@@ -160,31 +160,56 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["token", "hi", "lo", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, hi long, lo long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(run), "token long, hi long, lo long, n int, pos int")
+
+
+def list_pairs(e: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """Pairs of sets that may link (ahi, alo, bhi, blo, na, nb, 0), blocks that were looked at, and how many of these were skipped.
+
+    e: rows of token, n, hi, lo, pos, sorted, of whole lists without repeated sets. A list is cut into blocks of SKIP entries,
+    each with its least size, greatest place and most shingles behind a place. A set is held against a block first: if
+    even a set with all of these could not share enough with it, none of the block's entries is looked at.
+    """
+    if not len(e):
+        return np.empty((0, 7), np.int64), 0, 0
+    token, n, pos = e[:, 0], e[:, 1], e[:, 4]
+    rest = n - pos - 1
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.append(starts, len(e)))
+    blocks = -(-sizes // SKIP)
+    first_block = np.cumsum(blocks) - blocks
+    first = np.repeat(starts - first_block * SKIP, blocks) + np.arange(blocks.sum()) * SKIP
+    end = np.minimum(first + SKIP, np.repeat(starts + sizes, blocks))
+    least_n, most_pos, most_rest = n[first], np.maximum.reduceat(pos, first), np.maximum.reduceat(rest, first)
+    last_block = np.repeat(first_block + blocks - 1, sizes)
+    own = np.repeat(first_block, sizes) + (np.arange(len(e)) - np.repeat(starts, sizes)) // SKIP
+    many = last_block - own + 1
+    x = np.repeat(np.arange(len(e)), many)
+    block = np.repeat(own - np.cumsum(many) + many, many) + np.arange(many.sum())
+    looked = len(x)
+    could = np.minimum(pos[x], most_pos[block]) + 1 + np.minimum(rest[x], most_rest[block])
+    fits = (least_n[block] * num <= n[x] * den) & (could >= least_overlap(n[x], least_n[block], num, den))
+    x, block = x[fits], block[fits]
+    many = end[block] - first[block]
+    y = np.repeat(first[block] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    x = np.repeat(x, many)
+    x, y = x[y > x], y[y > x]
+    shared = np.minimum(pos[x], pos[y]) + 1 + np.minimum(rest[x], rest[y])
+    near = (n[y] * num <= n[x] * den) & (shared >= least_overlap(n[x], n[y], num, den))
+    x, y = x[near], y[near]
+    return np.hstack([e[x, 2:4], e[y, 2:4], e[x, 1:2], e[y, 1:2], np.zeros((len(x), 1), np.int64)]), looked, looked - int(fits.sum())
 
 
 def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets that share an index list: ahi, alo, bhi, blo, na, nb, far.
 
-    A list is sorted by size, so that the entries that fit a set by size follow it in one run and the rest is skipped; of
-    these, blocks of entries whose places leave too few shingles to share are skipped too. A list of more than SHORT
-    sets gives pairs of its first set with each other (far = true), which stand for all pairs in it.
+    Lists are sorted by size and compared by `list_pairs`. A list of more than SHORT sets gives pairs of its first set with
+    each other (far = true), which stand for all pairs in it: its sets become one family, which is joined as a whole.
     """
     names = ["ahi", "alo", "bhi", "blo", "na", "nb", "far"]
 
     def pairs(e: np.ndarray) -> np.ndarray:
-        """e: rows of token, n, hi, lo, pos, sorted, of whole lists without repeated sets, at most SHORT long."""
-        out, left, step = [], np.arange(len(e)), 0
-        while len(left):
-            step += 1
-            left = left[left + step < len(e)]
-            x, y = e[left], e[left + step]
-            fits = (x[:, 0] == y[:, 0]) & (y[:, 1] * num <= x[:, 1] * den)
-            left, x, y = left[fits], x[fits], y[fits]  # the run of fitting sizes has ended for the others
-            most = np.minimum(x[:, 4], y[:, 4]) + 1 + np.minimum(x[:, 1] - x[:, 4], y[:, 1] - y[:, 4]) - 1
-            near = most >= least_overlap(x[:, 1], y[:, 1], num, den)
-            out.append(np.hstack([x[near][:, 2:4], y[near][:, 2:4], x[near][:, 1:2], y[near][:, 1:2], np.zeros((near.sum(), 1), np.int64)]))
-        return np.concatenate(out) if out else np.empty((0, 7), np.int64)
+        return list_pairs(e, num, den)[0]
 
     def star(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
         head = np.tile(first[2:4], (len(rest), 1))
@@ -235,7 +260,7 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
             yield batch_of(np.concatenate(out))
 
     sorted_lists = entries.select("token", "n", "hi", "lo", "pos").repartition("token").sortWithinPartitions("token", "n", "hi", "lo")
-    return sorted_lists.mapInArrow(run, "ahi long, alo long, bhi long, blo long, na int, nb int, far boolean")
+    return sorted_lists.mapInArrow(tidy(run), "ahi long, alo long, bhi long, blo long, na int, nb int, far boolean")
 
 
 def _find(root: np.ndarray, i: int) -> int:
@@ -304,7 +329,7 @@ def family_links(units: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return units.mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -313,13 +338,14 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. A row's set has its distinct k-word shingles; with fewer
     words the whole sequence as one; null and texts without words have an empty set and are linked with nothing.
     Two rows link when den * intersection >= num * union. component_id is the smallest doc_id that links reach. Equal
-    sets are one class from the start. Rows that repeat a doc_id are one node of the graph. Rows without a doc_id take part, but
+    sets are one class from the start. Rows that repeat a doc_id are judged by their own texts. Rows without a doc_id take part, but
     name no component: one of such rows alone has a null component_id. Other columns are dropped.
     Shingles are compared as 52-bit hashes, classes as 128-bit ones.
 
     1. One pass describes each text and counts shingles in a sketch, by which they are ordered, rare ones first.
     2. Each class enters the index with its rarest shingles; lists give candidate pairs, which a bitmap of each set thins.
     3. Candidates form families. A family's sets meet in one task, or block by block, for the exact join.
+    4. Graphs are over numbers of classes; the smallest doc_id of a component is read from its classes at the end.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "similar")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -329,8 +355,8 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     described = scratch.put(describe(docs, k, bits), "described")
     levels = rarity(described, bits)
     texts = described.where("part is null").select("doc_id", "n", "hi", "lo", "bitmap")
-    node = F.coalesce(F.min("doc_id"), F.first("hi").bitwiseOR(F.lit(NAMELESS)).bitwiseAND(F.lit((1 << 63) - 1)))
-    classes = scratch.put(texts.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), node.alias("node"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "classes")
+    classes = texts.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
+    classes = scratch.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
     found = scratch.put(candidates(prefixes(docs, k, num, den, levels), num, den), "candidates")
     pairs = found.groupBy("ahi", "alo", "bhi", "blo").agg(F.any_value("na").alias("na"), F.any_value("nb").alias("nb"), F.max("far").alias("far"))
     maps = classes.select("hi", "lo", "node", "bitmap")
@@ -342,8 +368,9 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         halves = F.zip_with(F.slice(c, 1, length), F.slice(c, length + 1, length), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(c) > length, halves).otherwise(F.col(c))
 
-    apart = F.aggregate(F.zip_with(folded("abits"), folded("bbits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = F.col("na") + F.col("nb")
+    # Counts as long: sets of many millions of shingles are no error.
+    apart = F.aggregate(F.zip_with(folded("abits"), folded("bbits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x)
+    both = F.col("na").cast("long") + F.col("nb")
     pairs = pairs.where(F.col("far") | ((both - apart) * (den + num) >= 2 * num * both)).select("a", "b")
     families = scratch.put(connected_components(pairs, scratch, "families").select(F.col("id").alias("node"), F.col("root").alias("family")), "families")
     # The sets of the families, from the texts.
@@ -363,7 +390,7 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["hi", "lo", "tokens"])
 
-    sets = chosen.mapInArrow(tokens, "hi long, lo long, tokens binary")
+    sets = chosen.mapInArrow(tidy(tokens), "hi long, lo long, tokens binary")
     # Of rows that repeat a doc_id with other texts, those of other classes fall out here.
     units = sets.join(members, ["hi", "lo"]).withColumn("own", F.pmod(F.xxhash64("hi", "lo"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -375,8 +402,12 @@ def similar_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     units = units.repartition(*keys).sortWithinPartitions(*keys, "node")
     links = scratch.put(family_links(units, num, den), "links")
     roots = connected_components(links, scratch, "components").select(F.col("id").alias("node"), "root")
-    whole = classes.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
-    whole = scratch.put(whole.withColumn("component", F.when(F.col("component") < NAMELESS, F.col("component"))), "whole")
+    linked = scratch.put(classes.select("hi", "lo", "node", "doc_id").join(roots, "node", "left"), "linked")
+    smallest = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    smallest = scratch.put(smallest, "smallest")
+    named = F.broadcast(smallest) if smallest.count() <= BROADCAST_ROWS else smallest
+    whole = linked.join(named, "root", "left").select("hi", "lo", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component"))
+    whole = scratch.put(whole, "whole")
     out = texts.select("doc_id", "n", "hi", "lo").join(whole, ["hi", "lo"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
@@ -392,7 +423,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows that repeat a doc_id with the same text are one; with other texts they are rows of their own, in the order of
     hashes of their texts. Rows without a doc_id are the last ones, told apart in the same way.
     """
-    scratch = Scratch(spark, "similar-stage")
+    scratch, columns = Scratch(spark, "similar-stage"), docs.columns
+    docs, back = set_aside(docs, ("similar_row", "similar_high", "similar_low"))
     # Repeated and missing doc_ids: numbers in the order of doc_id and text hashes stand for them.
     again = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     rows, row = docs, "doc_id"
@@ -404,4 +436,4 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = scratch.put(similar_components(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80, 100), "found")
     stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
     stay = F.broadcast(stay) if found.count() <= BROADCAST_ROWS else stay
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    return back(rows.join(stay, row, "left_semi").select(*docs.columns)).select(*columns)

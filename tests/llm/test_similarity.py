@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lodestar.llm import similarity
-from lodestar.llm.similarity import joined, least_overlap, similar_components
+from lodestar.llm.similarity import joined, least_overlap, list_pairs, similar_components
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,3 +89,36 @@ def test_join_in_a_family():
 
 def test_no_rows(spark):
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_are_skipped_and_no_pair_is_lost():
+    r, rows = np.random.default_rng(4), []
+    for token in range(40):
+        for i in range(int(r.integers(1, 32))):
+            n = int(r.integers(5, 60))
+            rows.append((token, n, token * 100 + i, i, int(r.integers(0, n))))
+    e = np.array(sorted(rows), np.int64)
+    got, looked, skipped = list_pairs(e, 90, 100)
+    want = set()
+    for i in range(len(e)):
+        for j in range(i + 1, len(e)):
+            (a, na, ha, la, pa), (b, nb, hb, lb, pb) = e[i].tolist(), e[j].tolist()
+            if a == b and nb * 90 <= na * 100 and min(pa, pb) + 1 + min(na - pa, nb - pb) - 1 >= least_overlap(na, nb, 90, 100):
+                want.add((ha, la, hb, lb, na, nb, 0))
+    assert {tuple(x) for x in got.tolist()} == want
+    assert 0 < skipped < looked
+
+
+def test_large_null_and_repeated_doc_ids_and_other_columns(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    far = (1 << 62) + 5
+    rows = [(far, a), (far + 1, a), (far + 2, a + " end"), (-9, b), (None, b), (None, "x y z"), (4, a + " end"), (4, "other words here"), (far + 9, "p q r"), (far + 9, "p q r")]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, component_id string, node int")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in similar_components(docs).collect()), key=str)
+    assert got == sorted([(far, 58, 4), (far + 1, 58, 4), (far + 2, 59, 4), (-9, 58, -9), (None, 58, -9), (None, 1, None), (4, 59, 4), (4, 1, 4), (far + 9, 1, far + 9), (far + 9, 1, far + 9)], key=str)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(str(i) for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in similar_components(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
