@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, set_aside, table
 
 #: Weights that the sources get in turn, the mix's size as a share of all sizes, and copies of a document at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -14,6 +14,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK = 64
 #: A document of more than a share of 1/HEAVY of its source is settled before the others, which then make up for it.
 HEAVY = 200
+#: Rows of one doc_id, source and size that a task numbers.
+NUMBERED = 10_000
 #: Up to so many sources are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Documents (16 bytes each) that the pipeline's stage broadcasts at most.
@@ -114,6 +116,15 @@ def rounded(scratch: Scratch, items: DataFrame, n: DataFrame, name: str) -> list
         current, level = over, level + 1
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """doc_id, source, size of each row and row, its number among those that agree in all three; they are counted, not gathered."""
+    keys = ["doc_id", "source", "size"]
+    counts = sizes.groupBy(*keys).agg(F.count("*").alias("rows"))
+    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / NUMBERED)))).repartition(*keys, "part")
+    numbers = F.sequence(F.col("part") * NUMBERED, F.least(F.col("rows"), (F.col("part") + 1) * NUMBERED) - 1)
+    return parts.select(*keys, F.explode(numbers).alias("row"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """How often each document enters the mix: doc_id, size, source_size, target, copies, taken = copies * size.
 
@@ -121,16 +132,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     source_size plus a rounded rest, so that a source's taken words differ from its target by one document's words
     at most, and by 1/HEAVY where smaller documents can make up for a large one. The draws are hashes of
     the seed, doc_id and size: reruns agree. Documents without words are taken no times. Rows that repeat
-    a doc_id are documents of their own. A null source is a source, the last one. No rows give no rows.
+    a doc_id, or have none, are documents of their own: those that agree in source and size too are numbered and also drawn by
+    their numbers, so that no block gets them all. A null source is a source, the last one. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sizes = scratch.put(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    tied = not sizes.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if tied:
+        sizes = scratch.put(numbered(sizes), "numbered")
     targets = scratch.put(source_targets(sizes, weights, share, most), "targets")
     small = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     d = sizes.alias("d").join(small.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    d = d.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
+    d = d.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size", *(["row"] if tied else []))).withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     none = (F.col("size") == 0) | (F.col("p") == 0)
     settled = d.where(none).select("doc_id", "size", "source", F.when(F.col("size") == 0, 0).otherwise(F.col("whole")).cast("long").alias("copies"), "source_size", "target")
     d, heavy = d.where(~none), F.col("size") * HEAVY > F.greatest("target", "source_size")
@@ -166,6 +181,7 @@ def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     every column are drawn one by one and enter as often as they are taken together. A null doc_id is one like any other.
     """
     scratch, names = Scratch(spark, "taken"), [f"mix_{c}" for c in ("id", "high", "low")]
+    columns, (docs, back) = docs.columns, set_aside(docs, (*names, "mix_copies", "mix_rows", "mix_copy"))
     tied = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     parts = [F.col(f"`{c}`") for c in docs.columns]
     parts += [c.isNull() for c in parts]  # hashes leave nulls out
@@ -180,4 +196,5 @@ def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = keyed.alias("d").join(small.alias("t"), same).select("d.*", "t.mix_copies", "t.mix_rows")
     if tied:
         out = out.where("mix_rows = 1").unionByName(out.where("mix_rows > 1").dropDuplicates(names))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    return back(out).select(*columns)

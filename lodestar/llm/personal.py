@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 from .common import append_columns, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed values of the contract: what the base finds, before the checks in `base_spans`.
+#: Fixed values of the contract: what the base finds, before the checks in `base_spans`. E-mails are found from their at signs, and
+#: ip addresses only where a run of digits begins: the same matches, in time that grows with the text and not with its square.
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -76,19 +77,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+` without overlap: no name has an at sign in it, so each sign has its own."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > free and LOCAL.match(text, begin - 1):
+            begin -= 1
+        host = DOMAIN.match(text, at + 1) if begin < at else None
+        free = at + 1
+        if host:
+            yield begin, host.end()
+            free = host.end()
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start: leftmost matches without overlap within a kind; failing ones are dropped."""
     out = []
     if not TRIGGER.search(text):
         return out
+    out += [(0, a, b) for a, b in emails(text)]
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "email" or kind == "phone" and "+" not in text:
             continue
         for m in PATTERNS[kind].finditer(text):
             if kind == "ip":
                 good = all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split("."))
-            elif kind == "email":
-                good = True
             else:
                 digits = "".join(c for c in m[0] if "0" <= c <= "9")
                 good = 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15

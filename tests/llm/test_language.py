@@ -30,3 +30,28 @@ def test_nothing_to_learn(spark):
 def test_learns_only_from_its_part(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text"), F.when(held_out(F.col("id")), "held").otherwise("learn").alias("lang"))
     assert train(docs).languages == ["learn"]
+
+
+def test_prediction_is_plain_naive_bayes(spark):
+    import numpy as np
+
+    from lodestar.llm.language import BUCKETS, Model, ngrams
+
+    r = np.random.default_rng(1)
+    p = r.dirichlet(np.ones(BUCKETS), 3).T
+    m = Model(["a", "b", "c"], np.vstack([np.log(p), np.zeros(3)]).astype(np.float32), np.log([0.5, 0.3, 0.2]))
+    for text in ("x", "hello there", "ünïcode " * 9, "abc" * 5000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        grams, _ = ngrams(data, np.array([0, len(data)]))
+        assert m.score(data, np.array([0, len(data)]))[0][0] == (m.log_prob[grams].astype(float).sum(axis=(0, 1)) + m.prior).argmax()
+
+
+def test_rows_that_share_a_doc_id_stay_a_bounded_sample(spark):
+    from lodestar.llm import language
+
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    whole, some = train(docs, 4000), train(docs, 400)
+    assert whole.languages == some.languages == ["en"]
+    counted = lambda m: (m.log_prob[:-1] > m.log_prob[:-1].min()).sum()
+    assert counted(some) < counted(whole)
+    assert language.MOST_LANGUAGES >= 100

@@ -49,3 +49,18 @@ def test_small(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
     one = mix(spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")).collect()
     assert [(r.size, r.taken) for r in one] == [(0, 0)]
+
+
+def test_rows_of_one_doc_id_are_no_hot_block(spark, monkeypatch):
+    from lodestar.llm import mixing
+
+    monkeypatch.setattr(mixing, "NUMBERED", 100)
+    rows = [(None if i % 2 else 5, ("a", "b")[i % 3 == 0], "w w w w" if i % 7 else "w") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix(docs).collect()
+    again = mix(docs.repartition(9)).collect()
+    assert len(got) == 3000 and sorted(map(str, got)) == sorted(map(str, again))
+    taken, want = defaultdict(int), {}
+    for r in got:
+        taken[r.source_size], want[r.source_size] = taken[r.source_size] + r.taken, r.target
+    assert all(abs(taken[s] - want[s]) <= 4 for s in want)

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +85,16 @@ def test_texts_written_by_hand(tagger):
     for text in texts:
         assert not base_spans(text) and find([text], tagger)[0][1], text
     assert find(["in 1999 we met at the red dot of 12 345 678 people on 2024-03-04"], tagger)[0] == ([], [])
+
+
+def test_base_against_the_patterns_of_the_contract_and_in_time():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    r = random.Random(1)
+    for _ in range(4000):
+        text = "".join(r.choices("a1@..-+é ", k=r.randint(0, 40)))
+        got = base_spans(text)
+        assert [(a, b) for k, a, b in got if k == 0] == [m.span() for m in email.finditer(text)], text
+        assert [(a, b) for k, a, b in got if k == 1] == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))], text
+    began = time.time()
+    assert len(base_spans("a" * 1_000_000 + " x@y.zz " + "1" * 1_000_000 + "@" * 100_000)) == 1
+    assert time.time() - began < 20

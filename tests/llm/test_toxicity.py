@@ -31,3 +31,22 @@ def test_held_out(spark):
     assert s[9000] == s[9001] < 0.3 <= s[9002] <= 1
     none = train(docs, labels.where("toxic = 0"))
     assert all(x.score < 0.3 for x in score_toxicity(odd, none).collect())
+
+
+def test_held_out_rows_of_the_given_labels(spark):
+    from lodestar.llm.common import table
+    from lodestar.llm.toxicity import op3_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    marks = table(spark, sf, "labels").where("toxic is not null").select("doc_id", "toxic")
+    got = op3_toxicity(spark, sf).where("held_out").join(marks, "doc_id").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.toxic for r in got]) >= 0.9
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    docs, labels = (spark.createDataFrame([], s) for s in ("doc_id long, text string", "doc_id long, toxic int"))
+    assert score_toxicity(docs, train(docs, labels)).count() == 0
+    twins = spark.createDataFrame([(1, "vile thing")] * 5 + [(None, "calm words")] * 5, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (3, None)], "doc_id long, toxic int")
+    got = score_toxicity(twins, train(twins, marks)).collect()
+    assert len(got) == 10 and len({r.score for r in got if r.doc_id == 1}) == 1
