@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import all_of, any_of
+from lodestar.functions.text import all_of, any_of, contains_word
 
 PERSON_NUMBER = re.compile(r"^\s*(?:AK)?\s*-?\s*([0-9]+)\s*$", re.IGNORECASE)
 WIDE = str.maketrans("０１２３４５６７８９ＡＫａｋ－", "0123456789AKak-")
@@ -65,6 +65,21 @@ def keyword_match(fields: list[Column], keywords: list[str], every: bool) -> Col
     return (all_of if every else any_of)([any_of([has_text(f, k) for f in fields]) for k in words])
 
 
+TOKEN = r"[a-z0-9#+]+"
+
+
+def word_pairs(texts: DataFrame, column: str, words: list[str]) -> DataFrame:
+    """texts with word: a row for each of a few words, lower case, that the lower-case text has as a word.
+
+    Words of one token are looked up among the text's tokens, in one pass over it for all of them; others by a pattern each.
+    """
+    single = [w for w in words if re.fullmatch(TOKEN, w)]
+    tokens = F.array_intersect(F.regexp_extract_all(F.col(column), F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, single)) if single else F.array().cast("array<string>"))
+    others = [F.when(contains_word(F.col(column), F.lit(w)), F.lit(w)) for w in words if w not in single]
+    found = F.concat(tokens, F.array_compact(F.array(*others))) if others else tokens
+    return texts.withColumn("word", F.explode(found))
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page in an order that must end with a unique key; limits are clamped to 1..2000."""
     return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 2000))

@@ -66,9 +66,8 @@ def found_by_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 def word_hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents with whole words, upper or lower case."""
-    words = spark.createDataFrame([("the",), ("version",), ("c#",), ("der",)], "word string")
     low = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return low.join(F.broadcast(words), text.contains_word(F.col("t"), F.col("word"))).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return search.word_pairs(low, "t", ["the", "version", "c#", "der", "mit license"]).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 def parsed_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -204,13 +203,13 @@ def best_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Votes for and against low quality: two or more for it and none against give 1, one against and none for it 0, the rest null; and how that fits the given labels."""
+    """Votes for and against low quality: two or more for it and none against give 1, one against and none for it 0, the rest none (-1); and how that fits the given labels."""
     doc = table(spark, d, "documents")
     words = F.size(F.split("text", r"\s+"))
     votes = [F.when(F.col("text").contains("!!"), 1), F.when(words < 40, 1), F.when(F.regexp_count("text", F.lit(r"\|")) > 5, 1), F.when(F.col("text").rlike(r"(\b\w+ )\1{5}"), 1), F.when(words > 300, -1)]
     yes, no = sum(F.coalesce((v == 1).cast("int"), F.lit(0)) for v in votes), sum(F.coalesce((v == -1).cast("int"), F.lit(0)) for v in votes)
     label = F.when((yes >= 2) & (no == 0), 1).when((no >= 1) & (yes == 0), 0)
-    return doc.select("doc_id", label.alias("label")).join(table(spark, d, "labels"), "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low"))
+    return doc.select("doc_id", F.coalesce(label, F.lit(-1)).cast("long").alias("label")).join(table(spark, d, "labels"), "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low"))
 
 
 def share_by_first_turn(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +237,7 @@ SELECT id, rate, basis, median, rate - median AS difference, rate BETWEEN a AND
     "people_of_place": (people_of_place, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 40 OFFSET 5"),
     "filtered_people": (filtered_people, "SELECT c_custkey, c_acctbal FROM customer WHERE (c_acctbal < 0 OR c_acctbal <= 5000) AND c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0 AND c_name ILIKE '%#0%'"),
     "found_by_keywords": (found_by_keywords, "SELECT lang, count(*) FILTER (WHERE (text ILIKE '%license%' OR source ILIKE '%license%') AND (text ILIKE '%src1%' OR source ILIKE '%src1%')) AS n_all, count(*) FILTER (WHERE contains(lower(text), 'apache license') OR contains(text, '100%')) AS n_any, count(*) AS n FROM documents GROUP BY 1"),
-    "word_hits": (word_hits, "SELECT word, count(*) AS n, min(doc_id) AS first FROM documents, (VALUES ('the'), ('version'), ('c#'), ('der')) v(word) WHERE regexp_matches(lower(text), '(^|[^a-z0-9#+])' || word || '([^a-z0-9#+]|$)') GROUP BY 1"),
+    "word_hits": (word_hits, "SELECT word, count(*) AS n, min(doc_id) AS first FROM documents, (VALUES ('the'), ('version'), ('c#'), ('der'), ('mit license')) v(word) WHERE regexp_matches(lower(text), '(^|[^a-z0-9#+])' || word || '([^a-z0-9#+]|$)') GROUP BY 1"),
     "parsed_rates": (parsed_rates, "SELECT p_partkey, CASE WHEN k IN (0, 1) THEN CASE WHEN a BETWEEN 20 AND 300 THEN a WHEN b BETWEEN 20 AND 300 THEN b ELSE -1 END ELSE -1 END AS low, CASE WHEN k = 0 THEN b WHEN k = 1 THEN b WHEN k = 2 THEN a END::DOUBLE AS high FROM (SELECT p_partkey, p_partkey % 4 AS k, CAST(p_size + 15 AS BIGINT) AS a, CAST(p_size + 35 AS BIGINT) AS b FROM part)"),
     "available_dates": (available_dates, """SELECT strftime(a, '%Y-%m-%d') AS available, coalesce(o_orderkey % 3 = 0 AND o_orderkey % 5 != 0 AND a <= DATE '1996-06-15', false) AS offered, count(*) AS n FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN make_date(1996 + CASE WHEN month(o_orderdate) < 6 THEN 1 ELSE 0 END, month(o_orderdate), 1) WHEN 1 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), 1) WHEN 2 THEN DATE '1996-06-15' END AS a FROM orders) GROUP BY 1, 2"""),
     "places": (places, PLACES_SQL),
@@ -260,7 +259,12 @@ SELECT 1::BIGINT AS rule, id FROM p WHERE age IS NULL OR age BETWEEN 20 AND 30 U
     "old_and_new": (old_and_new, "SELECT o_orderstatus, count(*) AS orders, CAST(sum(coalesce(i, 0)) AS BIGINT) AS items FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS i FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1"),
     "listed": (listed, "SELECT r_name, string_agg(n_name, '|' ORDER BY n_name) AS nations, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "best_status": (best_status, "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, epoch(o_orderdate) DESC, o_orderkey) AS r FROM orders) WHERE r = 1"),
-    "weak_labels": (weak_labels, None),
+    "weak_labels": (weak_labels, r"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+rep AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, w, unnest(range(1, len(w) - 5)) AS i FROM w) WHERE regexp_matches(w[i], '\w$') AND regexp_matches(w[i + 1], '^\w+$')
+  AND w[i + 1] = regexp_extract(w[i], '\w+$') AND w[i + 2] = w[i + 1] AND w[i + 3] = w[i + 1] AND w[i + 4] = w[i + 1] AND w[i + 5] = w[i + 1]),
+v AS (SELECT doc_id, coalesce(contains(text, '!!'), false)::INT + coalesce(len(regexp_split_to_array(text, '\s+')) < 40, false)::INT + coalesce(len(text) - len(replace(text, '|', '')) > 5, false)::INT + (rep.doc_id IS NOT NULL)::INT AS yes,
+  coalesce(len(regexp_split_to_array(text, '\s+')) > 300, false)::INT AS no FROM documents LEFT JOIN rep USING (doc_id))
+SELECT CASE WHEN yes >= 2 AND no = 0 THEN 1 WHEN no >= 1 AND yes = 0 THEN 0 ELSE -1 END::BIGINT AS label, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS low FROM v JOIN labels USING (doc_id) GROUP BY 1"""),
     "share_by_first_turn": (share_by_first_turn, "SELECT turns, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations) WHERE turn = 0 GROUP BY 1"),
     "same_text": (same_text, "SELECT md5(text) AS hash, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
 }
