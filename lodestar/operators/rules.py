@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import any_of
+from lodestar.functions.text import any_of, contains_word, supply_step
 
 
 def passes(bound: Column, value: Column, holds: Column, include_unknown: Column) -> Column:
@@ -35,6 +35,61 @@ def rule_matches(rules: DataFrame, people: DataFrame) -> DataFrame:
     return p.join(F.broadcast(r), holds).select("r.rule", "p.id")
 
 
+def key_of(c: Column) -> Column:
+    """Lower case without what differs between spellings."""
+    return F.regexp_replace(F.lower(c), r"[\s　/・._-]", "")
+
+
+def skill_fits(word: Column, skill: Column) -> Column:
+    """The word stands in the skill as a word, or both are the same without separators."""
+    return contains_word(F.lower(skill), F.lower(F.trim(word))) | (key_of(word) == key_of(skill))
+
+
+def watched(rules: DataFrame, people: DataFrame, small) -> DataFrame:
+    """rule, id, include_unknown, texts of people that meet all of a rule's conditions but that on the body (`with_bodies`).
+
+    rules: rule, data_env, name, station (texts), skills, kinds, flows, texts (arrays), age_min, age_max, years_min, skill_years_min,
+    exclude_c, include_unknown; null and empty ones are off, a rule with none matches nobody. people: id, data_env, name,
+    station, skills (array), months (map of skill to months), age, years, levels (array), kind, flow.
+    Conditions are and-ed, values of one or-ed. An unknown value passes unless include_unknown is false, but an
+    unmarked level always does. A rule's skill years count for those of its skills of which the months are known.
+    """
+    off = lambda c: F.coalesce(F.size(F.filter(F.col(c), lambda x: F.trim(x) != "")), F.lit(0)) <= 0
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    numbers = ["age_min", "age_max", "years_min", "skill_years_min"]
+    some = any_of([F.col(c).isNotNull() for c in numbers] + [~off(c) for c in ("skills", "kinds", "flows", "texts")] + [~blank(c) for c in ("name", "station")] + [F.coalesce("exclude_c", F.lit(False))])
+    r = rules.where(some).withColumn("include_unknown", F.coalesce("include_unknown", F.lit(True))).alias("r")
+    p, u = people.alias("p"), F.col("r.include_unknown")
+    within = lambda c, value: F.contains(key_of(F.coalesce(F.col(value), F.lit(""))), key_of(F.col(c)))
+    known = F.filter(F.map_entries("p.months"), lambda e: ~e["key"].startswith("_") & F.exists("r.skills", lambda w: skill_fits(w, e["key"])))
+    long_enough = F.when(F.size(known) > 0, F.exists(known, lambda e: e["value"] >= 12 * F.col("r.skill_years_min")))
+    levels = F.coalesce("p.levels", F.array().cast("array<string>"))
+    only_c = F.array_contains(levels, "C") & ~F.array_contains(levels, "A") & ~F.array_contains(levels, "B")
+    holds = (
+        (F.col("r.data_env") == F.col("p.data_env"))
+        & (blank("r.name") | within("r.name", "p.name"))
+        & (blank("r.station") | within("r.station", "p.station"))
+        & (off("r.skills") | F.exists("r.skills", lambda w: F.exists("p.skills", lambda s: skill_fits(w, s))))
+        & passes(F.col("r.age_min"), F.col("p.age"), F.col("p.age") >= F.col("r.age_min"), u)
+        & passes(F.col("r.age_max"), F.col("p.age"), F.col("p.age") <= F.col("r.age_max"), u)
+        & passes(F.col("r.years_min"), F.col("p.years"), F.col("p.years") >= F.col("r.years_min"), u)
+        & (F.col("r.skill_years_min").isNull() | off("r.skills") | F.coalesce(long_enough, u))
+        & (off("r.kinds") | passes(F.lit(1), F.col("p.kind"), F.array_contains("r.kinds", F.col("p.kind")), u))
+        & (off("r.flows") | passes(F.lit(1), supply_step(F.col("p.flow")), F.array_contains("r.flows", supply_step(F.col("p.flow"))), u))
+        & ~(F.coalesce("r.exclude_c", F.lit(False)) & only_c)
+    )
+    return p.join(small(r), holds).select("r.rule", "p.id", u.alias("include_unknown"), F.col("r.texts").alias("texts"))
+
+
+def with_bodies(matches: DataFrame, bodies: DataFrame) -> DataFrame:
+    """rule, id of the matches whose body has one of the rule's texts; bodies (id, body) are read for rules with texts alone."""
+    wanted = F.coalesce(F.filter("texts", lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
+    m = matches.withColumn("wanted", wanted)
+    asked = m.where(F.size("wanted") > 0).join(bodies, "id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    fits = F.when(F.trim("body") == "", F.col("include_unknown")).otherwise(F.exists("wanted", lambda w: F.contains(key_of(F.col("body")), key_of(w))))
+    return m.where(F.size("wanted") == 0).select("rule", "id").unionByName(asked.where(fits).select("rule", "id"))
+
+
 def first_rule(rules: list[tuple[str, Column]], otherwise: str) -> Column:
     """The class of the first rule that holds."""
     out = F.when(F.coalesce(rules[0][1], F.lit(False)), rules[0][0])

@@ -83,3 +83,82 @@ def word_pairs(texts: DataFrame, column: str, words: list[str]) -> DataFrame:
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page in an order that must end with a unique key; limits are clamped to 1..2000."""
     return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 2000))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """n: how many rows a filter or search finds; the same plan as the page's, without order or limit."""
+    return df.agg(F.count("*").alias("n"))
+
+
+def available_by(available: Column, day: Column | None) -> Column:
+    """Free on a day; those of unknown date pass."""
+    return F.lit(True) if day is None else available.isNull() | (available <= day)
+
+
+def slim(df: DataFrame, heavy: list[str]) -> DataFrame:
+    """df without columns that lists don't show; they are not read either."""
+    return df.drop(*heavy)
+
+
+def document(df: DataFrame, key: Column, value: object, promoted: dict[str, Column], heavy: list[str] = ()) -> DataFrame:
+    """The row of one key, with values out of nested ones as columns of their own."""
+    return df.where(key == value).withColumns(promoted).drop(*heavy)
+
+
+def any_keyword(values: Column, keywords: Column) -> Column:
+    """One keyword at least stands in one of the values, lower or upper case; no keywords match all."""
+    return (F.size(keywords) == 0) | F.exists(keywords, lambda k: F.exists(values, lambda v: F.contains(F.lower(v), F.lower(k))))
+
+
+def all_keywords(values: Column, keywords: Column) -> Column:
+    return F.forall(keywords, lambda k: F.exists(values, lambda v: F.contains(F.lower(v), F.lower(k))))
+
+
+def skill_or_word(skills: Column, body: Column, skill: str) -> Column:
+    """The skill is one of a list, or a word of the body."""
+    return F.coalesce(F.array_contains(skills, skill), F.lit(False)) | F.coalesce(contains_word(F.lower(body), F.lit(skill.lower())), F.lit(False))
+
+
+def facets(chosen: dict[str, list], ready: Column | None = None, has_resume: Column | None = None) -> Column:
+    """Values of each facet or-ed, facets and-ed; an empty facet is off, and a null value is in none."""
+    conditions = [one_of(F.col(c), values) for c, values in chosen.items()]
+    return all_of(conditions + [F.coalesce(c, F.lit(False)) for c in (ready, has_resume) if c is not None])
+
+
+def in_order(df: DataFrame, modes: dict[str, list[Column]], mode: str, key: str) -> DataFrame:
+    """df in the order of a mode, the first one if it is unknown; the key breaks ties."""
+    return df.orderBy(*modes.get(mode, next(iter(modes.values()))), key)
+
+
+def matching_first(df: DataFrame, holds: Column, *order: Column) -> list[Column]:
+    return [F.coalesce(holds, F.lit(False)).desc(), *order]
+
+
+def longest_contained(texts: DataFrame, column: str, names: DataFrame, small) -> DataFrame:
+    """texts with name: the longest of names.name that stands in the text, the smallest of equally long ones, or null.
+
+    Substrings as long as some name meet the names by an equi-join, so that no text is held against every name. texts need an id.
+    """
+    lengths = sorted(r[0] for r in names.select(F.char_length("name")).distinct().limit(200).collect())
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(column) - n + 1, F.lit(1))), lambda i: F.substr(F.col(column), i, F.lit(n)))
+
+    spots = F.flatten(F.array(*map(cut, lengths))) if lengths else F.array().cast("array<string>")
+    pieces = texts.select("id", F.explode(F.array_distinct(spots)).alias("name"))
+    found = pieces.join(small(names.select("name").distinct()), "name").groupBy("id").agg(F.min(F.struct((-F.char_length("name")).alias("less"), "name")).alias("b"))
+    return texts.join(found.select("id", "b.name"), "id", "left")
+
+
+def resolved_prefecture(texts: DataFrame, prefectures: list[str], stations: DataFrame, capital: list[str], small) -> DataFrame:
+    """id, text, prefecture: one written in the text (the longest), else that of the longest station in it.
+
+    A station in several prefectures counts only if one alone of them is in the capital's area. texts: id, text; stations: name, prefecture.
+    """
+    spark = texts.sparkSession
+    written = longest_contained(texts, "text", spark.createDataFrame([(p,) for p in prefectures], "name string"), small).withColumnRenamed("name", "written")
+    inside = F.when(F.col("prefecture").isin(capital), F.col("prefecture"))
+    homes = stations.where(F.char_length("name") >= 2).groupBy("name").agg(F.min("prefecture").alias("one"), F.countDistinct("prefecture").alias("n"), F.min(inside).alias("near"), F.countDistinct(inside).alias("n_near"))
+    home = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_near") == 1, F.col("near"))
+    named = longest_contained(written, "text", homes, small).join(small(homes.select("name", home.alias("home"))), "name", "left")
+    return named.select("id", "text", F.coalesce("written", "home").alias("prefecture"))
