@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Years before the first of each era, Chinese numerals, and how "months" is written.
+# The year before the first of each era, numerals, and how "years" and "months" are written.
 ERAS = {"昭和": 1925, "S": 1925, "平成": 1988, "H": 1988, "令和": 2018, "R": 2018}
 NUMERALS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12}
-MONTHS = "[ヶかカヵｶ]月"
+LENGTHS = r"([0-9]+|[一二三四五六七八九十]+)\s*(年|[ヶかカヵｶ]月)"
 #: More "years" than this are a date; serial days of spreadsheets that are taken for dates; years that are believed.
 LONGEST_YEARS, SERIAL, YEARS = 50, (25569, 50000), (1970, 2100)
+#: Shapes of dates, the first that gives a believed month counting: a pattern, and its groups of the era, the year and the month.
+DATES = (
+    (r"^\s*(昭和|平成|令和|[SHRshr])\s*(元|[0-9]{1,2})\s*[年./-]\s*([0-9]{1,2})", 1, 2, 3),
+    (r"^\D*([0-9]{2,4})\s*[年./-]\s*([0-9]{1,2})(?![0-9]*/[0-9])", None, 1, 2),
+    (r"^\s*([0-9]{1,2})/[0-9]{1,2}/([0-9]{2,4})\s*$", None, 2, 1),
+)
 
 
 def _or_null(c: Column) -> Column:
@@ -23,30 +29,28 @@ def _lookup(table: dict, c: Column) -> Column:
 
 def duration_months(c: Column) -> Column:
     """Months of a text as 2年6ヶ月, in digits or numerals, or null; what looks like a calendar year is no length."""
-    years, months = _or_null(F.regexp_extract(c, r"([0-9]+)\s*年", 1)).cast("int"), _or_null(F.regexp_extract(c, rf"([0-9]+)\s*{MONTHS}", 1)).cast("int")
-    kanji = "".join(k for k in NUMERALS if len(k) == 1 and k != "零")
-    written = [_lookup(NUMERALS, _or_null(F.regexp_extract(c, rf"([{kanji}]+)\s*{unit}", 1))) for unit in ("年", MONTHS)]
-    total = lambda y, m: F.coalesce(y, F.lit(0)) * 12 + F.coalesce(m, F.lit(0))
-    found = F.when(total(years, months) > 0, total(years, months)).otherwise(F.nullif(total(*written), F.lit(0)))
-    return F.when(F.coalesce(years, F.lit(0)) <= LONGEST_YEARS, found)
+    amounts = F.arrays_zip(F.regexp_extract_all(c, F.lit(LENGTHS), F.lit(1)).alias("n"), F.regexp_extract_all(c, F.lit(LENGTHS), F.lit(2)).alias("unit"))
+
+    def first(is_year: bool) -> Column:
+        own = F.get(F.filter(amounts, lambda x: (x["unit"] == "年") == F.lit(is_year)), F.lit(0))["n"]
+        return F.coalesce(own.try_cast("int"), _lookup(NUMERALS, own), F.lit(0))
+
+    return F.when(first(True) <= LONGEST_YEARS, F.nullif(12 * first(True) + first(False), F.lit(0)))
 
 
 def month_number(c: Column) -> Column:
-    """Year and month of a date in a text as one number: by era, as a spreadsheet's serial day, year first, or month/day/year."""
-    s = F.trim(c)
-    era = _lookup(ERAS, F.upper(F.regexp_extract(s, r"^(昭和|平成|令和|[SsHhRr])\s*(?:[0-9]{1,2}|元)\s*[/\-年.]", 1)))
-    era_year = F.regexp_extract(s, r"^\D*?([0-9]{1,2}|元)\s*[/\-年.]", 1)
-    era_year = era + F.when(era_year == "元", 1).otherwise(_or_null(era_year).try_cast("int"))
-    era_month = _or_null(F.regexp_extract(s, r"^\D*?(?:[0-9]{1,2}|元)\s*[/\-年.]\s*([0-9]{1,2})", 1)).cast("int")
-    plain = F.regexp_replace(s, "^[gGhHrRsS]", "")
-    serial = _or_null(F.regexp_extract(plain, "^([0-9]{5})(?:[.][0-9]+)?$", 1)).cast("int")
+    """Year and month of a date in a text as one number: by era, year first, month/day/year, or a spreadsheet's serial day."""
+
+    def month_of(pattern: str, era: int | None, year: int, month: int) -> Column:
+        part = lambda i: _or_null(F.regexp_extract(c, pattern, i))
+        number = lambda i: F.when(part(i) == "元", 1).otherwise(part(i).try_cast("int"))
+        y, m = number(year), number(month)
+        y = y + _lookup(ERAS, F.upper(part(era))) if era else F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
+        return F.when(y.between(*YEARS) & m.between(1, 12), 12 * y + m)
+
+    serial = _or_null(F.regexp_extract(c, r"^\s*([0-9]{5})(?:[.][0-9]+)?\s*$", 1)).cast("int")
     day = F.date_add(F.to_date(F.lit("1899-12-30")), F.when(serial.between(*SERIAL), serial))
-    year, month = (_or_null(F.regexp_extract(plain, r"([0-9]{2,4})\s*[/\-年.]\s*([0-9]{1,2})", i)).cast("int") for i in (1, 2))
-    us = r"^([0-9]{1,2})/[0-9]{1,2}/([0-9]{2,4})$"
-    us_month, us_year = (_or_null(F.regexp_extract(plain, us, i)).cast("int") for i in (1, 2))
-    whole = lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    believed = lambda y, m: F.when(y.between(*YEARS) & m.between(1, 12), y * 12 + m)
-    return F.coalesce(believed(era_year, era_month), believed(F.year(day), F.month(day)), F.when(serial.isNull(), believed(whole(year), month)), believed(whole(us_year), us_month))
+    return F.coalesce(F.year(day) * 12 + F.month(day), *(month_of(*shape) for shape in DATES))
 
 
 def mail_conflicts(a: str, b: str, columns: tuple[str, ...] = ("station", "prefecture", "age", "rate")) -> Column:

@@ -23,6 +23,8 @@ REGIONS = {
 # Names that say no prefecture, and endings of prefectures that aren't 県.
 NO_PREFECTURE = ["", "null", "日本", "関東", "全国", "リモート"]
 FULL_NAMES = {"東京": "東京都", "大阪": "大阪府", "京都": "京都府", "北海": "北海道"}
+# How amounts before 万 and numbers alone are written.
+AMOUNT, NUMBER = r"([0-9]+(?:\.[0-9]+)?)\s*万", r"^\s*[0-9]+(\.[0-9]+)?\s*$"
 # Words for "from today on", and whose own staff or whose partner's staff may be offered.
 AT_ONCE = "即日|即時|すぐ|随時|現在|稼働可能|空き"
 OWN, ONE_STEP, FURTHER = "自社", "1社先", "2社先以降"
@@ -99,17 +101,20 @@ def can_be_offered(gate: Column, flow: Column, has_resume: Column, available: Co
 def highest_rate(c: Column) -> Column:
     """The largest of the amounts before 万 in (0, 500], else a text that is a number alone."""
     text = F.translate(F.coalesce(c, F.lit("")), WIDE_DIGITS + "．", DIGITS + ".")
-    amounts = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*万"), F.lit(1)), lambda x: x.cast("double"))
-    alone = F.when(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.trim(text).cast("double"))
+    amounts = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), lambda x: x.cast("double"))
+    alone = F.when(text.rlike(NUMBER), F.trim(text).cast("double"))
     return F.coalesce(F.array_max(F.filter(amounts, lambda x: (x > 0) & (x <= 500))), alone)
 
 
+#: An amount before 万, or two of them with a dash between.
+RANGE = "([0-9]{2,3})(?:[ 　]*[~〜ー−-][ 　]*([0-9]{2,3}))?[ 　]*万"
+
+
 def lowest_rate(c: Column) -> Column:
     """The smallest amount of two or three digits before 万 in 20..300; both ends of a range count."""
     text = F.translate(F.coalesce(c, F.lit("")), WIDE_DIGITS + "～－", DIGITS + "~-")
-    text = F.regexp_replace(text, "([0-9]{2,3})[ 　]*[~〜ー−-][ 　]*([0-9]{2,3})[ 　]*万", "$1万 $2万")
-    amounts = F.transform(F.regexp_extract_all(text, F.lit("([0-9]{2,3})[ 　]*万"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_min(F.filter(amounts, lambda x: x.between(20, 300)))
+    ends = F.concat(*(F.regexp_extract_all(text, F.lit(RANGE), F.lit(i)) for i in (1, 2)))
+    return F.array_min(F.filter(F.transform(ends, lambda x: x.try_cast("int")), lambda x: x.between(20, 300)))
 
 
 def mean_rate(c: Column) -> Column:
@@ -121,13 +126,12 @@ def mean_rate(c: Column) -> Column:
 
 def available_from(c: Column, as_of: Column) -> Column:
     """The first day of the month that a text names; as_of for "at once"; a month alone is the next one of that name."""
-    text = F.translate(c, WIDE_DIGITS + "～－", DIGITS + "~-")
-    year = _or_null(F.regexp_extract(text, "(20[0-9]{2})[年/-]", 1)).cast("int")
-    of_year = _or_null(F.regexp_extract(text, r"20[0-9]{2}[年/-]\s*([0-9]{1,2})", 1)).cast("int")
-    alone = _or_null(F.regexp_extract(text, r"(?:^|[^0-9])([0-9]{1,2})\s*(?:月|/)", 1)).cast("int")
-    next_one = F.year(as_of) + F.when(alone < F.month(as_of), 1).otherwise(0)
-    day = lambda y, m: F.when(m.between(1, 12), F.make_date(y, F.when(m.between(1, 12), m), F.lit(1)))
-    return _first([(text.rlike(AT_ONCE), as_of), (year.isNotNull(), day(year, of_year))], day(next_one, alone))
+    text = F.translate(c, WIDE_DIGITS, DIGITS)
+    dated = lambda i: _or_null(F.regexp_extract(text, r"(20[0-9]{2})\s*[年/-]\s*([0-9]{1,2})?", i)).cast("int")
+    bare = _or_null(F.regexp_extract(text, r"(?<![0-9])([0-9]{1,2})\s*[月/]", 1)).cast("int")
+    year = F.coalesce(dated(1), F.year(as_of) + (bare < F.month(as_of)).cast("int"))
+    month = F.when(dated(1).isNotNull(), dated(2)).otherwise(bare)
+    return F.when(text.rlike(AT_ONCE), as_of).when(month.between(1, 12), F.make_date(year, F.when(month.between(1, 12), month), F.lit(1)))
 
 
 def experience_band(years: Column) -> Column:

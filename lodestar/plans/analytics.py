@@ -203,13 +203,13 @@ def best_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Votes for and against low quality: two or more for it and none against give 1, one against and none for it 0, the rest none (-1); and how that fits the given labels."""
+    """Votes for and against low quality: two or more for it and none against give 1, one against and none for it 0, the rest null; and how that fits the given labels."""
     doc = table(spark, d, "documents")
     words = F.size(F.split("text", r"\s+"))
     votes = [F.when(F.col("text").contains("!!"), 1), F.when(words < 40, 1), F.when(F.regexp_count("text", F.lit(r"\|")) > 5, 1), F.when(F.col("text").rlike(r"(\b\w+ )\1{5}"), 1), F.when(words > 300, -1)]
     yes, no = sum(F.coalesce((v == 1).cast("int"), F.lit(0)) for v in votes), sum(F.coalesce((v == -1).cast("int"), F.lit(0)) for v in votes)
     label = F.when((yes >= 2) & (no == 0), 1).when((no >= 1) & (yes == 0), 0)
-    return doc.select("doc_id", F.coalesce(label, F.lit(-1)).cast("long").alias("label")).join(table(spark, d, "labels"), "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low"))
+    return doc.select("doc_id", label.cast("double").alias("label")).join(table(spark, d, "labels"), "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low"))
 
 
 def share_by_first_turn(spark: SparkSession, d: str) -> DataFrame:
@@ -264,7 +264,7 @@ rep AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, w, unnest(range(1, len(w) -
   AND w[i + 1] = regexp_extract(w[i], '\w+$') AND w[i + 2] = w[i + 1] AND w[i + 3] = w[i + 1] AND w[i + 4] = w[i + 1] AND w[i + 5] = w[i + 1]),
 v AS (SELECT doc_id, coalesce(contains(text, '!!'), false)::INT + coalesce(len(regexp_split_to_array(text, '\s+')) < 40, false)::INT + coalesce(len(text) - len(replace(text, '|', '')) > 5, false)::INT + (rep.doc_id IS NOT NULL)::INT AS yes,
   coalesce(len(regexp_split_to_array(text, '\s+')) > 300, false)::INT AS no FROM documents LEFT JOIN rep USING (doc_id))
-SELECT CASE WHEN yes >= 2 AND no = 0 THEN 1 WHEN no >= 1 AND yes = 0 THEN 0 ELSE -1 END::BIGINT AS label, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS low FROM v JOIN labels USING (doc_id) GROUP BY 1"""),
+SELECT CASE WHEN yes >= 2 AND no = 0 THEN 1 WHEN no >= 1 AND yes = 0 THEN 0 END::DOUBLE AS label, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS low FROM v JOIN labels USING (doc_id) GROUP BY 1"""),
     "share_by_first_turn": (share_by_first_turn, "SELECT turns, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations) WHERE turn = 0 GROUP BY 1"),
     "same_text": (same_text, "SELECT md5(text) AS hash, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
 }

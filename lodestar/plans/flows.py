@@ -95,7 +95,7 @@ QUERIES = {
     "silences": (silences, "SELECT event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS l FROM events) WHERE floor(epoch(ts)) - floor(epoch(l)) > 5400 GROUP BY 1"),
     "latest_lines": (latest_lines, "SELECT o_custkey, max(CASE WHEN y THEN o_orderkey END) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM (SELECT *, CASE WHEN max(o_orderdate >= TIMESTAMP '1995-01-01') OVER (PARTITION BY o_custkey) THEN o_orderdate >= TIMESTAMP '1995-01-01' ELSE true END AS y FROM orders) WHERE y GROUP BY 1"),
     "company_keys": (company_keys, "SELECT 'ab' || (c_custkey % 40) AS key, count(*) AS n, 'AK-' || lpad(CAST(min(c_custkey) AS VARCHAR), 5, '0') AS first FROM customer GROUP BY c_custkey % 40"),
-    "name_faults": (name_faults, "SELECT p_partkey % 5 AS kind, CASE p_partkey % 5 WHEN 1 THEN 'digits,era' WHEN 2 THEN 'empty' WHEN 3 THEN 'kind of skill' ELSE '' END AS faults, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1, 2"),
+    "name_faults": (name_faults, "SELECT p_partkey % 5 AS kind, CASE p_partkey % 5 WHEN 1 THEN 'era,numbers' WHEN 2 THEN 'empty' WHEN 3 THEN 'kind of skill' ELSE '' END AS faults, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1, 2"),
     "role_fit": (role_fit, "SELECT * FROM (VALUES ('PM', 'PMO', '-', 0.5), ('プロジェクトマネージャー', 'PMO', 'A', 0.45), ('プロジェクトマネージャー', 'PMO', '-', 0.2), ('システムエンジニア', 'アーキテクト', '-', 0.9), ('PMO', 'PMO', 'C', 1.0), ('', 'PMO', '-', 0.5)) v(required_role, role, role_level, affinity)"),
     "unseen": (unseen, None),
     "numbered": (numbered, "SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS number FROM customer"),

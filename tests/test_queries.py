@@ -6,10 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestar.plans import analytics, flows, matching
+from lodestar.plans import ALL as QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = matching.QUERIES | analytics.QUERIES | flows.QUERIES
 
 
 @pytest.fixture(scope="module")
