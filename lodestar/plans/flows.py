@@ -34,6 +34,33 @@ def stream_marks(spark: SparkSession, d: str) -> DataFrame:
     return batches.marked_once(batches.events_stream(spark, d), matches, ["rule", "user_id"], batches.folder(spark, "marks"))
 
 
+def _arriving(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return batches.arriving(table(spark, d, "events"), batches.folder(spark, f"{name}-files"), "ts", 3)
+
+
+def stream_recomputed(spark: SparkSession, d: str) -> DataFrame:
+    """Totals computed anew after each of three batches."""
+    compute = lambda: table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    out, runs = batches.recomputed_on_arrival(_arriving(spark, d, "recomputed"), compute, batches.folder(spark, "recomputed"))
+    return out.withColumn("runs", F.lit(runs).cast("long"))
+
+
+def stream_archived(spark: SparkSession, d: str) -> DataFrame:
+    old = F.col("ts").cast("timestamp") < F.to_timestamp(F.lit("2024-01-15"))
+    parts = batches.archived(_arriving(spark, d, "archived"), old, batches.folder(spark, "archived"))
+    counted = [df.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for df, name in zip(parts, ("archive", "live"), strict=True)]
+    return counted[0].unionByName(counted[1])
+
+
+def stall_alerts(spark: SparkSession, d: str) -> DataFrame:
+    a = batches.stall_alerts(table(spark, d, "events"), "user_id", "ts")
+    return a.select("user_id", F.date_format("at", "yyyy-MM-dd HH").alias("at"), F.date_format("since", "yyyy-MM-dd HH:mm").alias("since"))
+
+
+def new_again(spark: SparkSession, d: str) -> DataFrame:
+    return batches.counted_as_new(table(spark, d, "events"), ["user_id", "event_type"], "ts", 3).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def silences(spark: SparkSession, d: str) -> DataFrame:
     s = batches.silences(table(spark, d, "events"), ["event_type"], "ts", 1.5)
     return s.groupBy("event_type").agg(F.count("*").alias("n"), F.date_format(F.max("until"), "yyyy-MM-dd HH:mm").alias("last"))
@@ -93,11 +120,20 @@ QUERIES = {
     "stream_first": (stream_first, "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
     "stream_marks": (stream_marks, "SELECT DISTINCT rule, user_id FROM events JOIN (VALUES (1::BIGINT, 'error', 50.0), (2, 'purchase', 90.0)) v(rule, t, least) ON event_type = t AND value >= least"),
     "silences": (silences, "SELECT event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS l FROM events) WHERE floor(epoch(ts)) - floor(epoch(l)) > 5400 GROUP BY 1"),
+    "stream_recomputed": (stream_recomputed, "SELECT event_type, count(*) AS n, 3::BIGINT AS runs FROM events GROUP BY 1"),
+    "stream_archived": (stream_archived, "SELECT event_type, count(*) AS n, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'archive' ELSE 'live' END AS part FROM events GROUP BY ALL"),
+    "stall_alerts": (stall_alerts, """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), g AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS n FROM e),
+c AS (SELECT user_id, s, unnest(range(s // 3600 + 3, (n - 1) // 3600 + 1)) AS h, n FROM g WHERE n - s >= 10800), d AS (SELECT * FROM c WHERE h * 3600 - s >= 10800 AND h * 3600 < n AND h % 24 >= 9 AND h % 24 < 18),
+f AS (SELECT *, min(h) OVER (PARTITION BY user_id, s) AS f FROM d) SELECT user_id, strftime(make_timestamp(h * 3600000000), '%Y-%m-%d %H') AS "at", strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M') AS since FROM f WHERE (h - f) % 6 = 0"""),
+    "new_again": (new_again, "SELECT event_type, count(*) AS n FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS l FROM events) WHERE l IS NULL OR ts - l > INTERVAL 3 DAYS GROUP BY 1"),
     "latest_lines": (latest_lines, "SELECT o_custkey, max(CASE WHEN y THEN o_orderkey END) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM (SELECT *, CASE WHEN max(o_orderdate >= TIMESTAMP '1995-01-01') OVER (PARTITION BY o_custkey) THEN o_orderdate >= TIMESTAMP '1995-01-01' ELSE true END AS y FROM orders) WHERE y GROUP BY 1"),
     "company_keys": (company_keys, "SELECT 'ab' || (c_custkey % 40) AS key, count(*) AS n, 'AK-' || lpad(CAST(min(c_custkey) AS VARCHAR), 5, '0') AS first FROM customer GROUP BY c_custkey % 40"),
     "name_faults": (name_faults, "SELECT p_partkey % 5 AS kind, CASE p_partkey % 5 WHEN 1 THEN 'era,numbers' WHEN 2 THEN 'empty' WHEN 3 THEN 'kind of skill' ELSE '' END AS faults, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1, 2"),
     "role_fit": (role_fit, "SELECT * FROM (VALUES ('PM', 'PMO', '-', 0.5), ('プロジェクトマネージャー', 'PMO', 'A', 0.45), ('プロジェクトマネージャー', 'PMO', '-', 0.2), ('システムエンジニア', 'アーキテクト', '-', 0.9), ('PMO', 'PMO', 'C', 1.0), ('', 'PMO', '-', 0.5)) v(required_role, role, role_level, affinity)"),
-    "unseen": (unseen, None),
+    "unseen": (unseen, """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderpriority AS p, o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m') AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+w AS (SELECT o_custkey, k, o_orderkey, [p] AS ps, [m] AS ms, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.o_custkey, o.k, o.o_orderkey, CASE WHEN list_contains(ps, p) OR list_contains(ms, m) THEN ps ELSE list_append(ps, p) END,
+  CASE WHEN list_contains(ps, p) OR list_contains(ms, m) THEN ms ELSE list_append(ms, m) END, NOT (list_contains(ps, p) OR list_contains(ms, m)) FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1)
+SELECT o_custkey, o_orderkey FROM w WHERE kept"""),
     "numbered": (numbered, "SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS number FROM customer"),
     "merged_people": (merged_people, "WITH x AS (SELECT o_custkey, o_orderkey % 2 AS p, max(o_orderkey) AS k, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END) AS s FROM orders GROUP BY 1, 2) SELECT o_custkey, coalesce(n.k, o.k) AS k, coalesce(n.s, o.s) AS s FROM x o JOIN x n USING (o_custkey) WHERE o.p = 0 AND n.p = 1"),
 }
