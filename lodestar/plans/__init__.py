@@ -1,5 +1,5 @@
 """Queries over the test tables by name: a function of (spark, folder of tables), and SQL with the same rows or None."""
 
-from . import analytics, audits, flows, jobs, matching, people, staffing
+from . import analytics, audits, extraction, flows, jobs, matching, people, staffing
 
-ALL = matching.QUERIES | analytics.QUERIES | flows.QUERIES | staffing.QUERIES | people.QUERIES | audits.QUERIES | jobs.QUERIES
+ALL = matching.QUERIES | analytics.QUERIES | flows.QUERIES | staffing.QUERIES | people.QUERIES | audits.QUERIES | jobs.QUERIES | extraction.QUERIES

@@ -48,3 +48,53 @@ def normalised_message(payload: Column) -> Column:
         first_given(payload, "$.text", "$.body-plain", "$.plain", "$.TextBody", "$.body").alias("text"),
         first_given(payload, "$.message_id", "$.messageId", "$.MessageID", "$.headers.message-id").alias("message_id"),
     )
+
+
+def provider(payload: Column) -> Column:
+    """Which provider's form a message has, by a key that it alone uses; generic if none."""
+    has = lambda path: F.get_json_object(payload, path).isNotNull()
+    return F.when(has("$.MessageID") & has("$.TextBody"), "postmark").when(has("$['body-plain']"), "mailgun").when(has("$.envelope"), "sendgrid").when(has("$.headers"), "cloudmailin").otherwise("generic")
+
+
+def unwrapped(text: Column) -> Column:
+    """sender, subject, text of a forwarded message: what its inner header says, with the text below it; null sender and subject if it is none."""
+    mark = r"(?s)^.*?(?:-{2,}\s*Forwarded message\s*-{2,}|-{2,}\s*(?:転送|Original Message)[^\n]*-{2,})\s*\n(.*)$"
+    inner = F.nullif(F.regexp_extract(text, mark, 1), F.lit(""))
+    line = lambda names: F.nullif(F.trim(F.regexp_extract(inner, rf"(?im)^(?:{names})\s*[:：]\s*(.+)$", 1)), F.lit(""))
+    body = F.regexp_extract(inner, r"(?s)^.*?\n\s*\n(.*)$", 1)
+    address = F.nullif(F.regexp_extract(line("from|差出人"), r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1), F.lit(""))
+    return F.struct(F.lower(address).alias("sender"), line("subject|件名").alias("subject"), F.when(inner.isNull(), text).otherwise(F.trim(body)).alias("text"))
+
+
+def attachments(payload: Column) -> Column:
+    """name and size of attachments, whichever of the usual names they have; those without a name are left out."""
+    given = F.coalesce(*(F.from_json(F.get_json_object(payload, p), "array<map<string,string>>") for p in ("$.attachments", "$.Attachments", "$.files")))
+    first = lambda a, names: F.coalesce(*(F.try_element_at(a, F.lit(n)) for n in names))
+    named = F.transform(given, lambda a: F.struct(first(a, ("name", "Name", "filename", "file_name")).alias("name"), first(a, ("size", "ContentLength", "length")).try_cast("long").alias("size")))
+    return F.coalesce(F.filter(named, lambda a: a["name"].isNotNull()), F.array().cast("array<struct<name:string,size:bigint>>"))
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One file that holds an array of rows; a path without files is an error."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def export_new(df: DataFrame, path: str, time: str, key: str, turn: int) -> DataFrame:
+    """Adds what is newer than the last export to folders by day, and returns all that is there.
+
+    The watermark is the greatest time exported, read from a small table beside the days. Rows of the watermark's own time may
+    be there already: they are told by their key. A turn writes to folders of its own, so that a repeated one replaces its own rows.
+    """
+    spark = df.sparkSession
+    state, rows = f"{path}/state", f"{path}/rows"
+    fresh = df
+    if turn:
+        last = spark.read.parquet(state).where(F.col("turn") < turn).agg(F.max("watermark").alias("last"))
+        edge = spark.read.parquet(rows).where(F.col("turn") < turn).join(F.broadcast(last), F.col(time) == F.col("last"), "left_semi").select(key)
+        fresh = df.join(F.broadcast(last), F.col(time) >= F.col("last"), "left_semi").join(edge, key, "left_anti")
+    out = fresh.withColumns({"turn": F.lit(turn), "day": F.date_format(time, "yyyy-MM-dd")})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("turn", "day").parquet(rows)
+    done = spark.read.parquet(rows)
+    mark = done.where(F.col("turn") == turn).agg(F.max(time).alias("watermark"), F.lit(turn).alias("turn"))
+    mark.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("turn").parquet(state)
+    return done
