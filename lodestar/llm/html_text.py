@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,6 +21,8 @@ from .common import append_columns, table
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript svg iframe object textarea head".split())
+#: What a head may hold; any other tag ends a head that is still open.
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 #: A new one of these ends an open one of the same row.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body article section div main aside nav form select".split())
@@ -27,9 +31,13 @@ _NAMES = re.compile(r"[^a-z0-9]+")
 
 @dataclass
 class Block:
+    """A run of text, the different tags and names around it, the nearest block element and tag, and how much of it is linked."""
+
     text: str
     tags: list[str]
     names: list[str]
+    parent: str
+    last: str
     linked: int
 
 
@@ -39,6 +47,8 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[str]]] = []
+        self.tags: Counter[str] = Counter()
+        self.names: Counter[str] = Counter()
         self.out: list[Block] = []
         self.run: list[str] = []
         self.linked = self.hidden = self.links = 0
@@ -50,11 +60,17 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         if text:
-            self.out.append(Block(text, [t for t, _ in self.stack], [n for _, names in self.stack for n in names], self.linked))
+            parent = next((t for t, _ in reversed(self.stack) if t in BLOCK), "none")
+            self.out.append(Block(text, list(self.tags), list(self.names), parent, self.stack[-1][0] if self.stack else "", self.linked))
         self.run, self.linked = [], 0
 
     def pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, names = self.stack.pop()
+        for counter, gone in ((self.tags, [tag]), (self.names, names)):
+            counter.subtract(gone)
+            for x in gone:
+                if not counter[x]:
+                    counter.pop(x, None)
         self.hidden -= tag in HIDDEN
         self.links -= tag == "a"
 
@@ -64,6 +80,9 @@ class Blocks(HTMLParser):
         if tag == "body":  # even an unclosed head ends here
             while self.stack and self.stack[-1][0] != "html":
                 self.pop()
+        if "head" in self.tags and tag not in IN_HEAD and tag != "head":
+            while "head" in self.tags:
+                self.pop()
         closed = CLOSES.get(tag) or (("p",) if tag in BLOCK and tag not in ("br", "button", "label", "option") else ())
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in closed:
@@ -72,7 +91,10 @@ class Blocks(HTMLParser):
             elif self.stack[k][0] in SCOPE:
                 break
         if tag not in VOID:
-            self.stack.append((tag, [n for k, v in attrs if k in ("class", "id", "role") and v for n in _NAMES.split(v.lower()) if n]))
+            names = [n for k, v in attrs if k in ("class", "id", "role") and v for n in _NAMES.split(v.lower()) if n]
+            self.stack.append((tag, names))
+            self.tags[tag] += 1
+            self.names.update(names)
             self.hidden += tag in HIDDEN
             self.links += tag == "a"
 
@@ -84,7 +106,7 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        if any(t == tag for t, _ in self.stack):
+        if tag in self.tags:
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -107,12 +129,12 @@ def features_of(b: Block) -> list[str]:
     n, words = len(b.text), b.text.count(" ") + 1
     size = "1" if words == 1 else "4" if words <= 4 else "12" if words <= 12 else "40" if words <= 40 else "more"
     links = b.linked / n
-    out = ["always", f"words:{size}", "links:" + ("none" if links < 0.05 else "some" if links < 0.5 else "most"), f"last:{b.text[-1] in '.!?:;,)'}", f"parent:{next((t for t in reversed(b.tags) if t in BLOCK), 'none')}"]
+    out = ["always", f"words:{size}", "links:" + ("none" if links < 0.05 else "some" if links < 0.5 else "most"), f"last:{b.text[-1] in '.!?:;,)'}", f"parent:{b.parent}"]
     if "©" in b.text or "(c)" in b.text.lower():
         out.append("copyright")
-    if re.match(r"h[1-6]$", b.tags[-1] if b.tags else ""):
+    if re.match(r"h[1-6]$", b.last):
         out.append("heading")
-    return out + [f"in:{t}" for t in set(b.tags)] + [f"named:{x}" for x in set(b.names)]
+    return out + [f"in:{t}" for t in b.tags] + [f"named:{x}" for x in b.names]
 
 
 @dataclass
@@ -256,6 +278,7 @@ class LabelledPages:
         return f"{a} <{(t := self.random.choice(['b', 'em', 'a', 'span']))}>{b}</{t}> {c}"
 
 
+@lru_cache(4)
 def trained(pages: int = 600, seed: int = 20240817) -> Model:
     made = LabelledPages(seed)
     return train([made.page() for _ in range(pages)])

@@ -40,3 +40,12 @@ def test_cases(spark, model):
     rows = [(1, None), (2, ""), (3, "<body><article><p>One &amp; two&eacute;\n  three<p>four</article><script>x</script>"), (4, "<![foo[ <b"), (5, "<div>" * 5000), (6, "<article><p>" + "long " * 100_000)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, html string"), model).collect()}
     assert got[1] == got[2] == got[5] == "" and got[3] == "One & twoé three four" and len(got[6]) == 499_999
+
+
+def test_head_without_its_end_and_unclosed_tags(spark, model):
+    rows = [(1, "<html><head><title>T</title><article><p>One two three four five six seven.</p></article>"), (2, "<html><head><title>T</title></head><body><article><p>One two three four five six seven.</p></article>"), (3, "<article>" + "<b class=x>word word word<p>" * 20_000), (1, "<html><head><title>T</title><article><p>One two three four five six seven.</p></article>")]
+    got = sorted((r.page_id, r.text) for r in extract(spark.createDataFrame(rows, "page_id long, html string"), model).collect())
+    assert [t for _, t in got[:3]] == ["One two three four five six seven."] * 3
+    blocks = blocks_of(rows[2][1])
+    assert len(blocks) == 20_000 and all(b.text == "word word word" and len(b.tags) <= 3 for b in blocks)
+    assert extract(spark.createDataFrame([], "page_id long, html string"), model).count() == 0
