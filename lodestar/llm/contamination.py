@@ -10,68 +10,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Powers, Scratch, append_columns, pieces, set_aside, shingle_hashes, table, tidy, utf8, word_hashes
+from .common import ALNUM, Powers, Scratch, append_columns, mixed, pieces, set_aside, shingle_hashes, table, tidy, utf8, word_hashes
 
 #: Words of a window, and of the shingles of which a window's rarest is its prefix.
 WINDOW, SHINGLE = 10, 4
 #: Bytes of items that one block of the benchmark has at most about (its index is broadcast); each block is a pass over the documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items, and which items each is in."""
+    """The distinct windows of a block of items, as places in the items' words, and which items each is in.
+
+    Windows are told apart by two independent 64-bit hashes. Arrays only: about 60 bytes for each word of the items.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.ids = sorted({i for i, _ in items})
-        number, powers, found = {x: k for k, x in enumerate(self.ids)}, Powers(), {}
-        for item, text in items:
-            data = np.frombuffer(text.encode("utf-8"), np.uint8)
-            words, _ = word_hashes(data, np.array([0, len(data)]), ALNUM, powers)
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                found.setdefault(tuple(words[k : k + size].tolist()), set()).add(number[item])
-        self.windows = list(found)
-        self.items = [np.array(sorted(x)) for x in found.values()]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        #: By length of shingles, shorter only for windows of fewer words: hash, window and place of every shingle.
-        self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(shingle, len(w)) for w in self.windows}):
-            hashes, of, place = [], [], []
-            for i, w in enumerate(self.windows):
-                if min(shingle, len(w)) == k:
-                    h = shingle_hashes(np.array(w, np.uint64), k)
-                    hashes.append(h), of.append(np.full(len(h), i)), place.append(np.arange(len(h)))
-            self.shingles[k] = (np.concatenate(hashes), np.concatenate(of), np.concatenate(place))
+        self.ids, self.shingle = sorted({i for i, _ in items}), shingle
+        number = {x: k for k, x in enumerate(self.ids)}
+        raw = [text.encode("utf-8") for _, text in items]
+        at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        self.words, first = word_hashes(np.frombuffer(b"".join(raw), np.uint8), at, ALNUM, Powers())
+        n = np.diff(first)
+        size = np.minimum(window, n)
+        many = np.where(n > 0, n - size + 1, 0)
+        item = np.repeat(np.array([number[i] for i, _ in items], np.int64), many)
+        start = np.repeat(first[:-1] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        size = np.repeat(size, many)
+        keys = np.zeros((2, len(start)), np.uint64)
+        for k in np.unique(size):
+            own = size == k
+            for i, words in enumerate((self.words, mixed(self.words ^ np.uint64(0x5851F42D4C957F2D)))):
+                keys[i, own] = shingle_hashes(words, int(k))[start[own]]
+        order = np.lexsort((item, keys[1], keys[0], size))
+        new = np.concatenate([[True], (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0) | (size[order[1:]] != size[order[:-1]])])[: len(order)]
+        once = new | np.concatenate([[True], item[order[1:]] != item[order[:-1]]])[: len(order)]
+        self.start, self.size = start[order[new]], size[order[new]]
+        #: Items of window w: item[of[w] : of[w + 1]], each once.
+        self.item, self.of = item[order[once]], np.append(np.flatnonzero(new[once]), once.sum())
+
+    def shingles(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of shingles, shorter only for windows of fewer words: that length, the windows, hashes at each word, shingles of each window."""
+        k_of = np.minimum(self.shingle, self.size)
+        for k in np.unique(k_of):
+            own = np.flatnonzero(k_of == k)
+            yield int(k), own, shingle_hashes(self.words, int(k)), self.size[own] - k + 1
 
     def distinct(self) -> dict[int, np.ndarray]:
-        return {k: np.unique(h) for k, (h, _, _) in self.shingles.items()}
+        out = {}
+        for k, own, hashes, many in self.shingles():
+            mark = np.zeros(len(hashes) + 1, np.int32)
+            np.add.at(mark, self.start[own], 1), np.add.at(mark, self.start[own] + many, -1)
+            out[k] = np.unique(hashes[np.cumsum(mark[:-1]) > 0])
+        return out
 
     def index(self, counts: dict[int, np.ndarray]) -> Index:
         """With how often each distinct shingle is in the documents: keeps each window's rarest one, the prefix."""
-        by = {}
-        for k, (h, of, place) in self.shingles.items():
-            often = counts[k][np.searchsorted(np.unique(h), h)]
-            order = np.lexsort((place, h, often, of))
-            rarest = order[np.unique(of[order], return_index=True)[1]]
-            rarest = rarest[np.argsort(h[rarest], kind="stable")]
-            keys, first = np.unique(h[rarest], return_index=True)
-            by[k] = (keys, np.append(first, len(rarest)), of[rarest], place[rarest])
-        wide = int(self.sizes.max()) if len(self.sizes) else 0
-        padded = np.zeros((len(self.windows), wide), np.uint64)
-        for i, w in enumerate(self.windows):
-            padded[i, : len(w)] = w
-        return Index(self.ids, self.items, self.sizes, padded, by)
+        by, known = {}, self.distinct()
+        for k, own, hashes, many in self.shingles():
+            often = counts[k][np.minimum(np.searchsorted(known[k], hashes), len(known[k]) - 1)]
+            best = np.zeros(len(own), np.int64)  # the place of the rarest so far; of equally rare ones the smaller hash, then the first
+            for j in range(1, int(many.max())):
+                x, y = self.start[own] + np.minimum(j, many - 1), self.start[own] + best
+                best = np.where((often[x] < often[y]) | ((often[x] == often[y]) & (hashes[x] < hashes[y])), np.minimum(j, many - 1), best)
+            h = hashes[self.start[own] + best]
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
+            by[k] = (keys, np.append(first, len(order)), own[order], best[order])
+        return Index(self.ids, self.item, self.of, self.words, self.start, self.size, by)
 
 
 class Index:
     """Prefix lists: by shingle, the windows that it is the rarest shingle of, with its place."""
 
-    def __init__(self, ids, items, sizes, padded, by):
-        self.ids, self.items, self.sizes, self.padded, self.by = ids, items, sizes, padded, by
+    def __init__(self, ids, item, of, words, start, sizes, by):
+        self.ids, self.item, self.of, self.words, self.start, self.sizes, self.by = ids, item, of, words, start, sizes, by
+
+    def names(self, windows: np.ndarray) -> set[str]:
+        return {self.ids[i] for w in windows for i in self.item[self.of[w] : self.of[w + 1]]}
 
     def find(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows begin in the words of texts (bounds: each text's first word, with the end), and which."""
-        at, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, (keys, first, windows, places) in self.by.items():
             hashes = shingle_hashes(words, k)
             slot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
@@ -82,12 +101,11 @@ class Index:
             text = np.searchsorted(bounds, np.repeat(hit, n), "right") - 1
             fits = (begin >= bounds[text]) & (begin + self.sizes[w] <= bounds[text + 1])
             begin, w = begin[fits], w[fits]
-            step = np.arange(self.padded.shape[1])
-            inside = step < self.sizes[w][:, None]
-            same = (words[np.minimum(begin[:, None] + step, len(words) - 1)] == self.padded[w]) | ~inside
-            same = same.all(axis=1)
-            at.append(begin[same]), of.append(w[same])
-        return np.concatenate(at), np.concatenate(of)
+            for j in range(int(self.sizes[w].max()) if len(w) else 0):  # all words of the window, one after another
+                same = (j >= self.sizes[w]) | (words[np.minimum(begin + j, len(words) - 1)] == self.words[np.minimum(self.start[w] + j, len(self.words) - 1)])
+                begin, w = begin[same], w[same]
+            at.append(begin), found.append(w)
+        return np.concatenate(at), np.concatenate(found)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -141,7 +159,7 @@ def _join(docs: DataFrame, index: Index, first: bool, drop: tuple[str, ...]) ->
                 mark = np.zeros(n_words[a + r] + 1, np.int32)
                 np.add.at(mark, begin[own] - bounds[r], 1)
                 np.add.at(mark, begin[own] - bounds[r] + ix.sizes[w[own]], -1)
-                names = {ix.ids[i] for x in np.unique(w[own]) for i in ix.items[x]}
+                names = ix.names(np.unique(w[own]))
                 if old is not None and old[1][a + r]:
                     pairs = np.frombuffer(old[0][a + r], np.int32).reshape(-1, 2)
                     np.add.at(mark, pairs[:, 0], 1), np.add.at(mark, pairs[:, 1], -1)

@@ -47,3 +47,27 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "nothing here", 5), (2, None, 6)], "doc_id long, text string, n_hit int")
     kept = keep_uncontaminated(spark, docs, sf)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "nothing here", 5), (2, None, 6)]
+
+
+def test_empty_tables_null_items_and_a_very_long_text(spark, words):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k " * 20_000), (None, "x y"), (2, "x y z")], "doc_id long, text string")
+    none = docs.limit(0)
+    items = spark.createDataFrame([(None, "x y"), (4, None), (5, " ".join("abcdefghijklmno"))], "item_id long, text string")
+    assert mark_contamination(none, items).count() == 0
+    assert [(x.n_hit, x.hit_items) for x in mark_contamination(docs, items.limit(0)).collect()] == [(0, [])] * 3
+    got = sorted(((x.n_words, x.n_hit, tuple(x.hit_items)) for x in mark_contamination(docs, items).collect()))
+    assert got == [(2, 2, ("",)), (3, 2, ("",)), (220_000, 220_000, ("5",))]
+
+
+def test_a_large_block_stays_small(words):
+    import tracemalloc
+
+    r = random.Random(1)
+    items = [(str(i), " ".join(str(r.randint(0, 5000)) for _ in range(2000))) for i in range(100)]
+    tracemalloc.start()
+    from lodestar.llm.contamination import Windows
+
+    w = Windows(items)
+    index = w.index({k: h.astype(int) % 7 for k, h in w.distinct().items()})
+    assert tracemalloc.get_traced_memory()[1] < 400 * 200_000 and len(index.start) <= 100 * 1991
+    tracemalloc.stop()
