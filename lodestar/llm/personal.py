@@ -338,6 +338,7 @@ class LabelledSpans:
         return text[cut:], [(k, max(a - cut, 0), b - cut) for k, a, b in spans if b > cut]
 
 
+@lru_cache(4)
 def trained(windows: int = 4000, seed: int = 20240817) -> Tagger:
     made = LabelledSpans(seed)
     return train([made.window() for _ in range(windows)])
