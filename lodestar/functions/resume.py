@@ -75,10 +75,10 @@ def links_to_follow(c: Column, hosts: list[str]) -> Column:
     return F.filter(found, lambda u: host(u).isin(hosts) & ~u.rlike("(?i)(unsubscribe|optout)"))
 
 
-def blocks(texts: DataFrame, marker: str = r"(?=(?:^|\n)\s*(?:[■●◆]|【)?\s*(?:氏名|名前|要員)\s*[0-9]*\s*[:：】])") -> DataFrame:
+def blocks(texts: DataFrame, marker: str = r"(?=\n\s*(?:[■●◆]|【)?\s*(?:氏名|名前|要員)\s*[0-9]*\s*[:：】])") -> DataFrame:
     """id, block, text: a mail about several people as one row a person; what comes before the first mark is block 0."""
-    # The mark may stand at the very beginning, so that a line is put before it.
-    parts = F.split(F.concat(F.lit("\n"), "text"), marker)
+    # The mark may stand at the very beginning, so that a blank line is put before it.
+    parts = F.split(F.concat(F.lit(" \n"), "text"), marker)
     each = texts.select("id", F.posexplode(parts).alias("block", "text")).withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
     return each.where("text != ''")
 
