@@ -14,7 +14,8 @@ BROADCAST_GROUPS = 400_000
 SALT_ROWS, HOT_ROWS = 256, 50_000
 #: Memtables that a table's files are dealt to, and runs of a level that compaction merges into one of the next level.
 MEMTABLES, FANOUT = 4, 4
-BLOOM = {"parquet.bloom.filter.enabled#key": "true"}
+#: Filters of runs are as large as the keys of a file ask for, not one megabyte each, as without the second setting.
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def normalised(text: Column) -> Column:
