@@ -61,19 +61,44 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+@dataclass
+class Rows:
+    """Rows of 0 and 1 by what is 1 in them: features one after another, each one's row, how many rows and how many features there are."""
+
+    feature: np.ndarray
+    row: np.ndarray
+    n: int
+    width: int
+
+    @staticmethod
+    def of(x: Rows | np.ndarray) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        row, feature = np.nonzero(x)
+        return Rows(feature, row, *x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Sums of the weights of each row; the last weight is every row's."""
+        return np.bincount(self.row, w[self.feature], minlength=self.n) + w[-1]
+
+    def mean_of(self, v: np.ndarray) -> np.ndarray:
+        """Mean over the rows of a value for each times the row, with 1 at its end."""
+        return np.append(np.bincount(self.feature, v[self.row], minlength=self.width), v.sum()) / max(self.n, 1)
+
+
+def fit_nnpu(positive: Rows | np.ndarray, unlabelled: Rows | np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
     """Weights, with the bias last, of a linear classifier of rows of 0 and 1.
 
     Minimises prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]), with l(z) = 1 / (1 + exp(z)); where the second
     part falls below 0 its gradient is followed upwards (Kiryo et al., 2017). Adam over all rows.
     """
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
+    p, u = Rows.of(positive), Rows.of(unlabelled)
+    w = np.zeros(p.width + 1)
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
-        slope_p, slope_u = (sp * (1 - sp)) @ p / len(p), (su * (1 - su)) @ u / len(u)
+        sp, su = (1 / (1 + np.exp(-np.clip(x.times(w), -30, 30))) for x in (p, u))
+        slope_p, slope_u = p.mean_of(sp * (1 - sp)), u.mean_of(su * (1 - su))
         negative = su.mean() - prior * sp.mean()
         rest = slope_u - prior * slope_p
         gradient = -prior * slope_p + rest if negative >= 0 else -rest
@@ -140,10 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Cla
 
     rows = learn.mapInArrow(tidy(of_texts), "features binary, confirmed boolean, unlabelled boolean").toArrow()
     confirmed, unlabelled = (np.array(rows.column(i).to_pylist(), bool) for i in (1, 2))
-    x = np.zeros((rows.num_rows, len(good)), np.float32)
-    for i, r in enumerate(rows.column(0)):
-        x[i, np.frombuffer(r.as_buffer(), np.int32)] = 1
-    w = fit_nnpu(x[confirmed], x[unlabelled], min(max(prior, 1e-3), 0.999))
+    found = [np.frombuffer(r.as_buffer(), np.int32) for r in rows.column(0)]
+
+    def chosen(which: np.ndarray) -> Rows:
+        own = [found[i] for i in np.flatnonzero(which)]
+        return Rows(np.concatenate([np.empty(0, np.int32), *own]), np.repeat(np.arange(len(own)), np.array([len(x) for x in own], np.int64)), len(own), len(good))
+
+    w = fit_nnpu(chosen(confirmed), chosen(unlabelled), min(max(prior, 1e-3), 0.999))
     weights = np.zeros(BUCKETS, np.float32)
     weights[good] = w[:-1]
     return Classifier(weights, float(w[-1]))
