@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -47,8 +46,8 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[str]]] = []
-        self.tags: Counter[str] = Counter()
-        self.names: Counter[str] = Counter()
+        self.tags: dict[str, int] = {}  # how often each is open, those that are not left out
+        self.names: dict[str, int] = {}
         self.out: list[Block] = []
         self.run: list[str] = []
         self.linked = self.hidden = self.links = 0
@@ -66,11 +65,12 @@ class Blocks(HTMLParser):
 
     def pop(self) -> None:
         tag, names = self.stack.pop()
-        for counter, gone in ((self.tags, [tag]), (self.names, names)):
-            counter.subtract(gone)
+        for counts, gone in ((self.tags, (tag,)), (self.names, names)):
             for x in gone:
-                if not counter[x]:
-                    counter.pop(x, None)
+                if counts[x] == 1:
+                    del counts[x]
+                else:
+                    counts[x] -= 1
         self.hidden -= tag in HIDDEN
         self.links -= tag == "a"
 
@@ -93,8 +93,9 @@ class Blocks(HTMLParser):
         if tag not in VOID:
             names = [n for k, v in attrs if k in ("class", "id", "role") and v for n in _NAMES.split(v.lower()) if n]
             self.stack.append((tag, names))
-            self.tags[tag] += 1
-            self.names.update(names)
+            self.tags[tag] = self.tags.get(tag, 0) + 1
+            for x in names:
+                self.names[x] = self.names.get(x, 0) + 1
             self.hidden += tag in HIDDEN
             self.links += tag == "a"
 
