@@ -11,7 +11,11 @@ LEAST_RATES = 20
 
 
 def quartiles(df: DataFrame, by: list[str], value: str, least: int = LEAST_RATES) -> DataFrame:
-    """by, people, with_rate, p25, median, p75 of groups with enough known values. Exact; values should be whole numbers."""
+    """by, people, with_rate, p25, median, p75 of groups with enough known values.
+
+    Exact; values should be whole numbers of a bounded range, as a group's different values and how often each is there are held
+    together (not its rows). For values without such a range see `reports.ranked_percentile`.
+    """
     q = {name: F.percentile(F.col(value), F.lit(p)).alias(name) for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))}
     return df.groupBy(*by).agg(F.count("*").alias("people"), F.count(value).alias("with_rate"), *q.values()).where(F.col("with_rate") >= least)
 

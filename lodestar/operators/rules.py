@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import any_of, contains_word, supply_step
 
+from .skills import small
+
 
 def passes(bound: Column, value: Column, holds: Column, include_unknown: Column) -> Column:
     """A rule's condition: off where its bound is null; an unknown value passes if the rule says so."""
@@ -17,7 +19,7 @@ def rule_matches(rules: DataFrame, people: DataFrame) -> DataFrame:
     """rule, id of people that meet every condition of a rule of their tenant. Rules without any condition match nobody.
 
     rules: rule, data_env, age_min, age_max, years_min, skills (array, any of them), kinds (array), include_unknown.
-    people: id, data_env, age, years, skills (array, lower case), kind. Rules are few, and broadcast; people stay where they are.
+    people: id, data_env, age, years, skills (array, lower case), kind. Rules are few, which is seen by counting them, and then broadcast.
     """
     conditions = ["age_min", "age_max", "years_min", "skills", "kinds"]
     r = rules.where(any_of([F.col(c).isNotNull() for c in conditions])).alias("r")
@@ -32,7 +34,7 @@ def rule_matches(rules: DataFrame, people: DataFrame) -> DataFrame:
         & (F.col("r.skills").isNull() | F.arrays_overlap("p.skills", wanted))
         & passes(F.col("r.kinds"), F.col("p.kind"), F.array_contains("r.kinds", F.col("p.kind")), u)
     )
-    return p.join(F.broadcast(r), holds).select("r.rule", "p.id")
+    return p.join(small(r), holds).select("r.rule", "p.id")
 
 
 def key_of(c: Column) -> Column:
@@ -45,7 +47,7 @@ def skill_fits(word: Column, skill: Column) -> Column:
     return contains_word(F.lower(skill), F.lower(F.trim(word))) | (key_of(word) == key_of(skill))
 
 
-def watched(rules: DataFrame, people: DataFrame, small) -> DataFrame:
+def watched(rules: DataFrame, people: DataFrame) -> DataFrame:
     """rule, id, include_unknown, texts of people that meet all of a rule's conditions but that on the body (`with_bodies`).
 
     rules: rule, data_env, name, station (texts), skills, kinds, flows, texts (arrays), age_min, age_max, years_min, skill_years_min,

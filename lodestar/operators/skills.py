@@ -17,7 +17,7 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if it is seen to have few rows."""
+    """df, broadcast if it is seen to have few rows. The count stops at the bound; give it a table that is cheap to make, or a written one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -52,13 +52,17 @@ def satisfied(have: DataFrame, want: DataFrame, names: DataFrame, implications:
     tokens = h.select("have", F.explode(F.array_distinct(F.regexp_extract_all("have", F.lit(token), F.lit(0)))).alias("token"))
     first = w.select("want", F.regexp_extract("want", f"^{token}", 0).alias("token"))
     words = tokens.join(first.where("token != ''"), "token").where(contains_word(F.col("have"), F.col("want"))).select("have", "want")
-    others = h.select("have").join(F.broadcast(first.where("token = ''").select("want")), contains_word(F.col("have"), F.col("want")))
+    others = h.select("have").join(small(first.where("token = ''").select("want")), contains_word(F.col("have"), F.col("want")))
     return same.unionByName(implied).unionByName(words).unionByName(others).distinct()
 
 
 def hit_pairs(people: DataFrame, needs: DataFrame, matches: DataFrame) -> DataFrame:
-    """id, project, skill, weight, months: every need that a person has a skill for, with the longest months of such skills."""
-    p = people.select("id", F.lower(F.trim("skill")).alias("have"), "months")
+    """id, project, skill, weight, months: every need that a person has a skill for, with the longest months of such skills.
+
+    A person's rows are brought together while they are few: what is made of them by broadcast joins, and sums by person and
+    project, then need no further shuffle, though there are many more of them.
+    """
+    p = people.select("id", F.lower(F.trim("skill")).alias("have"), "months").repartition("id")
     n = needs.select("project", F.lower(F.trim("skill")).alias("want"), "weight")
     by_want = p.join(small(matches), "have").groupBy("id", "want").agg(F.max("months").alias("months"))
     return by_want.join(small(n), "want").select("id", "project", F.col("want").alias("skill"), "weight", "months")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions import names, roles
-from lodestar.operators import entities
+from lodestar.operators import entities, skills
 from lodestar.sources import records
 from lodestar.streaming import batches
 
@@ -103,7 +103,7 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
     sizes = c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("c_nationkey").rowsBetween(W.unboundedPreceding, -1))
-    offsets = F.broadcast(sizes.select("c_nationkey", F.coalesce(before, F.lit(0)).alias("before")))
+    offsets = skills.small(sizes.select("c_nationkey", F.coalesce(before, F.lit(0)).alias("before")))
     return c.join(offsets, "c_nationkey").select("c_custkey", (F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) + F.col("before")).alias("number"))
 
 

@@ -135,7 +135,7 @@ RULE_SCHEMA = "rule long, data_env string, name string, station string, skills a
 def watch_rules(spark: SparkSession, d: str) -> DataFrame:
     """Ten rules, among them one without conditions and one of another tenant; bodies are documents of the same number."""
     p = with_skills(spark, d).withColumn("levels", F.when(F.col("id") % 5 > 0, F.array("role_level", F.when(F.col("id") % 7 == 0, "B").otherwise("C"))))
-    found = rules.watched(spark.createDataFrame(RULES, RULE_SCHEMA), p, skills.small)
+    found = rules.watched(spark.createDataFrame(RULES, RULE_SCHEMA), p)
     return rules.with_bodies(found, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")))
 
 
