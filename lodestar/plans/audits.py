@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.functions import text
 from lodestar.operators import entities, intervals, ranking, reports, skills
 
 from .analytics import SPANS, _spans
-from .staffing import NEEDS, PEOPLE, PERSON_SKILLS, all_needs, people, person_skills
+from .staffing import NEEDS, PEOPLE, PERSON_SKILLS, all_needs, people, person_skills, pick
 from .tables import table
 
 
@@ -230,8 +231,75 @@ def extraction_gates(spark: SparkSession, d: str) -> DataFrame:
     return g.select("p_partkey", F.round("coverage", 6).alias("coverage"), F.col("shortfall").cast("long").alias("shortfall"), "passes")
 
 
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    """How well a text's length tells its quality."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return reports.confusion(j, F.col("quality"), (F.col("n_chars") > 600).cast("int"))
+
+
+def name_keys(spark: SparkSession, d: str) -> DataFrame:
+    """People whose names differ only in case and marks."""
+    c = table(spark, d, "customer").select("c_custkey", F.concat(pick(["Yama.da", "YAMA DA", "yama-da", "Tanaka"], F.col("c_custkey") % 4), (F.col("c_custkey") % 5).cast("string")).alias("name"))
+    return c.groupBy(text.name_key(F.col("name")).alias("key")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("spellings"))
+
+
+WORK, HOMES = [("大阪府", None), ("", "東京都 千代田区"), (None, "客先"), (" ", "北海道札幌市")], ["大阪", "兵庫県", "東京都 港区", "札幌", "", None, "京都府"]
+
+
+def near_enough(spark: SparkSession, d: str) -> DataFrame:
+    """Which people may work where projects are: places read from what is written, unknown homes out, unknown places of work open."""
+    q = table(spark, d, "region").select(F.col("r_regionkey").alias("place"), pick([w[0] for w in WORK], F.col("r_regionkey") % 4).alias("pref"), pick([w[1] for w in WORK], F.col("r_regionkey") % 4).alias("loc")).where("place < 4")
+    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), pick(HOMES, F.col("n_nationkey") % 7).alias("home"))
+    work = text.place_of_work(F.col("pref"), F.col("loc"))
+    fits = text.location_fits(F.lit(True), F.lit(False), work, text.core_prefecture(F.col("home")))
+    return p.join(F.broadcast(q), fits).groupBy("place").agg(F.count("*").alias("people"), F.sum("id").alias("ids"))
+
+
+def selective_needs(spark: SparkSession, d: str) -> DataFrame:
+    """Needs without generic brands, except of projects that ask for nothing else."""
+    n = all_needs(spark, d).where("position < 2").select("project", "skill", "generic")
+    generic = n.where("generic").select(F.lower("skill").alias("skill")).distinct()
+    return skills.selective(n.select("project", "skill"), generic)
+
+
+def _namesakes(spark: SparkSession, d: str) -> DataFrame:
+    s = person_skills(spark, d).groupBy("id").agg(F.collect_list("skill").alias("skills"))
+    return people(spark, d).join(s, "id").select("id", "station", F.col("home").alias("prefecture"), "age", F.col("years").alias("experience_years"), "skills", F.concat(F.lit("m"), (F.col("id") % 500).cast("string")).alias("email"), (F.col("id") % 25).alias("name"))
+
+
+def duplicates_of_one(spark: SparkSession, d: str) -> DataFrame:
+    p = _namesakes(spark, d)
+    found = entities.possible_duplicates(p.where((F.col("id") == 57) | (F.col("name") == 7)), ["name"], F.round(entities.same_person_score("a", "b"), 6))
+    return found.where("id = 57").select("other", "score")
+
+
+def shown_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    p = _namesakes(spark, d)
+    a, b = p.where("id % 40 = 7").alias("a"), p.alias("b")
+    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") != F.col("b.id")))
+    return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), entities.display_score("a", "b").cast("long").alias("score")).where("score >= 50")
+
+
+def labelled_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Marks (orders here) beside the label of what they are about, also where there is none."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("key"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    return o.join(F.broadcast(names), "key", "left").groupBy(F.coalesce("n_name", F.lit("(gone)")).alias("label")).agg(F.count("*").alias("n"))
+
+
+NAMESAKES = f"{PERSON_SKILLS}, {PEOPLE}, sk AS (SELECT id, list(skill) AS sk FROM ps GROUP BY 1), p AS (SELECT pe.id, station, home, age, years, sk, 'm' || (pe.id % 500) AS email, pe.id % 25 AS nm FROM pe JOIN sk USING (id))"
 Y = "199801"
 QUERIES = {
+    "confusion": (confusion, """WITH x AS (SELECT quality AS t, (n_chars > 600)::INT AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn FROM x),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c) SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r"""),
+    "name_keys": (name_keys, "SELECT CASE WHEN c_custkey % 4 = 3 THEN 'TANAKA' ELSE 'YAMADA' END || (c_custkey % 5) AS key, count(*) AS n, count(DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END) AS spellings FROM customer GROUP BY 1"),
+    "near_enough": (near_enough, "SELECT place::INT AS place, count(*) AS people, CAST(sum(n_nationkey) AS BIGINT) AS ids FROM nation, (SELECT unnest(range(4)) AS place) WHERE CASE place WHEN 0 THEN n_nationkey % 7 IN (0, 1, 6) WHEN 1 THEN n_nationkey % 7 = 2 WHEN 2 THEN true ELSE false END GROUP BY 1"),
+    "selective_needs": (selective_needs, f"WITH {NEEDS}, x AS (SELECT *, count(*) FILTER (NOT generic) OVER (PARTITION BY project) AS rest FROM nd WHERE position < 2) SELECT project, skill FROM x WHERE NOT generic OR rest = 0"),
+    "duplicates_of_one": (duplicates_of_one, f"""WITH {NAMESAKES}, j AS (SELECT b.id AS other, CASE WHEN coalesce(abs(a.years - b.years) >= 5, false) OR coalesce(a.station != b.station, false) OR coalesce(a.home != b.home, false) OR coalesce(a.age != b.age, false) THEN 0.0 WHEN coalesce(a.age = b.age, false) AND coalesce(a.station = b.station, false) THEN 1.0
+  ELSE round(len(list_intersect(a.sk, b.sk)) / len(list_distinct(list_concat(a.sk, b.sk))), 6) END AS score FROM p a JOIN p b ON a.nm = b.nm AND a.id != b.id WHERE a.id = 57) SELECT other, score FROM j WHERE score >= 0.4 ORDER BY score DESC, other LIMIT 10"""),
+    "shown_duplicates": (shown_duplicates, f"""WITH {NAMESAKES} SELECT a.id, b.id AS other, CAST(50 + CASE WHEN coalesce(a.station = b.station, false) THEN 30 ELSE 0 END + CASE WHEN a.email = b.email THEN 50 ELSE 0 END + CASE WHEN len(list_intersect(a.sk, b.sk)) / least(len(a.sk), len(b.sk)) >= 0.5 THEN 10 ELSE 0 END + CASE WHEN coalesce(abs(a.years - b.years) <= 1, false) THEN 10 ELSE 0 END AS BIGINT) AS score
+  FROM p a JOIN p b ON a.nm = b.nm AND a.id != b.id WHERE a.id % 40 = 7 AND NOT (coalesce(a.station != b.station, false) OR coalesce(a.home != b.home, false) OR coalesce(abs(a.years - b.years) >= 5, false))"""),
+    "labelled_marks": (labelled_marks, "SELECT coalesce(n_name, '(gone)') AS label, count(*) AS n FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30 GROUP BY 1"),
     "discrete_median": (discrete_median, "SELECT p_brand, quantile_disc(c, 0.5) AS cents FROM (SELECT p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) GROUP BY 1"),
     "nearest_rank": (nearest_rank, "SELECT p_brand, l[least(CAST(floor(len(l) * 0.9) AS BIGINT), len(l) - 1) + 1] AS cents FROM (SELECT p_brand, list_sort(list(CAST(round(p_retailprice * 100) AS BIGINT))) AS l FROM part GROUP BY 1)"),
     "value_distribution": (value_distribution, f"WITH {PEOPLE} SELECT coalesce(kind, '(null)') AS value, count(*) AS n FROM pe GROUP BY 1"),
