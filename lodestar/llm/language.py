@@ -66,11 +66,10 @@ class Model:
                 for row in grams:
                     total[full] += np.add.reduceat(self.log_prob[row], first[full - a], axis=0, dtype=np.float64)
                 n[a:b] = np.diff(first)
-        best = (total + self.prior).argmax(axis=1)
-        total = total / np.sqrt(np.maximum(n, 1))[:, None] + self.prior
+        total = (total + self.prior) / np.sqrt(np.maximum(n, 1))[:, None]  # the likeliest one stays so
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return best, p[np.arange(len(best)), best]
+        return total.argmax(axis=1), p.max(axis=1)
 
 
 def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
