@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, exact, html_text, importance, language, mixing, personal, repeats, similarity, toxicity, training_order
+from . import contamination, conversations, exact, html_text, importance, language, mixing, personal, repeats, similarity, toxicity, training_order
 
 QUERIES = {
     "op10_personal_data": personal.op10_personal_data,
+    "op12_repair": conversations.op12_repair,
     "op13_importance": importance.op13_importance,
     "op1_training_order": training_order.op1_training_order,
     "op2_decontaminate": contamination.op2_decontaminate,
@@ -15,4 +16,4 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_language_id": language.op9_language_id,
 }
-SQL = {"op2_decontaminate": contamination.SQL2, "op8_exact_dedup": exact.SQL8, "op13_importance": importance.SQL13}
+SQL = {"op2_decontaminate": contamination.SQL2, "op8_exact_dedup": exact.SQL8, "op12_repair": conversations.SQL12, "op13_importance": importance.SQL13}
