@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, with SQL for those that SQL can express."""
 
-from . import contamination, conversations, exact, html_text, importance, language, mixing, personal, repeats, similarity, toxicity, training_order
+from . import contamination, conversations, exact, html_text, importance, language, mixing, personal, repeats, scoring, similarity, toxicity, training_order
 
 QUERIES = {
     "op10_personal_data": personal.op10_personal_data,
+    "op11_lm_score": scoring.op11_lm_score,
     "op12_repair": conversations.op12_repair,
     "op13_importance": importance.op13_importance,
     "op1_training_order": training_order.op1_training_order,
