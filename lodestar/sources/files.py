@@ -6,6 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -19,50 +21,96 @@ MOST_ENTRIES, MOST_BYTES = 20, 40 << 20
 CELLS = "table int, row int, col int, value string"
 
 
+#: Columns and rows that a cell may span, as browsers have it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _span(value: str | None, most: int, zero: int = 1) -> int:
+    """Cells that an attribute asks for: 1 unless it is a number, `zero` for 0."""
+    given = re.match(r"\s*([0-9]+)", value or "1")
+    return min(int(given[1]), most) or zero if given else 1
+
+
+@dataclass
+class _Grid:
+    """A table that is being read: its cells with what they span, and where cells of rows above reach down."""
+
+    number: int
+    row: int = -1
+    col: int = 0
+    cells: list = field(default_factory=list)  # row, col, rows, cols, pieces of text
+    reaching: list = field(default_factory=list)  # last row, first column, one after the last column
+    open: bool = False
+
+    def new_row(self) -> None:
+        self.row, self.col, self.open = self.row + 1, 0, False
+        self.reaching = [x for x in self.reaching if x[0] >= self.row]
+
+    def new_cell(self, rows: int, cols: int) -> None:
+        if self.row < 0:
+            self.new_row()
+        while over := [x[2] for x in self.reaching if x[1] <= self.col < x[2]]:
+            self.col = max(over)
+        self.cells.append((self.row, self.col, rows, cols, []))
+        if rows > 1:
+            self.reaching.append((self.row + rows - 1, self.col, self.col + cols))
+        self.col, self.open = self.col + cols, True
+
+    def values(self) -> Iterator[tuple[int, int, int, str]]:
+        """A place that two cells span keeps the value of the upper, then the left one; spans end with the table's last row."""
+        taken = {}
+        for row, col, rows, cols, text in self.cells:
+            value = re.sub(r"[ \t\xa0]+", " ", "".join(text)).strip()
+            for r in range(row, min(row + rows, self.row + 1)):
+                for c in range(col, col + cols):
+                    taken.setdefault((r, c), value)
+        return ((self.number, r, c, taken[r, c]) for r, c in sorted(taken))
+
+
 class _Tables(HTMLParser):
-    """Cells of the tables of a page; spanned columns repeat their cell."""
+    """Grids of the tables of a page, numbered as they open. A table within a cell is one of its own, and not part of the cell's text."""
 
     def __init__(self) -> None:
         super().__init__()
         self.cells: list[tuple[int, int, int, str]] = []
-        self.table = self.row = self.col = -1
-        self.text: list[str] | None = None
-        self.span = 1
+        self.open: list[_Grid] = []
+        self.tables = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "table":
-            self.table, self.row = self.table + 1, -1
-        elif tag == "tr":
-            self.close_cell()
-            self.row, self.col = self.row + 1, -1
+        if tag == "table" or tag in ("tr", "td", "th") and not self.open:
+            self.open.append(_Grid(self.tables))
+            self.tables += 1
+        grid = self.open[-1] if self.open else None
+        if tag == "tr":
+            grid.new_row()
         elif tag in ("td", "th"):
-            self.close_cell()
-            wide = dict(attrs).get("colspan") or "1"
-            self.text, self.span = [], min(int(wide), 1000) if wide.isdigit() and int(wide) else 1
-        elif tag == "br" and self.text is not None:
-            self.text.append("\n")
+            given = dict(attrs)
+            grid.new_cell(_span(given.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(given.get("colspan"), MOST_COLUMNS))
+        elif tag == "br":
+            self.handle_data("\n")
 
     def handle_data(self, data: str) -> None:
-        if self.text is not None:
-            self.text.append(data)
+        if self.open and self.open[-1].open:
+            self.open[-1].cells[-1][4].append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
-            self.close_cell()
+        if self.open and tag in ("td", "th", "tr"):
+            self.open[-1].open = False
+        elif self.open and tag == "table":
+            self.cells += self.open.pop().values()
 
-    def close_cell(self) -> None:
-        if self.text is not None:
-            for _ in range(self.span):
-                self.col += 1
-                self.cells.append((max(self.table, 0), max(self.row, 0), self.col, re.sub(r"[ \t]+", " ", "".join(self.text)).strip()))
-            self.text = None
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.cells += self.open.pop().values()
 
 
 def html_cells(page: str) -> Iterator[tuple[int, int, int, str]]:
+    """Table, row, column and value of each place of the tables of a page; a cell that spans several is in all of them."""
     parser = _Tables()
     parser.feed(page)
-    parser.close_cell()
-    yield from parser.cells
+    parser.close()
+    yield from sorted(parser.cells)
 
 
 def _column(name: str) -> int:
@@ -72,24 +120,65 @@ def _column(name: str) -> int:
     return n - 1
 
 
+# Numbers of the formats that are dates or times of day, before those that a workbook defines.
+DATE_FORMATS = [*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]
+EPOCHS = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
+
+
+def _is_date(code: str) -> bool:
+    """A format with a day, month, year, hour or second outside quotes, brackets and escapes."""
+    return bool(re.search("[ymdhs]", re.sub(r'"[^"]*"|\[(?!h+\]|m+\]|s+\])[^\]]*\]|\\.|_.|\*.', "", code.lower())))
+
+
+def _date(value: str, epoch: datetime) -> str:
+    """A serial day as date, date and time, or time of day if it is less than a day."""
+    at = epoch + timedelta(seconds=round(float(value) * 86400))
+    if float(value) < 1:
+        return f"{at:%H:%M:%S}"
+    return f"{at:%Y-%m-%d}" if float(value) == int(float(value)) else f"{at:%Y-%m-%d %H:%M:%S}"
+
+
 def sheet_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
-    """Cells with a value of each sheet of a workbook: shared and inline strings, and numbers as they are written."""
+    """Cells with a value of each sheet of a workbook: shared and inline strings, dates by their format, other numbers as they are written.
+
+    The value of merged cells is in all of them, down to the sheet's last row that has any.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = {i.filename: i.file_size for i in z.infolist()}
+        names = {i.filename for i in z.infolist()}
+        part = lambda n: ElementTree.fromstring(z.read(n)) if n in names else ElementTree.Element("none")
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")) for item in root]
+        shared = ["".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")) for item in part("xl/sharedStrings.xml")]
+        styles = part("xl/styles.xml")
+        own = {int(f.get("numFmtId", 0)): _is_date(f.get("formatCode", "")) for f in styles.iter() if f.tag.endswith("}numFmt")}
+        used = [int(x.get("numFmtId", 0)) for group in styles if group.tag.endswith("}cellXfs") for x in group]
+        dates = {i for i, n in enumerate(used) if own.get(n, n in DATE_FORMATS)}
+        epoch = EPOCHS[any(p.get("date1904") in ("1", "true") for p in part("xl/workbook.xml").iter() if p.tag.endswith("}workbookPr"))]
         for k, sheet in enumerate(sheets):
-            for c in ElementTree.fromstring(z.read(sheet)).iter():
+            found, merged = {}, []
+            for c in part(sheet).iter():
+                if c.tag.endswith("}mergeCell"):
+                    merged.append(c.get("ref", "A1"))
                 if not c.tag.endswith("}c"):
                     continue
                 texts = ["".join(t.text or "" for t in c.iter() if t.tag.endswith(end)) for end in ("}v", "}t")]
                 value = shared[int(texts[0])] if c.get("t") == "s" and texts[0] else texts[0] or texts[1]
+                if value and c.get("t", "n") == "n" and int(c.get("s", 0)) in dates:
+                    value = _date(value, epoch)
                 if value:
-                    place = c.get("r", "A1")
-                    yield k, int(re.search(r"\d+$", place)[0]) - 1, _column(place), value
+                    found[_place(c.get("r", "A1"))] = value
+            last = max((r for r, _ in found), default=-1)
+            for (top, left), (bottom, right) in (sorted(map(_place, (ref.split(":") * 2)[:2])) for ref in merged):
+                if (top, left) in found:
+                    for r in range(top, min(bottom, last) + 1):
+                        for col in range(left, right + 1):
+                            found.setdefault((r, col), found[top, left])
+            for r, col in sorted(found):
+                yield k, r, col, found[r, col]
+
+
+def _place(name: str) -> tuple[int, int]:
+    """Row and column of a cell's name, from 0."""
+    return int(re.search(r"\d+$", name)[0]) - 1, _column(name)
 
 
 def document_text(content: bytes) -> str:

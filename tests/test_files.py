@@ -35,6 +35,40 @@ def test_tables_of_pages():
     assert list(files.html_cells(page)) == [(0, 0, 0, "a"), (0, 0, 1, "b c"), (0, 0, 2, "b c"), (0, 1, 0, "1\n2"), (0, 1, 1, ""), (1, 0, 0, "z")]
 
 
+def grid(page, table=0):
+    cells = {(r, c): v for t, r, c, v in files.html_cells(page) if t == table}
+    return [[cells.get((r, c)) for c in range(1 + max(c for _, c in cells))] for r in range(1 + max(r for r, _ in cells))]
+
+
+def test_cells_that_span_rows():
+    assert grid("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == [["a", "b"], ["a", "c"]]
+    assert grid("<table><tr><td>p<td rowspan=2 colspan=2>q<td>r<tr><td>s<td>t<tr><td>u</table>") == [["p", "q", "q", "r"], ["s", "q", "q", "t"], ["u", None, None, None]]
+    # A span ends with the table; 0 is for all rows that follow; what is no number counts as 1.
+    assert grid("<table><tr><td rowspan=9>a<td rowspan=0>z<td colspan=x>b<tr><td colspan=0>c</table>") == [["a", "z", "b"], ["a", "z", "c"]]
+    # Rows that end early, and a row that has nothing of its own.
+    assert grid("<table><tr><td>a<td rowspan=3>b<td>c<tr><tr><td>d<td>e</table>") == [["a", "b", "c"], [None, "b", None], ["d", "b", "e"]]
+    # A cell that would lie over one from above keeps its own place free of it: the upper one's value stays.
+    assert grid("<table><tr><td>a<td>b<td rowspan=2>c<tr><td colspan=3>d</table>") == [["a", "b", "c"], ["d", "d", "c"]]
+
+
+def test_tables_within_cells():
+    page = "<table><tr><td>out<table><tr><td rowspan=2>in 1<td>in 2<tr><td>in 3</table>side<td>next<tr><td>last</table>"
+    assert grid(page) == [["outside", "next"], ["last", None]] and grid(page, 1) == [["in 1", "in 2"], ["in 1", "in 3"]]
+    assert len(list(files.html_cells("<table><tr><td rowspan=65534 colspan=1000>x</table>"))) == 1000
+
+
+def test_merged_cells_and_dates_of_sheets():
+    rows = '<row r="1"><c r="A1" t="inlineStr"><is><t>m</t></is></c><c r="C1" s="1"><v>45383</v></c><c r="D1" s="2"><v>45383.5</v></c><c r="E1" s="3"><v>0.25</v></c><c r="F1" s="4"><v>45383</v></c></row><row r="4"><c r="B4" s="0"><v>45383</v></c><c r="C4" t="b"><v>1</v></c></row>'
+    sheet = f'<worksheet xmlns="m"><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="A1:B2"/><mergeCell ref="D1:D1048576"/><mergeCell ref="G7:H8"/></mergeCells></worksheet>'
+    styles = '<styleSheet xmlns="m"><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;年&quot;m&quot;月&quot;"/><numFmt numFmtId="165" formatCode="[Red]0&quot;days&quot;"/></numFmts><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="20"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    cells = {(r, c): v for _, r, c, v in files.sheet_cells(packed(xl__worksheets__sheet1_xml=sheet, xl__styles_xml=styles))}
+    assert [cells.get((r, c)) for r in range(3) for c in (0, 1)] == ["m", "m", "m", "m", None, None]
+    assert [cells[0, c] for c in range(2, 6)] == ["2024-04-01", "2024-04-01 12:00:00", "06:00:00", "45383"]
+    assert [cells[r, 3] for r in (1, 2, 3)] == ["2024-04-01 12:00:00"] * 3 and cells[3, 1] == "45383" and max(r for r, _ in cells) == 3
+    later = packed(xl__worksheets__sheet1_xml=sheet, xl__styles_xml=styles, xl__workbook_xml='<workbook xmlns="m"><workbookPr date1904="1"/></workbook>')
+    assert (0, 0, 2, "2028-04-02") in list(files.sheet_cells(later))
+
+
 def test_resume_values(spark):
     text = "氏名: A.B（２９歳）\n最寄駅：ＪＲ山手線 渋谷駅 徒歩5分\n雇用 個人事業主\n許可 派１３－３１８０６４ と 派13-318064\n国籍：中国（永住）"
     one = spark.createDataFrame([(1, text)], "id int, t string")
