@@ -22,7 +22,7 @@ BATCH_BYTES = 4 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, as texts may be long; a smaller bound of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = spark.conf.get(name, f"{BATCH_BYTES}b").removesuffix("b")
+    digits = spark.conf.get(name).removesuffix("b")  # without a default of ours, so that Spark's own one is seen
     if not digits.isdigit() or int(digits) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 

@@ -22,7 +22,7 @@ from .common import DARK, Powers, Scratch, bound_batches, mixed, pieces, table,
 #: Words of the longest n-grams, and how many tokens of a state's own count the next shorter state's distribution weighs.
 ORDER, BACKOFF = 2, 30.0
 #: Bytes of text in a block (a longer text is one alone), and n-grams in a range of hashes, about.
-BLOCK_BYTES, RANGE_GRAMS = 16 << 20, 2 << 20
+BLOCK_BYTES, RANGE_GRAMS = 8 << 20, 2 << 20
 #: Tokens that a lane of the traversal reads at most; a longer text takes several lanes.
 LANE = 512
 #: Stand-ins for the hashes of what opens and ends a text.
