@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import DIGITS, WIDE_DIGITS, contains_word
+from .text import DIGITS, WIDE_DIGITS
 
 # Kinds of employment and the words for them; how licences are numbered; fewest ratings that are a list of ratings.
 EMPLOYMENT = [("正社員", "正社員|プロパー"), ("契約社員", "契約社員"), ("フリーランス", "フリーランス|個人事業主|業務委託"), ("派遣社員", "派遣社員")]
@@ -89,13 +89,6 @@ def rated_skills(c: Column) -> Column:
     return F.when(F.size(names) >= LEAST_RATINGS, names).otherwise(F.array().cast("array<string>"))
 
 
-def skill_tokens(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """id, term: terms that stand in a text as words, links aside."""
-    low = F.lower(without_links(F.col("text")))
-    found = F.array_compact(F.array(*(F.when(contains_word(low, F.lit(t.lower())), F.lit(t)) for t in terms)))
-    return texts.select("id", F.explode(found).alias("term"))
-
-
 def prose_roles(c: Column, patterns: list[tuple[str, str, int]]) -> Column:
     """Roles of a text by points: each pattern's matches (5 at most) times its points, highest first, those of no points left out."""
     scored = F.array(*(F.struct((F.least(F.regexp_count(c, F.lit(p)), F.lit(5)) * points).alias("points"), F.lit(-i).alias("order"), F.lit(role).alias("role")) for i, (role, p, points) in enumerate(patterns)))

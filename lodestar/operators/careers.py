@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.durations import month_number
+from lodestar.functions.resume import without_links
 
 from .intervals import union_length
+from .patterns import counted
 
 # The forms of digits, colons, brackets and dashes that are read alike.
 ALIKE = ("０１２３４５６７８９：（）～〜―－，．／　\xa0", "0123456789:()~~~-,./  ")
@@ -202,9 +204,9 @@ def grid_skills(cells: DataFrame, today: int, key: str = "id") -> DataFrame:
     share = F.coalesce(F.try_divide(F.count_if(votes & (kind == "list")).over(col), F.count_if(votes).over(col)), F.lit(0.0))
     head = F.last(F.when(kind.isin("label", "text", "list"), F.struct("kind", "value")), ignorenulls=True).over(col.orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     label = F.last(F.when(kind.isin("label", "text", "month", "span"), kind), ignorenulls=True).over(right.rowsBetween(W.unboundedPreceding, -1))
-    c = c.withColumns({"share": share, "head": head, "left_": label, "under": F.max(kind == "label").over(col.orderBy("row").rowsBetween(W.unboundedPreceding, -1))})
+    c = c.withColumns({"share": share, "marked": F.max(kind == "mark").over(col), "head": head, "left_": label, "under": F.max(kind == "label").over(col.orderBy("row").rowsBetween(W.unboundedPreceding, -1))})
     within = F.concat(F.flatten(F.transform(F.regexp_extract_all("value", F.lit(SKILL_TAG), F.lit(1)), named)), named(F.regexp_extract("value", SKILL_LABEL, 1)))
-    listed = (kind == "list") & ((F.col("share") >= VOTE) | F.coalesce(F.col("left_") == "label", F.lit(False)) | F.coalesce("under", F.lit(False)))
+    listed = (kind == "list") & ~F.col("marked") & ((F.col("share") >= VOTE) | F.coalesce(F.col("left_") == "label", F.lit(False)) | F.coalesce("under", F.lit(False)))
     skills = F.when(listed, named(F.col("value"))).when(kind == "text", within).when((kind == "mark") & F.col("head").isNotNull(), F.filter(F.array(F.col("head.value")), lambda x: is_skill(x)))
     c = c.withColumn("skills", skills)
     dated = c.where("period is not null and size(skills) > 0").select(key, F.explode("skills").alias("skill"), "period.start", "period.end", F.lit(None).cast("int").alias("months"))
@@ -222,3 +224,10 @@ def grid_months(cells: DataFrame, today: int, key: str = "id") -> DataFrame:
     stated = found.where("months is not null").groupBy(key, "skill").agg(F.sum("months").cast("long").alias("stated"))
     both = worked.join(stated, [key, "skill"], "full")
     return both.select(key, "skill", F.greatest("stated", "worked").alias("months"), "stated", "worked")
+
+
+def skill_tokens(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, term: terms (column term) that stand in a text as words, lower or upper case, links aside. texts: id, text."""
+    low = texts.select("id", F.lower(without_links(F.col("text"))).alias("text"))
+    words = terms.select(F.lower("term").alias("word"), "term").distinct()
+    return counted(low, "id", "text", words.select("word"), alone=True).join(words, "word").select("id", "term")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import contains_word
 
-from . import ranking
+from . import patterns, ranking
 from .entities import differ, jaccard
 from .rules import reasons
 
@@ -214,15 +214,13 @@ def missing_skills(texts: DataFrame, master: DataFrame, small, most: int = MOST_
     """id, name, n, rank: skills of the master that a text has twice or more and its person lacks; overlapping occurrences count.
 
     texts: id, text, skills (array). master: name, aliases. Names shorter than LEAST_TEXT don't count; a skill's count is its
-    most frequent name's. Names meet texts by their first token, so that not every name is held against every text.
+    most frequent name's. One automaton of all names reads each text once.
     """
     each = master.select("name", F.explode(F.concat(F.array("name"), "aliases")).alias("alias")).select("name", F.lower("alias").alias("alias"))
-    token = r"[\p{L}0-9#+]+"
-    usable = each.where(F.length(F.regexp_replace("alias", " ", "")) >= LEAST_TEXT).withColumn("token", F.regexp_extract("alias", token, 0))
+    usable = each.where(F.length(F.regexp_replace("alias", " ", "")) >= LEAST_TEXT)
     have = texts.select("id", F.explode("skills").alias("s")).select("id", F.lower("s").alias("alias")).join(small(each), "alias").select("id", "name").distinct()
-    low = texts.select("id", F.lower("text").alias("text"))
-    tokens = low.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token), F.lit(0)))).alias("token"))
-    found = tokens.join(small(usable), "token").withColumn("n", F.regexp_count("text", F.concat(F.lit(r"(?=(?<![a-z0-9#+])\Q"), "alias", F.lit(r"\E(?![a-z0-9#+]))"))))
+    seen = patterns.counted(texts.select("id", F.lower("text").alias("text")), "id", "text", usable.select("alias"), alone=True)
+    found = seen.withColumnRenamed("word", "alias").join(small(usable), "alias")
     counted = found.groupBy("id", "name").agg(F.max("n").cast("long").alias("n")).where(F.col("n") >= LEAST_COUNT).join(have, ["id", "name"], "left_anti")
     return ranking.best(counted, "id", most, F.desc("n"), F.col("name"))
 

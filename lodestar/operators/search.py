@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import all_of, any_of, contains_word
 
+from . import patterns
+
 PERSON_NUMBER = re.compile(r"^\s*(?:AK)?\s*-?\s*([0-9]+)\s*$", re.IGNORECASE)
 WIDE = str.maketrans("０１２３４５６７８９ＡＫａｋ－", "0123456789AKak-")
 
@@ -134,20 +136,12 @@ def matching_first(df: DataFrame, holds: Column, *order: Column) -> list[Column]
     return [F.coalesce(holds, F.lit(False)).desc(), *order]
 
 
-def longest_contained(texts: DataFrame, column: str, names: DataFrame, small) -> DataFrame:
-    """texts with name: the longest of names.name that stands in the text, the smallest of equally long ones, or null.
+def longest_contained(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """texts with name: the longest of names.name that stands in the text, the smallest of equally long ones, or null. texts need an id.
 
-    Substrings as long as some name meet the names by an equi-join, so that no text is held against every name. texts need an id.
+    One automaton of all names reads each text once, however many lengths names have.
     """
-    lengths = sorted(r[0] for r in names.select(F.char_length("name")).distinct().limit(200).collect())
-
-    def cut(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(column) - n + 1, F.lit(1))), lambda i: F.substr(F.col(column), i, F.lit(n)))
-
-    spots = F.flatten(F.array(*map(cut, lengths))) if lengths else F.array().cast("array<string>")
-    pieces = texts.select("id", F.explode(F.array_distinct(spots)).alias("name"))
-    found = pieces.join(small(names.select("name").distinct()), "name").groupBy("id").agg(F.min(F.struct((-F.char_length("name")).alias("less"), "name")).alias("b"))
-    return texts.join(found.select("id", "b.name"), "id", "left")
+    return texts.join(patterns.longest(texts, "id", column, names.select("name")).select("id", F.col("word").alias("name")), "id", "left")
 
 
 def resolved_prefecture(texts: DataFrame, prefectures: list[str], stations: DataFrame, capital: list[str], small) -> DataFrame:
@@ -156,9 +150,9 @@ def resolved_prefecture(texts: DataFrame, prefectures: list[str], stations: Data
     A station in several prefectures counts only if one alone of them is in the capital's area. texts: id, text; stations: name, prefecture.
     """
     spark = texts.sparkSession
-    written = longest_contained(texts, "text", spark.createDataFrame([(p,) for p in prefectures], "name string"), small).withColumnRenamed("name", "written")
+    written = longest_contained(texts, "text", spark.createDataFrame([(p,) for p in prefectures], "name string")).withColumnRenamed("name", "written")
     inside = F.when(F.col("prefecture").isin(capital), F.col("prefecture"))
     homes = stations.where(F.char_length("name") >= 2).groupBy("name").agg(F.min("prefecture").alias("one"), F.countDistinct("prefecture").alias("n"), F.min(inside).alias("near"), F.countDistinct(inside).alias("n_near"))
     home = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_near") == 1, F.col("near"))
-    named = longest_contained(written, "text", homes, small).join(small(homes.select("name", home.alias("home"))), "name", "left")
+    named = longest_contained(written, "text", homes).join(small(homes.select("name", home.alias("home"))), "name", "left")
     return named.select("id", "text", F.coalesce("written", "home").alias("prefecture"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import durations, resume
-from lodestar.operators import classifier
+from lodestar.operators import careers, classifier
 from lodestar.sources import files, records
 from lodestar.streaming.batches import folder
 
@@ -68,7 +68,8 @@ def rated_skills(spark: SparkSession, d: str) -> DataFrame:
 
 def skill_tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return resume.skill_tokens(docs, ["License", "Version", "the", "token"]).groupBy("term").agg(F.count("*").alias("n"))
+    terms = spark.createDataFrame([(t,) for t in ("License", "Version", "the", "token")], "term string")
+    return careers.skill_tokens(docs, terms).groupBy("term").agg(F.count("*").alias("n"))
 
 
 ROLES = [("legal", "(?i)licen[cs]e", 3), ("release", "(?i)version", 2), ("writer", "(?i)\\bthe\\b", 1), ("operator", "(?i)password|token", 4)]
