@@ -56,16 +56,20 @@ def satisfied(have: DataFrame, want: DataFrame, names: DataFrame, implications:
     return same.unionByName(implied).unionByName(words).unionByName(others).distinct()
 
 
-def hit_pairs(people: DataFrame, needs: DataFrame, matches: DataFrame) -> DataFrame:
-    """id, project, skill, weight, months: every need that a person has a skill for, with the longest months of such skills.
+def held(people: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, skill, months: needed skills that a person has, by the names of needs, with the longest months of what satisfies them.
 
     A person's rows are brought together while they are few: what is made of them by broadcast joins, and sums by person and
     project, then need no further shuffle, though there are many more of them.
     """
     p = people.select("id", F.lower(F.trim("skill")).alias("have"), "months").repartition("id")
-    n = needs.select("project", F.lower(F.trim("skill")).alias("want"), "weight")
-    by_want = p.join(small(matches), "have").groupBy("id", "want").agg(F.max("months").alias("months"))
-    return by_want.join(small(n), "want").select("id", "project", F.col("want").alias("skill"), "weight", "months")
+    return p.join(small(matches), "have").groupBy("id", F.col("want").alias("skill")).agg(F.max("months").alias("months"))
+
+
+def hit_pairs(people: DataFrame, needs: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, project, skill, weight, months: every need that a person has a skill for, with the longest months of such skills."""
+    n = needs.select("project", F.lower(F.trim("skill")).alias("skill"), "weight")
+    return held(people, matches).join(small(n), "skill").select("id", "project", "skill", "weight", "months")
 
 
 def hit_weights(hits: DataFrame, unverified: Column | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def best_both_ways(spark: SparkSession, d: str) -> DataFrame:
     """The three best people of each project, and the best project of each person among a few people."""
     hits, want = all_hits(spark, d)
     w = flagship.hit_totals(hits, want).where("hit > 0").select("id", "project", (F.col("hit") * 10 + F.col("nice_hits")).alias("score"))
-    out = jobs.best_both_ways(w.where("id % 5 = 0"), 3)
+    out = jobs.best_both_ways(w, 3)
     return out.select("direction", "of", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -229,7 +229,7 @@ def serial_numbers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "display_scores": (display_scores, f"WITH {SHOWN} SELECT * FROM sc"),
     "best_both_ways": (best_both_ways, f"""WITH {PERSON_SKILLS}, {NEEDS}, h AS (SELECT id, project, coalesce(sum(weight) FILTER (NOT nice), 0) AS hit, count(*) FILTER (nice) AS nh FROM ps JOIN nd USING (skill) GROUP BY ALL),
-s AS (SELECT id, project, CAST(hit * 10 + nh AS BIGINT) AS score FROM h WHERE hit > 0 AND id % 5 = 0)
+s AS (SELECT id, project, CAST(hit * 10 + nh AS BIGINT) AS score FROM h WHERE hit > 0)
 SELECT * FROM (SELECT 'people' AS direction, project AS of, id, score, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS rank FROM s UNION ALL SELECT 'projects', id, project, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, project) FROM s) WHERE rank <= 3"""),
     "relevant_skills": (relevant_skills, f"""WITH {SKILLED}, x AS (SELECT id, list_filter(skills, lambda s: contains(lower(s), 'brand#1') OR contains(lower(s), 'brand#25') OR contains('brand#25', lower(s))) AS own, list_filter(skills, lambda s: NOT (contains(lower(s), 'brand#1') OR contains(lower(s), 'brand#25') OR contains('brand#25', lower(s)))) AS rest FROM lv WHERE skills IS NOT NULL)
 SELECT id, array_to_string(list_concat(own, rest[1 : greatest(0, 4 - len(own))]), '|') AS shown FROM x"""),

@@ -145,8 +145,9 @@ def licensed(spark: SparkSession) -> DataFrame:
 
 
 def ranked_project(spark: SparkSession, d: str) -> DataFrame:
-    hits, want = all_hits(spark, d)
-    best = flagship.ranked_people(hits, want, people(spark, d), projects(spark, d), lambda j: roles.with_affinity(j, spark), licensed(spark), F.to_date(F.lit(AS_OF)), 10, verified=10)
+    want = all_needs(spark, d).withColumn("skill", F.lower("skill"))
+    held = skills.held(person_skills(spark, d), same_brands(spark, d))
+    best = flagship.ranked_people(held, want, people(spark, d), projects(spark, d), lambda j: roles.with_affinity(j, spark), licensed(spark), F.to_date(F.lit(AS_OF)), 10, verified=10)
     return best.select("project", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
