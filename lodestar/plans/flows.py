@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import names, roles
 from lodestar.operators import entities, skills
 from lodestar.sources import records
-from lodestar.streaming import batches
+from lodestar.streaming import batches, pages, states
 
 from .tables import table
 
@@ -57,6 +57,27 @@ def stall_alerts(spark: SparkSession, d: str) -> DataFrame:
     return a.select("user_id", F.date_format("at", "yyyy-MM-dd HH").alias("at"), F.date_format("since", "yyyy-MM-dd HH:mm").alias("since"))
 
 
+def stream_stalls(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts about silent users, business hours of Japan, by a stream of three batches; they are repeated after six hours."""
+    a = states.stalls(_arriving(spark, d, "stalls"), ["user_id"], "ts", "1 hour", batches.folder(spark, "stalls"))
+    return a.select("user_id", F.date_format("at", "yyyy-MM-dd HH").alias("at"), F.date_format("since", "yyyy-MM-dd HH:mm").alias("since"))
+
+
+def stream_new_again(spark: SparkSession, d: str) -> DataFrame:
+    """Users' first events of a type, and those after three days without one, by state that is dropped meanwhile."""
+    n = states.new_keys(_arriving(spark, d, "new-keys"), ["user_id", "event_type"], "ts", "1 hour", 3, batches.folder(spark, "new-keys"))
+    return n.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+def stream_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Events in pages of 300, the oldest first."""
+    path = batches.folder(spark, "pages")
+    stream = pages.paged(spark, f"{d}/events.parquet", "event_id long, ts timestamp, event_type string", "ts", "event_id")
+    pages.read_all(stream, path, lambda page, number: page.withColumn("page", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/nr={number}"))
+    rows = spark.read.schema("event_id long, ts timestamp, event_type string, page long").parquet(f"{path}/rows")
+    return rows.groupBy("page").agg(F.count("*").alias("n"), F.min_by("event_id", "ts").alias("first"), F.max_by("event_id", "ts").alias("last"), F.sum("event_id").alias("ids"))
+
+
 def new_again(spark: SparkSession, d: str) -> DataFrame:
     return batches.counted_as_new(table(spark, d, "events"), ["user_id", "event_type"], "ts", 3).groupBy("event_type").agg(F.count("*").alias("n"))
 
@@ -115,7 +136,19 @@ def merged_people(spark: SparkSession, d: str) -> DataFrame:
     return j.select("o_custkey", *entities.merged("o", "n", ["k", "s"]))
 
 
+#: Times in milliseconds, the watermark, and the hours of business in Japan with the next one from each hour on.
+WATERMARK = "e AS (SELECT *, epoch_ms(ts) AS ms, max(epoch_ms(ts)) OVER () - 3600000 AS mark FROM events)"
 QUERIES = {
+    "stream_stalls": (stream_stalls, f"""WITH RECURSIVE {WATERMARK},
+h AS (SELECT h, (h + 9) % 24 BETWEEN 9 AND 17 AND ((h + 9) // 24 + 3) % 7 < 5 AS works FROM (SELECT unnest(range(min(ms) // 3600000, max(ms) // 3600000 + 240)) AS h FROM e)),
+nb AS MATERIALIZED (SELECT h, min(CASE WHEN works THEN h END) OVER (ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM h),
+s AS MATERIALIZED (SELECT user_id, ms, least(coalesce(lead(ms) OVER (PARTITION BY user_id ORDER BY ms) - 1, mark), mark) AS until FROM e WHERE ms <= mark),
+a(user_id, ms, until, hr) AS (SELECT user_id, ms, until, n FROM s JOIN nb ON h = (ms + 3599999) // 3600000 + 3 WHERE n * 3600000 <= until
+  UNION ALL SELECT user_id, ms, until, n FROM a JOIN nb ON h = a.hr + 6 WHERE n * 3600000 <= until)
+SELECT user_id, strftime(make_timestamp(hr * 3600000000), '%Y-%m-%d %H') AS at, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M') AS since FROM a"""),
+    "stream_new_again": (stream_new_again, f"""WITH {WATERMARK}, b AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms) AS gap FROM e WHERE ms <= mark)
+SELECT user_id, event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM b WHERE gap IS NULL OR gap > 259200000 GROUP BY 1, 2"""),
+    "stream_pages": (stream_pages, "SELECT page, count(*) AS n, arg_min(event_id, ts) AS first, arg_max(event_id, ts) AS last, sum(event_id)::BIGINT AS ids FROM (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 300 AS page FROM events) GROUP BY 1"),
     "stream_daily": (stream_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_first": (stream_first, "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
     "stream_marks": (stream_marks, "SELECT DISTINCT rule, user_id FROM events JOIN (VALUES (1::BIGINT, 'error', 50.0), (2, 'purchase', 90.0)) v(rule, t, least) ON event_type = t AND value >= least"),
