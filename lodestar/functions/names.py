@@ -10,12 +10,11 @@ from lodestar.operators.rules import reasons
 # Legal forms, at the beginning or at the end.
 FORMS_BEFORE = "株式会社|合同会社|有限会社|合資会社|一般社団法人|一般財団法人|医療法人"
 FORMS_AFTER = "株式会社|合同会社|有限会社|合資会社"
-# What a name doesn't have in it, by kind, and the longest name.
-FOREIGN_WORDS = {
-    "placeholder": ["氏名", "名前", "ふりがな", "フリガナ", "イニシャル", "未定", "不明", "候補者", "テスト", "サンプル"],
-    "era": ["昭和", "平成", "令和", "大正"],
-}
-SKILL_KINDS = ["オープン系", "汎用系", "制御系", "組込", "インフラ", "ネットワーク", "サーバ", "アプリ", "開発系", "運用系"]
+# Headers of tables that were read as names, eras of dates, ends of kinds of skills, letters, and the longest name.
+HEADERS = ["不明", "未定", "なし", "該当なし", "要員", "人材", "エンジニア", "技術者", "氏名", "名前", "お名前", "氏名カナ", "氏名（カナ）", "フリガナ", "ふりがな", "ﾌﾘｶﾞﾅ", "ｶﾅ"]
+ERAS = "昭和|平成|令和|大正"
+SKILL_KINDS = "(?:オープン系|汎用系|制御系|組込|インフラ|ネットワーク|サーバ|アプリ|開発系|運用系)$"
+LETTER = "[A-Za-zＡ-Ｚａ-ｚぁ-んァ-ヶ一-龥ｦ-ﾝ]"
 LONGEST = 20
 
 
@@ -44,13 +43,10 @@ def company_key(c: Column) -> Column:
 
 
 def name_faults(c: Column) -> Column:
-    """Why a text can hardly be a person's name, by words that are no names and by which characters it has; an empty one has that single fault."""
-    s = F.trim(F.coalesce(c, F.lit("")))
-    letters, numbers = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(narrow(s), F.lit("[0-9]"))
-    words = [(kind, F.exists(F.array(*map(F.lit, found)), lambda w: F.contains(s, w))) for kind, found in FOREIGN_WORDS.items()]
-    ends = F.exists(F.array(*map(F.lit, SKILL_KINDS)), lambda w: F.endswith(s, w))
-    faults = reasons([*words, ("kind of skill", ends), ("numbers", numbers > 0), ("no letter", letters == 0), ("too long", F.char_length(s) > LONGEST)])
-    return F.when(F.char_length(s) > 0, faults).otherwise(F.array(F.lit("empty")))
+    """Why a text can hardly be a person's name: names of the reasons in their order; an empty or null one has that single fault."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s　\xa0]+|[\s　\xa0]+$", "")
+    checks = [("wide digits", s.rlike("[０-９]")), ("digits", s.rlike("[0-9]")), ("era", s.rlike(ERAS)), ("kind of skill", s.rlike(SKILL_KINDS)), ("placeholder", s.isin(HEADERS)), ("no letter", ~s.rlike(LETTER)), ("too long", F.char_length(s) > LONGEST)]
+    return F.when(F.char_length(s) > 0, reasons(checks)).otherwise(F.array(F.lit("empty")))
 
 
 def person_code(number: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import contains_word
 
-from . import patterns, ranking
+from . import patterns, ranking, triage
 from .entities import differ, jaccard
 from .rules import reasons
 
@@ -274,12 +274,9 @@ def profile_for_comparison(df: DataFrame) -> DataFrame:
 
 def mail_signs(subject: Column, body: Column) -> Column:
     """What speaks for a person, for a project, or for neither in a mail: names of signs."""
-    s, b = F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))
-    labels = lambda *names: F.lit("(" + "|".join(names) + r")\s*[:：】]")
-    person = F.rlike(b, labels("氏名", "お名前", "イニシャル", "name")) & (F.rlike(b, labels("年齢", "単価", "最寄駅", "age", "rate")) | b.rlike("[0-9]{2}歳"))
-    bounds_only = b.rlike("[0-9]{2}歳(まで|以下|未満|以上)") & ~F.rlike(b, labels("年齢", "単価", "最寄駅", "age", "rate"))
-    project = s.rlike("案件|project wanted") | F.rlike(F.substring(b, 1, 500), labels("案件名", "必須スキル", "募集人数", "勤務地", "skills wanted"))
-    return reasons([("subject of a person", s.rlike("人材|要員|[0-9]{2}歳|candidate")), ("profile in the body", person & ~bounds_only), ("signs of a project", project)])
+    s, b = F.coalesce(subject, F.lit("")), triage.shown_text(body)
+    person, project = triage.person_in_body(F.substring(b, 1, triage.THIRD)), triage.project_for_sure(s, F.substring(b, 1, triage.FIRST))
+    return reasons([("subject of a person", triage.person_in_subject(s)), ("profile in the body", person), ("signs of a project", project)])
 
 
 def serial_numbers(df: DataFrame, key: str, before: int = 0) -> DataFrame:

@@ -31,10 +31,17 @@ def tagged_counts(df: DataFrame, keys: dict[str, str], marked: Column) -> DataFr
     return df.select(F.explode(refs).alias("r"), marked.alias("m")).groupBy("r.kind", "r.ref_id").agg(F.count("*").alias("n"), F.count_if("m").alias("n_marked"))
 
 
-def demand_and_supply(demand: DataFrame, supply: DataFrame, key: str, least: int = 20) -> DataFrame:
-    """key, demand, supply, ratio where both are large enough; each side is counted before they meet."""
-    d, s = demand.groupBy(key).agg(F.count("*").alias("demand")), supply.groupBy(key).agg(F.count("*").alias("supply"))
-    return d.join(s, key).where((F.col("demand") >= least) & (F.col("supply") >= least)).withColumn("ratio", F.col("demand") / F.col("supply"))
+def demand_and_supply(demand: DataFrame, supply: DataFrame, key: str, least: int = 20, rate: str | None = None) -> DataFrame:
+    """key, demand, supply, ratio where both are large enough; each side is counted before they meet.
+
+    With a rate: also demand_rate and supply_rate, the medians of known rates, and rate_gap, what is paid less what is asked for; null where one side
+    has no known rate.
+    """
+    median = [F.percentile(rate, F.lit(0.5)).alias("median_")] if rate else []
+    d = demand.groupBy(key).agg(F.count("*").alias("demand"), *median).withColumnRenamed("median_", "demand_rate")
+    s = supply.groupBy(key).agg(F.count("*").alias("supply"), *median).withColumnRenamed("median_", "supply_rate")
+    both = d.join(s, key).where((F.col("demand") >= least) & (F.col("supply") >= least)).withColumn("ratio", F.col("demand") / F.col("supply"))
+    return both.withColumn("rate_gap", F.col("demand_rate") - F.col("supply_rate")) if rate else both
 
 
 def compared_to_market(people: DataFrame, by_skill_band: DataFrame, by_band: DataFrame, by_skill: DataFrame, small) -> DataFrame:

@@ -155,6 +155,13 @@ def demand_and_supply(spark: SparkSession, d: str) -> DataFrame:
     return market.demand_and_supply(wanted, p, "kind")
 
 
+def rate_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Segments: orders are what is asked for and paid, customers what there is; one in nine has no known balance."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("kind"), F.when(F.col("c_custkey") % 9 != 0, F.round(F.col("c_acctbal") * 100).cast("long")).alias("rate"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("rate")).join(c.drop("rate"), "c_custkey")
+    return market.demand_and_supply(o, c, "kind", 5, "rate")
+
+
 def agency_stats(spark: SparkSession, d: str) -> DataFrame:
     host = F.lower(F.regexp_extract("url", "https?://([^/]+)", 1))
     p = table(spark, d, "pages").select(F.regexp_replace(host, "^www[.]", "").alias("domain"), "page_id", F.char_length("html").alias("size"))
@@ -250,6 +257,9 @@ SELECT id, rate, basis, median, rate - median AS difference, rate BETWEEN a AND
     "status_by_priority": (status_by_priority, "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1"),
     "share_of_types": (share_of_types, "SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1"),
     "gap_buckets": (gap_buckets, f"WITH {SPANS}, g AS (SELECT user_id, CASE WHEN lag(en) OVER (PARTITION BY user_id ORDER BY st, en) IS NOT NULL THEN greatest(0, st - lag(en) OVER (PARTITION BY user_id ORDER BY st, en)) END AS g FROM s), m AS (SELECT user_id, max(g) AS m FROM g GROUP BY 1) SELECT CASE WHEN m IS NULL THEN 'none' WHEN m = 0 THEN '0' WHEN m <= 2 THEN '1-2' WHEN m <= 5 THEN '3-5' ELSE '6+' END AS bucket, count(*) AS n FROM m GROUP BY 1"),
+    "rate_gap": (rate_gap, """WITH c AS (SELECT c_custkey, c_mktsegment AS kind, CASE WHEN c_custkey % 9 != 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) END AS rate FROM customer),
+d AS (SELECT kind, count(*) AS demand, quantile_cont(CAST(round(o_totalprice * 100) AS BIGINT), 0.5) AS demand_rate FROM orders JOIN c ON c_custkey = o_custkey GROUP BY 1), s AS (SELECT kind, count(*) AS supply, quantile_cont(rate, 0.5) AS supply_rate FROM c GROUP BY 1)
+SELECT kind, demand, demand_rate, supply, supply_rate, demand / supply AS ratio, demand_rate - supply_rate AS rate_gap FROM d JOIN s USING (kind) WHERE demand >= 5 AND supply >= 5"""),
     "demand_and_supply": (demand_and_supply, "WITH p AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS kind FROM part), d AS (SELECT kind, count(*) AS demand FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY 1), s AS (SELECT kind, count(*) AS supply FROM p GROUP BY 1) SELECT kind, demand, supply, demand / supply AS ratio FROM d JOIN s USING (kind) WHERE demand >= 20 AND supply >= 20"),
     "agency_stats": (agency_stats, "SELECT regexp_replace(lower(regexp_extract(url, 'https?://([^/]+)', 1)), '^www[.]', '') AS domain, count(*) AS n, count(*) FILTER (WHERE page_id % 7 = 0) AS n_recent, max(page_id) AS last_seen, quantile_cont(length(html), 0.5) AS median FROM pages GROUP BY 1"),
     "triaged": (triaged, "SELECT CASE WHEN text IS NULL OR length(text) < 30 THEN 'skip' WHEN contains(lower(text), 'password') OR regexp_matches(lower(text), '[0-9]{3}-[0-9]{4}') THEN 'candidate' WHEN regexp_matches(lower(text), 'license|version') THEN 'project' ELSE 'unknown' END AS kind, count(*) AS n, CAST(sum(2 * contains(lower(text), 'license')::INT + 2 * contains(lower(text), 'the')::INT - 3 * contains(lower(text), 'password')::INT - 3 * contains(lower(text), 'token')::INT) AS BIGINT) AS points FROM documents GROUP BY 1"),

@@ -11,6 +11,7 @@ from lodestar.operators import entities, skills
 from lodestar.sources import records
 from lodestar.streaming import batches, pages, states
 
+from .staffing import PEOPLE, PROJECTS, ROLES, people, projects
 from .tables import table
 
 
@@ -104,14 +105,12 @@ def company_keys(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(names.company_key(F.col("name")).alias("key")).agg(F.count("*").alias("n"), F.min(names.person_code(F.col("c_custkey"))).alias("first"))
 
 
-def name_faults(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "part").select(F.array_join(names.name_faults(F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).when(F.col("p_partkey") % 5 == 1, F.lit("平成2年")).when(F.col("p_partkey") % 5 == 2, F.lit(" ")).when(F.col("p_partkey") % 5 == 3, F.lit("開発系")).otherwise(F.lit("山田 太郎"))), ",").alias("faults"), (F.col("p_partkey") % 5).alias("kind"))
-    return n.where("kind > 0").groupBy("kind", "faults").agg(F.count("*").alias("n"))
-
-
 def role_fit(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([("PM", "PMO", None), ("プロジェクトマネージャー", "PMO", "A"), ("プロジェクトマネージャー", "PMO", None), ("システムエンジニア", "アーキテクト", None), ("PMO", "PMO", "C"), ("", "PMO", None)], "required_role string, role string, role_level string")
-    return roles.with_affinity(pairs, spark).select("required_role", "role", F.coalesce("role_level", F.lit("-")).alias("role_level"), F.round("affinity", 4).alias("affinity"))
+    """How well people's roles fit what the projects of their nation ask for."""
+    p = people(spark, d).select(F.col("home").alias("work"), "role", "role_level")
+    pairs = projects(spark, d).select("work", "required_role").join(p, "work")
+    g = roles.with_affinity(pairs, spark).groupBy("required_role", "role", "role_level", "affinity").agg(F.count("*").alias("n"))
+    return g.select("required_role", "role", "role_level", F.round("affinity", 4).alias("affinity"), "n")
 
 
 def unseen(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +160,9 @@ f AS (SELECT *, min(h) OVER (PARTITION BY user_id, s) AS f FROM d) SELECT user_i
     "new_again": (new_again, "SELECT event_type, count(*) AS n FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS l FROM events) WHERE l IS NULL OR ts - l > INTERVAL 3 DAYS GROUP BY 1"),
     "latest_lines": (latest_lines, "SELECT o_custkey, max(CASE WHEN y THEN o_orderkey END) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM (SELECT *, CASE WHEN max(o_orderdate >= TIMESTAMP '1995-01-01') OVER (PARTITION BY o_custkey) THEN o_orderdate >= TIMESTAMP '1995-01-01' ELSE true END AS y FROM orders) WHERE y GROUP BY 1"),
     "company_keys": (company_keys, "SELECT 'ab' || (c_custkey % 40) AS key, count(*) AS n, 'AK-' || lpad(CAST(min(c_custkey) AS VARCHAR), 5, '0') AS first FROM customer GROUP BY c_custkey % 40"),
-    "name_faults": (name_faults, "SELECT p_partkey % 5 AS kind, CASE p_partkey % 5 WHEN 1 THEN 'era,numbers' WHEN 2 THEN 'empty' WHEN 3 THEN 'kind of skill' ELSE '' END AS faults, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1, 2"),
-    "role_fit": (role_fit, "SELECT * FROM (VALUES ('PM', 'PMO', '-', 0.5), ('プロジェクトマネージャー', 'PMO', 'A', 0.45), ('プロジェクトマネージャー', 'PMO', '-', 0.2), ('システムエンジニア', 'アーキテクト', '-', 0.9), ('PMO', 'PMO', 'C', 1.0), ('', 'PMO', '-', 0.5)) v(required_role, role, role_level, affinity)"),
+    "role_fit": (role_fit, f"""WITH {PEOPLE}, {PROJECTS}, {ROLES}
+SELECT required_role, role, role_level, round(CASE WHEN required_role IS NULL OR role IS NULL THEN 0.5 WHEN required_role = role THEN 1 ELSE affinity END, 4) AS affinity, count(*) AS n
+FROM pr JOIN pe ON home = work LEFT JOIN af USING (required_role, role, role_level) GROUP BY ALL"""),
     "unseen": (unseen, """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderpriority AS p, o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m') AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 w AS (SELECT o_custkey, k, o_orderkey, [p] AS ps, [m] AS ms, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.o_custkey, o.k, o.o_orderkey, CASE WHEN list_contains(ps, p) OR list_contains(ms, m) THEN ps ELSE list_append(ps, p) END,
   CASE WHEN list_contains(ps, p) OR list_contains(ms, m) THEN ms ELSE list_append(ms, m) END, NOT (list_contains(ps, p) OR list_contains(ms, m)) FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1)

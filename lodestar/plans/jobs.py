@@ -213,15 +213,6 @@ def compared_profiles(spark: SparkSession, d: str) -> DataFrame:
     return jobs.profile_for_comparison(people(spark, d)).groupBy(F.col("profile.station").alias("station")).agg(F.count("profile.age").alias("ages"), F.count("profile.prefecture").alias("places"))
 
 
-MAILS = [("要員のご紹介", "氏名：Y.K 年齢：35"), ("案件のご紹介", "案件名：開発"), ("お知らせ", "氏名: A 45歳まで"), (None, "イニシャル： T.S 38歳"), ("candidate 29歳", None), ("", "")]
-
-
-def mail_signs(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("n_nationkey") % len(MAILS)
-    n = table(spark, d, "nation").select("n_nationkey", pick([m[0] for m in MAILS], i).alias("s"), pick([m[1] for m in MAILS], i).alias("b"))
-    return n.select("n_nationkey", F.array_join(jobs.mail_signs(F.col("s"), F.col("b")), ",").alias("signs"))
-
-
 def serial_numbers(spark: SparkSession, d: str) -> DataFrame:
     return jobs.serial_numbers(table(spark, d, "orders").where("o_orderkey % 7 != 3").select("o_orderkey"), "o_orderkey", 100)
 
@@ -269,6 +260,5 @@ SELECT name, CASE WHEN length(trim(name)) < 2 OR name LIKE '-%' THEN 'garbage' E
     "unverified_needs": (unverified_needs, f"WITH {PERSON_SKILLS}, {NEEDS} SELECT DISTINCT project AS idx, lower(skill) AS skill FROM nd WHERE NOT nice AND tech AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.id % 30 = nd.project AND ps.skill = nd.skill AND months > 90)"),
     "hits_by_index": (hits_by_index, f"WITH {SKILLED} SELECT lv.id AS idx, lower(ps.skill) AS want FROM lv JOIN ps USING (id) WHERE id < 40 AND ps.skill IN ('Brand#2', 'Brand#11')"),
     "compared_profiles": (compared_profiles, f"WITH {PEOPLE} SELECT station, count(age) AS ages, count(home) AS places FROM pe GROUP BY 1"),
-    "mail_signs": (mail_signs, "SELECT n_nationkey, ['subject of a person,profile in the body', 'signs of a project', '', 'profile in the body', 'subject of a person', ''][n_nationkey % 6 + 1] AS signs FROM nation"),
     "serial_numbers": (serial_numbers, "SELECT o_orderkey, 100 + row_number() OVER (ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey % 7 != 3"),
 }

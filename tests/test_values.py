@@ -103,7 +103,7 @@ def test_greedy_unseen(spark):
 
 def test_companies_and_names(spark):
     assert values(spark, ["株式会社ＡＢＣ", "ABC 株式会社", "ａｂｃ"], names.company_key) == ["abc", "abc", "abc"]
-    assert values(spark, ["山田", "", "昭和５年", "12", "氏名", None], names.name_faults) == [[], ["empty"], ["era", "numbers"], ["numbers", "no letter"], ["placeholder"], ["empty"]]
+    assert values(spark, ["山田", "", "昭和５年", "12", "氏名", None], names.name_faults) == [[], ["empty"], ["wide digits", "era"], ["digits", "no letter"], ["placeholder"], ["empty"]]
 
 
 def test_latest_lines(spark, tmp_path):
