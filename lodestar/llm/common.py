@@ -56,8 +56,8 @@ class Scratch:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that no model may learn from; a null doc_id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def append_columns(df: DataFrame, fn: Callable, fields: Sequence[T.StructField], drop: Sequence[str] = ()) -> DataFrame:

@@ -41,7 +41,7 @@ DIGITS = {"ip": 4, "card": 13, "phone": 7}
 #: Embedded size, hidden size of each direction, and labels: outside, and first and further characters of each kind.
 EMBEDDED, HIDDEN, LABELS = 12, 20, 1 + 2 * len(KINDS)
 #: Added spans need this mean probability of their labels.
-CONFIDENT = 0.95
+CONFIDENT = 0.5
 
 #: Classes of characters that the network tells apart: ASCII ones, other letters, other digits, other white space, others.
 #: Decimal digits of other scripts, wide and small forms and dashes count as their ASCII ones.

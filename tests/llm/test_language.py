@@ -55,3 +55,8 @@ def test_rows_that_share_a_doc_id_stay_a_bounded_sample(spark):
     counted = lambda m: (m.log_prob[:-1] > m.log_prob[:-1].min()).sum()
     assert counted(some) < counted(whole)
     assert language.MOST_LANGUAGES >= 100
+
+
+def test_a_null_name_is_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "the of and", "en"), (1, "der die das", "de")], "doc_id long, text string, lang string")
+    assert docs.select(held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0 and train(docs).languages == ["de", "en"]
