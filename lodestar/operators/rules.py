@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import any_of, contains_word, supply_step
 
-from .skills import small
+from .skills import BROADCAST_ROWS, small
+
+
+def met_by(people: DataFrame, rules: DataFrame, holds: Column, *wanted: Column) -> DataFrame:
+    """What `wanted` takes of people (alias p) and rules (alias r) for which the condition holds, where no key of theirs can be joined by.
+
+    Rules are broadcast in parts of a bounded number, a pass over people each, so that neither a task nor a broadcast grows with them.
+    """
+    parts = max(1, -(-rules.count() // BROADCAST_ROWS))
+    own = lambda i: rules if parts == 1 else rules.where(F.pmod(F.xxhash64("rule"), F.lit(parts)) == i)
+    out = [people.alias("p").join(F.broadcast(own(i).alias("r")), holds).select(*wanted) for i in range(parts)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def passes(bound: Column, value: Column, holds: Column, include_unknown: Column) -> Column:
@@ -22,8 +35,7 @@ def rule_matches(rules: DataFrame, people: DataFrame) -> DataFrame:
     people: id, data_env, age, years, skills (array, lower case), kind. Rules are few, which is seen by counting them, and then broadcast.
     """
     conditions = ["age_min", "age_max", "years_min", "skills", "kinds"]
-    r = rules.where(any_of([F.col(c).isNotNull() for c in conditions])).alias("r")
-    p, u = people.alias("p"), F.col("r.include_unknown")
+    r, u = rules.where(any_of([F.col(c).isNotNull() for c in conditions])), F.col("r.include_unknown")
     age, years = F.col("p.age"), F.col("p.years")
     wanted = F.transform("r.skills", lambda x: F.lower(x))
     holds = (
@@ -34,7 +46,7 @@ def rule_matches(rules: DataFrame, people: DataFrame) -> DataFrame:
         & (F.col("r.skills").isNull() | F.arrays_overlap("p.skills", wanted))
         & passes(F.col("r.kinds"), F.col("p.kind"), F.array_contains("r.kinds", F.col("p.kind")), u)
     )
-    return p.join(small(r), holds).select("r.rule", "p.id")
+    return met_by(people, r, holds, F.col("r.rule"), F.col("p.id"))
 
 
 def key_of(c: Column) -> Column:
@@ -55,13 +67,16 @@ def watched(rules: DataFrame, people: DataFrame) -> DataFrame:
     station, skills (array), months (map of skill to months), age, years, levels (array), kind, flow.
     Conditions are and-ed, values of one or-ed. An unknown value passes unless include_unknown is false, but an
     unmarked level always does. A rule's skill years count for those of its skills of which the months are known.
+
+    Words of rules meet distinct names of skills first; a rule with skills is then joined to the people who have one of these names,
+    one without is compared with all people of its tenant.
     """
     off = lambda c: F.coalesce(F.size(F.filter(F.col(c), lambda x: F.trim(x) != "")), F.lit(0)) <= 0
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     numbers = ["age_min", "age_max", "years_min", "skill_years_min"]
     some = any_of([F.col(c).isNotNull() for c in numbers] + [~off(c) for c in ("skills", "kinds", "flows", "texts")] + [~blank(c) for c in ("name", "station")] + [F.coalesce("exclude_c", F.lit(False))])
-    r = rules.where(some).withColumn("include_unknown", F.coalesce("include_unknown", F.lit(True))).alias("r")
-    p, u = people.alias("p"), F.col("r.include_unknown")
+    r = rules.where(some).withColumn("include_unknown", F.coalesce("include_unknown", F.lit(True)))
+    u = F.col("r.include_unknown")
     within = lambda c, value: F.contains(key_of(F.coalesce(F.col(value), F.lit(""))), key_of(F.col(c)))
     known = F.filter(F.map_entries("p.months"), lambda e: ~e["key"].startswith("_") & F.exists("r.skills", lambda w: skill_fits(w, e["key"])))
     long_enough = F.when(F.size(known) > 0, F.exists(known, lambda e: e["value"] >= 12 * F.col("r.skill_years_min")))
@@ -71,7 +86,6 @@ def watched(rules: DataFrame, people: DataFrame) -> DataFrame:
         (F.col("r.data_env") == F.col("p.data_env"))
         & (blank("r.name") | within("r.name", "p.name"))
         & (blank("r.station") | within("r.station", "p.station"))
-        & (off("r.skills") | F.exists("r.skills", lambda w: F.exists("p.skills", lambda s: skill_fits(w, s))))
         & passes(F.col("r.age_min"), F.col("p.age"), F.col("p.age") >= F.col("r.age_min"), u)
         & passes(F.col("r.age_max"), F.col("p.age"), F.col("p.age") <= F.col("r.age_max"), u)
         & passes(F.col("r.years_min"), F.col("p.years"), F.col("p.years") >= F.col("r.years_min"), u)
@@ -80,7 +94,15 @@ def watched(rules: DataFrame, people: DataFrame) -> DataFrame:
         & (off("r.flows") | passes(F.lit(1), supply_step(F.col("p.flow")), F.array_contains("r.flows", supply_step(F.col("p.flow"))), u))
         & ~(F.coalesce("r.exclude_c", F.lit(False)) & only_c)
     )
-    return p.join(small(r), holds).select("r.rule", "p.id", u.alias("include_unknown"), F.col("r.texts").alias("texts"))
+    wanted = [F.col("r.rule"), F.col("p.id"), u.alias("include_unknown"), F.col("r.texts").alias("texts")]
+    by_skill = r.where(~off("skills"))
+    words = by_skill.select("rule", "data_env", F.explode(F.array_distinct("skills")).alias("word"))
+    held = people.select("id", "data_env", F.explode(F.array_distinct("skills")).alias("skill"))
+    fits = held.select("skill").distinct().join(small(words.select("word").distinct()), skill_fits(F.col("word"), F.col("skill")))
+    named = words.join(fits, "word").select("rule", "data_env", "skill").distinct()
+    pairs = held.join(small(named), ["data_env", "skill"]).select("rule", "id").distinct()
+    found = pairs.withColumnsRenamed({"rule": "rule_", "id": "id_"}).join(people.alias("p"), F.col("id_") == F.col("p.id")).join(small(by_skill).alias("r"), F.col("rule_") == F.col("r.rule"))
+    return met_by(people, r.where(off("skills")), holds, *wanted).unionByName(found.where(holds).select(*wanted))
 
 
 def with_bodies(matches: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import durations
+from lodestar.functions.arrays import removed
 from lodestar.operators import classifier, prose
 from lodestar.sources import records
 from lodestar.streaming.batches import folder
@@ -82,11 +83,23 @@ def swept(spark: SparkSession, d: str) -> DataFrame:
     return s.select("threshold", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def without_values(spark: SparkSession, d: str) -> DataFrame:
+    """Brands of each supplier's parts without two of them and without nulls; an array that is null stays so."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    brand = F.when(F.col("p_brand") != "Brand#9", F.col("p_brand"))
+    brands = li.groupBy("l_suppkey").agg(F.array_sort(F.array_distinct(F.collect_list(F.coalesce(brand, F.lit("")))))).toDF("l_suppkey", "brands")
+    brands = brands.withColumn("brands", F.when(F.col("l_suppkey") % 11 != 0, F.transform("brands", lambda b: F.nullif(b, F.lit("")))))
+    left = removed(F.col("brands"), "Brand#3", "Brand#7")
+    return brands.select("l_suppkey", F.array_join(left, ",").alias("brands"), F.size(left).cast("long").alias("n"))
+
+
 def _listed(values: list, index: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][{index} + 1]"
 
 
 QUERIES = {
+    "without_values": (without_values, """WITH b AS (SELECT l_suppkey, list_filter(list_sort(list(DISTINCT p_brand)), lambda x: x NOT IN ('Brand#3', 'Brand#7', 'Brand#9')) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT l_suppkey, CASE WHEN l_suppkey % 11 != 0 THEN array_to_string(b, ',') END AS brands, CASE WHEN l_suppkey % 11 != 0 THEN len(b) END AS n FROM b"""),
     "prose_points": (prose_points, f"SELECT c_custkey AS id, {_listed([x[1] for x in TEXTS], f'c_custkey % {len(TEXTS)}')} AS roles FROM customer"),
     "stations_found": (stations_found, f"SELECT c_custkey AS id, CASE c_custkey % {len(SPELLINGS)} WHEN 6 THEN NULL WHEN 7 THEN '大阪府' ELSE {_listed(PLACES, 'n_regionkey')} END AS prefecture FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "snapshot_rows": (snapshot_rows, "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'kept' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 > 0"),
