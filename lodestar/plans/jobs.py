@@ -15,23 +15,27 @@ from .tables import table
 ENGLISH_BRAND = "brand#7"
 
 
-def _shown(spark: SparkSession, d: str) -> DataFrame:
-    """Every person with one project, and what its list shows them by."""
+def _shown(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """Every person with one project, or with all of those that ask for a skill of theirs, and what its list shows them by."""
     hits, want = all_hits(spark, d)
     want = want.withColumn("english", F.col("skill") == ENGLISH_BRAND)
     k = F.col("project")
-    p = people(spark, d).withColumns({"project": F.col("id") % 10, "wishes": F.col("id") % 11 == 0}).join(licensed(spark).select("domain", F.lit(True).alias("licensed")), "domain", "left")
+    p = people(spark, d).withColumn("wishes", F.col("id") % 11 == 0).join(licensed(spark).select("domain", F.lit(True).alias("licensed")), "domain", "left")
     q = projects(spark, d).withColumns({"asks_english": pick(["business", "native", None], k % 3), "allowed_kinds": F.when(k % 2 == 0, F.array(F.lit("正社員"), F.lit("フリーランス")))})
-    shown = jobs.shown_hits(want, hits, p.select("id", "project", "english"))
-    return roles.with_affinity(shown.join(p, ["id", "project"]).join(skills.small(q), "project"), spark)
+    pairs = p.select("id", "english").join(hits.select("id", "project").distinct(), "id") if every else p.select("id", "english", (F.col("id") % 10).alias("project"))
+    shown = jobs.shown_hits(want, hits, pairs)
+    return roles.with_affinity(shown.join(p, "id").join(skills.small(q), "project"), spark)
 
 
 def display_scores(spark: SparkSession, d: str) -> DataFrame:
     return jobs.with_display_score(_shown(spark, d)).select("id", "project", F.col("shown").cast("long").alias("score"))
 
 
+#: Pairs that are shown: each person with one project, or with all of those of which it has a skill.
+ONE_EACH = "pe JOIN nd ON nd.project = pe.id % 10"
+WITH_HIT = "(SELECT DISTINCT ps.id AS hid, nd.project AS hp FROM ps JOIN nd ON ps.skill = nd.skill) JOIN pe ON pe.id = hid JOIN nd ON nd.project = hp"
 SHOWN = f"""{PERSON_SKILLS}, {NEEDS}, {PEOPLE}, {PROJECTS}, {ROLES},
-n AS (SELECT pe.id, nd.project, nice, weight, tech, months, lower(nd.skill) = '{ENGLISH_BRAND}' AS eng, english, ps.id IS NOT NULL AS hit FROM pe JOIN nd ON nd.project = pe.id % 10 LEFT JOIN ps ON ps.id = pe.id AND ps.skill = nd.skill),
+n AS (SELECT pe.id, nd.project, nice, weight, tech, months, lower(nd.skill) = '{ENGLISH_BRAND}' AS eng, english, ps.id IS NOT NULL AS hit FROM {ONE_EACH} LEFT JOIN ps ON ps.id = pe.id AND ps.skill = nd.skill),
 c AS (SELECT *, CAST(CASE WHEN hit AND NOT eng THEN 1.0 WHEN hit THEN CASE english WHEN 'business' THEN 1.5 WHEN 'daily' THEN 0.8 ELSE 1.0 END WHEN eng AND english IS NOT NULL THEN CASE english WHEN 'business' THEN 1.0 ELSE 0.5 END ELSE 0 END AS DOUBLE) AS w,
   CASE WHEN hit AND tech AND coalesce(months, 0) <= 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS half FROM n),
 a AS (SELECT id, project, coalesce(sum(w) FILTER (NOT nice), 0) AS hits, coalesce(sum(w * half * weight) FILTER (NOT nice), 0) AS hw, coalesce(sum(weight) FILTER (NOT nice), 0) AS total, count(*) FILTER (NOT nice) AS nr, count(*) FILTER (nice AND hit) AS nh, count(*) FILTER (nice) AS nn, max(months) FILTER (NOT nice) AS longest FROM c GROUP BY 1, 2),
@@ -53,10 +57,9 @@ sc AS (SELECT id, project, CAST(CASE WHEN dl != 0 THEN greatest(0, least(110, t5
 
 
 def best_both_ways(spark: SparkSession, d: str) -> DataFrame:
-    """The three best people of each project, and the best project of each person among a few people."""
-    hits, want = all_hits(spark, d)
-    w = flagship.hit_totals(hits, want).where("hit > 0").select("id", "project", (F.col("hit") * 10 + F.col("nice_hits")).alias("score"))
-    out = jobs.best_both_ways(w, 3)
+    """The three best people of each project, and the three best projects of each person, by the display score."""
+    scored = jobs.with_display_score(_shown(spark, d, every=True)).select("id", "project", F.col("shown").cast("long").alias("score"))
+    out = jobs.best_both_ways(scored, 3)
     return out.select("direction", "of", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -219,9 +222,8 @@ def serial_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "display_scores": (display_scores, f"WITH {SHOWN} SELECT * FROM sc"),
-    "best_both_ways": (best_both_ways, f"""WITH {PERSON_SKILLS}, {NEEDS}, h AS (SELECT id, project, coalesce(sum(weight) FILTER (NOT nice), 0) AS hit, count(*) FILTER (nice) AS nh FROM ps JOIN nd USING (skill) GROUP BY ALL),
-s AS (SELECT id, project, CAST(hit * 10 + nh AS BIGINT) AS score FROM h WHERE hit > 0)
-SELECT * FROM (SELECT 'people' AS direction, project AS of, id, score, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS rank FROM s UNION ALL SELECT 'projects', id, project, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, project) FROM s) WHERE rank <= 3"""),
+    "best_both_ways": (best_both_ways, f"""WITH {SHOWN.replace(ONE_EACH, WITH_HIT)}
+SELECT * FROM (SELECT 'people' AS direction, project AS of, id, score, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS rank FROM sc UNION ALL SELECT 'projects', id, project, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, project) FROM sc) WHERE rank <= 3"""),
     "relevant_skills": (relevant_skills, f"""WITH {SKILLED}, x AS (SELECT id, list_filter(skills, lambda s: contains(lower(s), 'brand#1') OR contains(lower(s), 'brand#25') OR contains('brand#25', lower(s))) AS own, list_filter(skills, lambda s: NOT (contains(lower(s), 'brand#1') OR contains(lower(s), 'brand#25') OR contains('brand#25', lower(s)))) AS rest FROM lv WHERE skills IS NOT NULL)
 SELECT id, array_to_string(list_concat(own, rest[1 : greatest(0, 4 - len(own))]), '|') AS shown FROM x"""),
     "auto_weights": (auto_weights, """WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 55 WHEN p_partkey % 6 + 1 >= 5 THEN 50 WHEN p_partkey % 6 + 1 <= 2 THEN 35 ELSE 40 END AS s, CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 15 END AS e, CASE p_partkey % 4 WHEN 0 THEN 10 ELSE 20 END AS l, CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 5 END AS r FROM part)
