@@ -144,7 +144,7 @@ def met_again(spark: SparkSession, d: str) -> DataFrame:
 def other_companies(spark: SparkSession, d: str) -> DataFrame:
     p = people(spark, d).select("id", "station", F.when(F.col("id") % 4 != 0, F.concat(F.lit("株式会社"), F.upper("domain"))).alias("company"))
     a, b = p.select(F.col("id").alias("a"), "station", F.col("company").alias("mine")), p.select(F.col("id").alias("b"), "station", F.lower(F.regexp_replace("company", "株式会社", "")).alias("theirs"))
-    pairs = a.where("a % 10 = 0 or a % 10 = 3").join(b, "station").where("a < b")
+    pairs = a.join(b, "station").where("a < b")
     return jobs.other_companies(pairs, F.col("mine"), F.col("theirs"), names.company_key).groupBy("a").agg(F.count("*").alias("others"))
 
 
@@ -207,7 +207,7 @@ def unverified_needs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits_by_index(spark: SparkSession, d: str) -> DataFrame:
-    p = with_skills(spark, d).where("skills is not null and id < 40").select(F.col("id").alias("idx"), "skills")
+    p = with_skills(spark, d).where("skills is not null").select(F.col("id").alias("idx"), "skills")
     wants = spark.createDataFrame([("BRAND#2",), ("Brand#11",), ("nothing",)], "skill string")
     return jobs.hits_by_index(p, wants, same_brands(spark, d), skills.small)
 
@@ -242,7 +242,7 @@ SELECT id, array_to_string(list_filter([CASE WHEN NOT lead THEN role END, CASE W
 j AS (SELECT me, id, CASE WHEN len(list_distinct(list_concat(ask, bsk))) > 0 THEN len(list_intersect(ask, bsk)) / len(list_distinct(list_concat(ask, bsk))) ELSE 0 END AS s FROM m WHERE coalesce(ah = bh, true) AND coalesce(abs(ay - byr) < 5, true))
 SELECT me, min(id) AS id, 'facts' AS how FROM m WHERE same OR 1 + coalesce(ah = bh, false)::INT + coalesce(aa = ba, false)::INT + coalesce(abs(ay - byr) < 2, false)::INT >= 2 GROUP BY 1
 UNION ALL SELECT me, first(id ORDER BY s DESC, id), 'skills' FROM j WHERE s >= 0.5 GROUP BY 1"""),
-    "other_companies": (other_companies, f"WITH {PEOPLE} SELECT a.id AS a, count(*) AS others FROM pe a JOIN pe b ON a.station = b.station AND a.id < b.id WHERE a.id % 10 IN (0, 3) AND NOT (a.domain = b.domain AND a.id % 4 != 0 AND b.id % 4 != 0) GROUP BY 1"),
+    "other_companies": (other_companies, f"WITH {PEOPLE} SELECT a.id AS a, count(*) AS others FROM pe a JOIN pe b ON a.station = b.station AND a.id < b.id WHERE NOT (a.domain = b.domain AND a.id % 4 != 0 AND b.id % 4 != 0) GROUP BY 1"),
     "licence_states": (licence_states, "SELECT company, CASE WHEN x > 0 AND y > 0 THEN 'both' WHEN x > 0 THEN 'haken' WHEN y > 0 THEN 'shokai' ELSE 'notfound' END AS status FROM (SELECT o_custkey % 40 AS company, count(*) FILTER (o_orderkey % 50 = 0) AS x, count(*) FILTER (o_orderkey % 60 = 7) AS y FROM orders GROUP BY 1)"),
     "same_project_text": (same_project_text, r"""WITH d AS (SELECT doc_id AS id, substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{200b}-\x{200d}\x{feff}]', '', 'g'), '[\s\x0b　]+', ' ', 'g')), 1, 10000) AS n FROM documents) SELECT a.id, min(b.id) AS first FROM d a JOIN d b USING (n) WHERE a.id % 2 = 1 AND n != '' GROUP BY 1"""),
     "statuses": (statuses, "WITH o AS (SELECT ['accepted', 'sent', 'pending', 'rejected'][o_orderkey % 4 + 1] AS current, ['sent', 'rejected'][(o_orderkey // 4) % 2 + 1] AS mark FROM orders) SELECT current, mark, CASE WHEN current = 'accepted' THEN '-' WHEN current = mark THEN 'pending' ELSE mark END AS next, count(*) AS n FROM o GROUP BY ALL"),
@@ -260,7 +260,7 @@ SELECT name, CASE WHEN length(trim(name)) < 2 OR name LIKE '-%' THEN 'garbage' E
     "technology": (technology, f"WITH {NEEDS}, s AS (SELECT DISTINCT lower(skill) AS skill FROM nd UNION SELECT lower(r_name) FROM region) SELECT skill, skill IN (SELECT lower(p_brand) FROM part) AND NOT regexp_matches(skill, '[051]$') AS tech FROM s"),
     "categories": (categories, "SELECT DISTINCT p.p_name AS name, b.category FROM part p JOIN (SELECT lower(p_name) AS k, first(p_type ORDER BY p_size DESC, p_type) AS category FROM part GROUP BY 1) b ON lower(p.p_name) = k"),
     "unverified_needs": (unverified_needs, f"WITH {PERSON_SKILLS}, {NEEDS} SELECT DISTINCT project AS idx, lower(skill) AS skill FROM nd WHERE NOT nice AND tech AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.id % 30 = nd.project AND ps.skill = nd.skill AND months > 90)"),
-    "hits_by_index": (hits_by_index, f"WITH {SKILLED} SELECT lv.id AS idx, lower(ps.skill) AS want FROM lv JOIN ps USING (id) WHERE id < 40 AND ps.skill IN ('Brand#2', 'Brand#11')"),
+    "hits_by_index": (hits_by_index, f"WITH {SKILLED} SELECT lv.id AS idx, lower(ps.skill) AS want FROM lv JOIN ps USING (id) WHERE ps.skill IN ('Brand#2', 'Brand#11')"),
     "compared_profiles": (compared_profiles, f"WITH {PEOPLE} SELECT station, count(age) AS ages, count(home) AS places FROM pe GROUP BY 1"),
     "serial_numbers": (serial_numbers, "SELECT o_orderkey, 100 + row_number() OVER (ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey % 7 != 3"),
 }
