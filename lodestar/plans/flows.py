@@ -70,6 +70,14 @@ def stream_new_again(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
+def stream_marks_again(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of two watch rules that lapse when a rule has not been met by a user for seven days."""
+    rules = spark.createDataFrame([(1, "error", 50.0), (2, "purchase", 90.0)], "rule long, event_type string, least double")
+    met = _arriving(spark, d, "marks-again").join(F.broadcast(rules), "event_type").where(F.col("value") >= F.col("least"))
+    marks = states.new_keys(met, ["rule", "user_id"], "ts", "1 hour", 7, batches.folder(spark, "marks-again"))
+    return marks.select("rule", "user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def stream_pages(spark: SparkSession, d: str) -> DataFrame:
     """Events in pages of 300, the oldest first."""
     path = batches.folder(spark, "pages")
@@ -147,6 +155,9 @@ a(user_id, ms, until, hr) AS (SELECT user_id, ms, until, n FROM s JOIN nb ON h =
 SELECT user_id, strftime(make_timestamp(hr * 3600000000), '%Y-%m-%d %H') AS at, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M') AS since FROM a"""),
     "stream_new_again": (stream_new_again, f"""WITH {WATERMARK}, b AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms) AS gap FROM e WHERE ms <= mark)
 SELECT user_id, event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM b WHERE gap IS NULL OR gap > 259200000 GROUP BY 1, 2"""),
+    "stream_marks_again": (stream_marks_again, """WITH m AS (SELECT CASE event_type WHEN 'error' THEN 1 ELSE 2 END::BIGINT AS rule, user_id, ts, epoch_ms(ts) AS ms FROM events WHERE event_type = 'error' AND value >= 50 OR event_type = 'purchase' AND value >= 90),
+g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY rule, user_id ORDER BY ms) AS gap FROM m WHERE ms <= (SELECT max(ms) FROM m) - 3600000)
+SELECT rule, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM g WHERE gap IS NULL OR gap > 604800000"""),
     "stream_pages": (stream_pages, "SELECT page, count(*) AS n, arg_min(event_id, ts) AS first, arg_max(event_id, ts) AS last, sum(event_id)::BIGINT AS ids FROM (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 300 AS page FROM events) GROUP BY 1"),
     "stream_daily": (stream_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_first": (stream_first, "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),

@@ -45,10 +45,13 @@ def drained(stream: DataFrame, path: str, mode: str, write: Callable[[DataFrame,
 
 
 def daily_counts(stream: DataFrame, path: str) -> DataFrame:
-    """day, event_type, n. Each batch replaces the counts with the whole state, so that a repeated batch changes nothing."""
+    """day, event_type, n. A batch writes the counts that it has changed to a folder of its own, so that a repeated one changes nothing and
+    readers never see half a table; the latest batch of a day and type counts."""
+    spark = stream.sparkSession
     counted = stream.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    drained(counted, path, "complete", lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows"))
-    return stream.sparkSession.read.parquet(f"{path}/rows")
+    drained(counted, path, "update", lambda df, i: df.write.mode("overwrite").parquet(f"{path}/rows/batch={i}"))
+    rows = spark.read.schema(counted.schema.add("batch", "long")).parquet(f"{path}/rows")
+    return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def first_of_each(stream: DataFrame, keys: list[str], time: str, late: str, path: str) -> DataFrame:
