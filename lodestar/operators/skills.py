@@ -9,16 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import contains_word, skill_key
 
-#: Up to so many rows a table of names or rules is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
+#: Up to so many rows and bytes (written as JSON) a table of names or rules is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if it is seen to have few rows. The count stops at the bound; give it a table that is cheap to make, or a written one."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, broadcast if it is seen to have few rows and bytes. Counting stops at the bound; give it a table that is cheap to make, or a written one."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    size = F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in wide))))) if wide else F.lit(0)
+    n, found = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and (found or 0) + 8 * n * len(df.columns) <= most else df
 
 
 def name_map(master: DataFrame) -> DataFrame:

@@ -39,3 +39,14 @@ def test_all_pairs_within_a_block(spark):
     assert similar.similar_people(frame.limit(0), ["block"], score()).count() == 0
     with pytest.raises(ValueError, match="above 0"):
         similar.similar_people(frame, ["block"], score(), 0.0)
+
+
+def test_tables_are_broadcast_within_rows_and_bytes(spark):
+    from lodestar.operators.skills import small
+
+    def sent(df):
+        return "Broadcast" in spark.range(3).withColumnRenamed("id", "k").join(df, "k")._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    table = spark.range(10).selectExpr("id AS k", "repeat('x', 100) AS t", "array('y') AS a", "map('m', 1) AS m")
+    assert sent(small(table)) and sent(small(table.select("k"))) and sent(small(table.limit(0)))
+    assert not sent(small(table, rows=9)) and not sent(small(table, most=1000))
