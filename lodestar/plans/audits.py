@@ -207,7 +207,7 @@ def status_in_order(spark: SparkSession, d: str) -> DataFrame:
 def pruned_projects(spark: SparkSession, d: str) -> DataFrame:
     """Of each place's people-wide brands, the projects that share most with them, then by name; the first three."""
     have = spark.createDataFrame([(f"brand#{i}",) for i in (1, 4, 6, 9, 12, 17, 23)], "skill string")
-    n = all_needs(spark, d).select("project", F.lower("skill").alias("skill")).join(F.broadcast(have), "skill").groupBy("project").agg(F.count("*").alias("shared"))
+    n = all_needs(spark, d).select("project", F.lower("skill").alias("skill")).join(skills.small(have), "skill").groupBy("project").agg(F.count("*").alias("shared"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), "s_name", "s_nationkey").join(n, "project")
     return ranking.best(s, "s_nationkey", 3, F.desc("shared"), F.col("s_name")).select("s_nationkey", "project", "shared")
 
@@ -275,7 +275,7 @@ def duplicates_of_one(spark: SparkSession, d: str) -> DataFrame:
 
 def shown_duplicates(spark: SparkSession, d: str) -> DataFrame:
     p = _namesakes(spark, d)
-    a, b = p.where("id % 40 = 7").alias("a"), p.alias("b")
+    a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") != F.col("b.id")))
     return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), entities.display_score("a", "b").cast("long").alias("score")).where("score >= 50")
 
@@ -284,7 +284,7 @@ def labelled_marks(spark: SparkSession, d: str) -> DataFrame:
     """Marks (orders here) beside the label of what they are about, also where there is none."""
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("key"))
     names = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
-    return o.join(F.broadcast(names), "key", "left").groupBy(F.coalesce("n_name", F.lit("(gone)")).alias("label")).agg(F.count("*").alias("n"))
+    return o.join(skills.small(names), "key", "left").groupBy(F.coalesce("n_name", F.lit("(gone)")).alias("label")).agg(F.count("*").alias("n"))
 
 
 NAMESAKES = f"{PERSON_SKILLS}, {PEOPLE}, sk AS (SELECT id, list(skill) AS sk FROM ps GROUP BY 1), p AS (SELECT pe.id, station, home, age, years, sk, 'm' || (pe.id % 500) AS email, pe.id % 25 AS nm FROM pe JOIN sk USING (id))"
@@ -298,7 +298,7 @@ r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precis
     "duplicates_of_one": (duplicates_of_one, f"""WITH {NAMESAKES}, j AS (SELECT b.id AS other, CASE WHEN coalesce(abs(a.years - b.years) >= 5, false) OR coalesce(a.station != b.station, false) OR coalesce(a.home != b.home, false) OR coalesce(a.age != b.age, false) THEN 0.0 WHEN coalesce(a.age = b.age, false) AND coalesce(a.station = b.station, false) THEN 1.0
   ELSE round(len(list_intersect(a.sk, b.sk)) / len(list_distinct(list_concat(a.sk, b.sk))), 6) END AS score FROM p a JOIN p b ON a.nm = b.nm AND a.id != b.id WHERE a.id = 57) SELECT other, score FROM j WHERE score >= 0.4 ORDER BY score DESC, other LIMIT 10"""),
     "shown_duplicates": (shown_duplicates, f"""WITH {NAMESAKES} SELECT a.id, b.id AS other, CAST(50 + CASE WHEN coalesce(a.station = b.station, false) THEN 30 ELSE 0 END + CASE WHEN a.email = b.email THEN 50 ELSE 0 END + CASE WHEN len(list_intersect(a.sk, b.sk)) / least(len(a.sk), len(b.sk)) >= 0.5 THEN 10 ELSE 0 END + CASE WHEN coalesce(abs(a.years - b.years) <= 1, false) THEN 10 ELSE 0 END AS BIGINT) AS score
-  FROM p a JOIN p b ON a.nm = b.nm AND a.id != b.id WHERE a.id % 40 = 7 AND NOT (coalesce(a.station != b.station, false) OR coalesce(a.home != b.home, false) OR coalesce(abs(a.years - b.years) >= 5, false))"""),
+  FROM p a JOIN p b ON a.nm = b.nm AND a.id != b.id WHERE NOT (coalesce(a.station != b.station, false) OR coalesce(a.home != b.home, false) OR coalesce(abs(a.years - b.years) >= 5, false))"""),
     "labelled_marks": (labelled_marks, "SELECT coalesce(n_name, '(gone)') AS label, count(*) AS n FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30 GROUP BY 1"),
     "discrete_median": (discrete_median, "SELECT p_brand, quantile_disc(c, 0.5) AS cents FROM (SELECT p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) GROUP BY 1"),
     "nearest_rank": (nearest_rank, "SELECT p_brand, l[least(CAST(floor(len(l) * 0.9) AS BIGINT), len(l) - 1) + 1] AS cents FROM (SELECT p_brand, list_sort(list(CAST(round(p_retailprice * 100) AS BIGINT))) AS l FROM part GROUP BY 1)"),
