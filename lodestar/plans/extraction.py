@@ -15,13 +15,17 @@ from .staffing import pick
 from .tables import table
 
 
+#: A cell over two rows, and a table within a cell.
+SPANNING = "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c<table><tr><td>in</td></tr></table></td></tr></table>"
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """A page a region with a table of its nations and a length for each, written in several ways."""
     n = table(spark, d, "nation")
     years = F.concat((F.col("n_nationkey") % 4).cast("string"), F.lit("年"), (F.col("n_nationkey") % 12).cast("string"), F.lit("ヶ月"))
     row = F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td> "), years, F.lit("</td></tr>"))
     rows = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
-    return rows.select(F.col("n_regionkey").cast("long").alias("id"), F.concat(F.lit("<p>x</p><table><tr><th>スキル</th><th>期間</th></tr>"), "rows", F.lit("</table><table><tr><td colspan=2>a&amp;b</td></tr></table>")).alias("html"))
+    return rows.select(F.col("n_regionkey").cast("long").alias("id"), F.concat(F.lit("<p>x</p><table><tr><th>スキル</th><th>期間</th></tr>"), "rows", F.lit(f"</table><table><tr><td colspan=2>a&amp;b</td></tr></table>{SPANNING}")).alias("html"))
 
 
 def html_grids(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +152,7 @@ def classifier_doubts(spark: SparkSession, d: str) -> DataFrame:
 SENDER = "CASE WHEN s_suppkey % 3 = 0 THEN 'p' || s_suppkey || '@inner.example.com' ELSE 'a' || (s_suppkey % 7) || '@x.example.com' END"
 QUERIES = {
     "html_grids": (html_grids, """SELECT n_regionkey::BIGINT AS id, 0::BIGINT AS nr, count(*) + 1 AS n_rows, 'スキル,期間|' || string_agg(n_name || ',' || (n_nationkey % 4) || '年' || (n_nationkey % 12) || 'ヶ月', '|' ORDER BY n_nationkey) AS grid FROM nation GROUP BY 1
-UNION ALL SELECT DISTINCT n_regionkey, 1, 1, 'a&b,a&b' FROM nation"""),
+UNION ALL SELECT DISTINCT n_regionkey, t, n, g FROM nation, (VALUES (1, 1, 'a&b,a&b'), (2, 2, 'a,b|a,c'), (3, 1, 'in')) v(t, n, g)"""),
     "grid_months": (grid_months, "SELECT n_regionkey::BIGINT AS id, n_name AS skill, (n_nationkey % 4 * 12 + n_nationkey % 12)::BIGINT AS months FROM nation WHERE n_nationkey % 4 * 12 + n_nationkey % 12 > 0"),
     "unpacking": (unpacking, """WITH e AS (SELECT p_brand, p_size * 100000 AS b, p_type != 'PROMO' AS u, count(*) FILTER (p_type != 'PROMO') OVER w AS k, sum(CASE WHEN p_type != 'PROMO' THEN p_size * 100000 ELSE 0 END) OVER w AS r FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING))
 SELECT p_brand, CASE WHEN NOT u THEN 'kind' WHEN k > 20 THEN 'count' WHEN r > 41943040 THEN 'size' ELSE 'take' END AS plan, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM e GROUP BY 1, 2"""),
