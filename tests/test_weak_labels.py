@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodestar.plans.analytics import weak_labels
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +42,19 @@ def test_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
     assert rows(weak_labels(spark, SF)) == brute(docs, labels)
+
+
+def test_sweep_and_doubts_against_plain_loops(spark):
+    from lodestar.operators import classifier
+    from lodestar.plans import extraction
+
+    sf = "/root/testdata/sf0.001"
+    rows = extraction._quality(spark, sf).withColumn("held", ~classifier.learns(F.col("doc_id"))).collect()
+    for got in extraction.classifier_sweep(spark, sf).collect():
+        own = [(r.p >= got.threshold, r.label) for r in rows if r.held and r.label is not None]
+        tp, fp, fn = sum(u and y == 1 for u, y in own), sum(u and y == 0 for u, y in own), sum(not u and y == 1 for u, y in own)
+        precision, recall = tp / (tp + fp) if tp + fp else 0, tp / (tp + fn) if tp + fn else 0
+        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0
+        assert (got.precision, got.recall, got.f1) == pytest.approx((precision, recall, f1))
+    doubts = sorted((abs(r.p - 0.5), r.doc_id, round(r.p, 4)) for r in rows if r.label is None)[:20]
+    assert [(r.doc_id, r.p) for r in extraction.classifier_doubts(spark, sf).collect()] == [(i, p) for _, i, p in doubts]
