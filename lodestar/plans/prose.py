@@ -83,6 +83,15 @@ def swept(spark: SparkSession, d: str) -> DataFrame:
     return s.select("threshold", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """In what neighbours by number contradict each other, if their mails were one person's; unknown values contradict nothing."""
+    k = F.col("c_custkey")
+    known = lambda n, c: F.when(k % n != 0, c)
+    p = table(spark, d, "customer").select(k.alias("id"), known(5, k % 3).alias("station"), known(7, F.col("c_mktsegment")).alias("prefecture"), known(4, k % 2).alias("age"), known(3, F.col("c_nationkey") % 2).alias("rate"))
+    j = p.alias("a").join(p.alias("b"), F.col("a.id") + 1 == F.col("b.id"))
+    return j.select("a.id", F.array_join(durations.mail_conflicts("a", "b"), ",").alias("conflicts"))
+
+
 def without_values(spark: SparkSession, d: str) -> DataFrame:
     """Brands of each supplier's parts without two of them and without nulls; an array that is null stays so."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -98,6 +107,8 @@ def _listed(values: list, index: str) -> str:
 
 
 QUERIES = {
+    "conflicts": (conflicts, """WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 != 0 THEN c_custkey % 3 END AS s, CASE WHEN c_custkey % 7 != 0 THEN c_mktsegment END AS p, CASE WHEN c_custkey % 4 != 0 THEN c_custkey % 2 END AS a, CASE WHEN c_custkey % 3 != 0 THEN c_nationkey % 2 END AS r FROM customer)
+SELECT x.id, concat_ws(',', CASE WHEN x.s != y.s THEN 'station' END, CASE WHEN x.p != y.p THEN 'prefecture' END, CASE WHEN x.a != y.a THEN 'age' END, CASE WHEN x.r != y.r THEN 'rate' END) AS conflicts FROM p x JOIN p y ON x.id + 1 = y.id"""),
     "without_values": (without_values, """WITH b AS (SELECT l_suppkey, list_filter(list_sort(list(DISTINCT p_brand)), lambda x: x NOT IN ('Brand#3', 'Brand#7', 'Brand#9')) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT l_suppkey, CASE WHEN l_suppkey % 11 != 0 THEN array_to_string(b, ',') END AS brands, CASE WHEN l_suppkey % 11 != 0 THEN len(b) END AS n FROM b"""),
     "prose_points": (prose_points, f"SELECT c_custkey AS id, {_listed([x[1] for x in TEXTS], f'c_custkey % {len(TEXTS)}')} AS roles FROM customer"),
