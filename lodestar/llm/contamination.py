@@ -16,6 +16,8 @@ from .common import ALNUM, Powers, Scratch, append_columns, mixed, pieces, set_a
 WINDOW, SHINGLE = 10, 4
 #: Bytes of items that one block of the benchmark has at most about (its index is broadcast); each block is a pass over the documents.
 BLOCK_BYTES = 8 << 20
+#: Blocks whose passes over the documents are one job; documents are written again only after so many.
+CHAINED = 4
 
 
 class Windows:
@@ -180,18 +182,19 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, drop: tuple[str, .
     of an item; an item of fewer, but not none, is one window. A word inside any occurrence of a window is hit.
     Null texts have no words; items without words have no windows; rows that repeat an item_id are one item, and
     a null item_id is an item named "". An empty benchmark hits nothing. Columns of these names are replaced.
-    A benchmark of more than block_bytes goes in blocks, one pass each, so that what is broadcast stays bounded.
+    A benchmark of more than block_bytes goes in blocks, so that what is broadcast stays bounded: a counting pass over the texts for each, and
+    one job for the hits of CHAINED blocks, after which the documents are written for the next ones.
     Words are compared as 64-bit hashes, all words of a window.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 8)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    scratch = Scratch(docs.sparkSession, "contamination")
+    scratch, texts = Scratch(docs.sparkSession, "contamination"), docs.select("text")
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         windows = Windows([(r["item"], r["text"]) for r in own.collect()])
-        docs = _join(docs, windows.index(shingle_counts(docs, windows)), b == 0, drop if b == blocks - 1 else ())
-        if b < blocks - 1:
+        docs = _join(docs, windows.index(shingle_counts(texts, windows)), b == 0, drop if b == blocks - 1 else ())
+        if b < blocks - 1 and (b + 1) % CHAINED == 0:
             docs = scratch.put(docs, f"block{b}")
     return docs
 
