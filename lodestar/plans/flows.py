@@ -144,7 +144,7 @@ def merged_people(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Times in milliseconds, the watermark, and the hours of business in Japan with the next one from each hour on.
-WATERMARK = "e AS (SELECT *, epoch_ms(ts) AS ms, max(epoch_ms(ts)) OVER () - 3600000 AS mark FROM events)"
+WATERMARK = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms, max(epoch_us(ts) // 1000) OVER () - 3600000 AS mark FROM events)"
 QUERIES = {
     "stream_stalls": (stream_stalls, f"""WITH RECURSIVE {WATERMARK},
 h AS (SELECT h, (h + 9) % 24 BETWEEN 9 AND 17 AND ((h + 9) // 24 + 3) % 7 < 5 AS works FROM (SELECT unnest(range(min(ms) // 3600000, max(ms) // 3600000 + 240)) AS h FROM e)),
@@ -155,7 +155,7 @@ a(user_id, ms, until, hr) AS (SELECT user_id, ms, until, n FROM s JOIN nb ON h =
 SELECT user_id, strftime(make_timestamp(hr * 3600000000), '%Y-%m-%d %H') AS at, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M') AS since FROM a"""),
     "stream_new_again": (stream_new_again, f"""WITH {WATERMARK}, b AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms) AS gap FROM e WHERE ms <= mark)
 SELECT user_id, event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM b WHERE gap IS NULL OR gap > 259200000 GROUP BY 1, 2"""),
-    "stream_marks_again": (stream_marks_again, """WITH m AS (SELECT CASE event_type WHEN 'error' THEN 1 ELSE 2 END::BIGINT AS rule, user_id, ts, epoch_ms(ts) AS ms FROM events WHERE event_type = 'error' AND value >= 50 OR event_type = 'purchase' AND value >= 90),
+    "stream_marks_again": (stream_marks_again, """WITH m AS (SELECT CASE event_type WHEN 'error' THEN 1 ELSE 2 END::BIGINT AS rule, user_id, ts, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'error' AND value >= 50 OR event_type = 'purchase' AND value >= 90),
 g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY rule, user_id ORDER BY ms) AS gap FROM m WHERE ms <= (SELECT max(ms) FROM m) - 3600000)
 SELECT rule, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM g WHERE gap IS NULL OR gap > 604800000"""),
     "stream_pages": (stream_pages, "SELECT page, count(*) AS n, arg_min(event_id, ts) AS first, arg_max(event_id, ts) AS last, sum(event_id)::BIGINT AS ids FROM (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 300 AS page FROM events) GROUP BY 1"),

@@ -64,7 +64,7 @@ class InOrder(StatefulProcessor):
             self.waiting.put([(t,) for t in rest]) if rest else self.waiting.clear()
         if facts != before:
             self.facts.update(tuple(facts)) if facts[0] is not None else self.facts.clear()
-        wanted = {min(t for t in (rest[-1] if rest else None, self.due(facts)) if t is not None)} if rest or self.due(facts) is not None else set()
+        wanted = {min(t for t in (rest[0] if rest else None, self.due(facts)) if t is not None)} if rest or self.due(facts) is not None else set()
         there = set(self.handle.listTimers())
         for t in there - wanted:
             self.handle.deleteTimer(t)

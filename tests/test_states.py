@@ -77,6 +77,13 @@ def test_forgotten_keys_are_new_again(spark, tmp_path):
     assert sorted((r.k, r.at) for r in got.collect()) == sorted(want)
 
 
+def test_rows_that_the_watermark_has_passed_do_not_wait_for_later_ones(spark, tmp_path):
+    source = str(tmp_path / "files")
+    add(spark, source, [("a", START), ("a", START + 50 * HOUR), ("a", START + 99 * HOUR), ("b", START + 100 * HOUR)])
+    got = states.new_keys(stream(spark, source), ["k"], "ts", "3 hours", 1, str(tmp_path / "state"))
+    assert sorted((r.k, r.at) for r in got.collect()) == [("a", START), ("a", START + 50 * HOUR)]
+
+
 def test_pages_stop_and_go_on(spark, tmp_path):
     table, state = str(tmp_path / "table"), str(tmp_path / "state")
     rows = [(i, START + HOUR * (i * 7 % 50)) for i in range(105)] + [(None, START), (500, None)]
