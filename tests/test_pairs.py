@@ -1,5 +1,9 @@
 """Operators on pairs of people and projects, against plain loops over all pairs."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from lodestar.operators import jobs
 
 
@@ -10,3 +14,12 @@ def test_newest_people_are_matched_alone(spark):
     sent = frame([(9, 5, "accepted"), (8, 2, "pending")], "id long, project long, status string")
     got = jobs.auto_match(frame([(1,), (2,)], "project long"), frame([(7,), (8,), (9,)], "id long"), held, needs, sent, 1)
     assert sorted(map(tuple, got.collect())) == [(1, 8, 5)]
+
+
+def test_other_companies_are_counted_without_pairs(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["x", "y", None]), r.choice([None, "A", "AB", "CD"])) for i in r.sample(range(4_000), 400)]
+    frame = spark.createDataFrame(rows, "id long, group string, name string")
+    got = jobs.other_companies(frame, "group", F.col("name"), F.lower("name"), F.lower)
+    want = {a: sum(g == h and j > a and not (n and n == m and len(n) >= 2) for j, h, m in rows) for a, g, n in rows if g}
+    assert {x.id: x.others for x in got.collect()} == {a: n for a, n in want.items() if n}
