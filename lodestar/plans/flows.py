@@ -115,9 +115,11 @@ def company_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def role_fit(spark: SparkSession, d: str) -> DataFrame:
     """How well people's roles fit what the projects of their nation ask for."""
-    p = people(spark, d).select(F.col("home").alias("work"), "role", "role_level")
-    pairs = projects(spark, d).select("work", "required_role").join(p, "work")
-    g = roles.with_affinity(pairs, spark).groupBy("required_role", "role", "role_level", "affinity").agg(F.count("*").alias("n"))
+    # Both sides are counted before they meet: pairs of people and projects aren't made.
+    p = people(spark, d).groupBy(F.col("home").alias("work"), "role", "role_level").agg(F.count("*").alias("people"))
+    q = projects(spark, d).groupBy("work", "required_role").agg(F.count("*").alias("projects"))
+    pairs = q.join(p, "work").groupBy("required_role", "role", "role_level").agg(F.sum(F.col("people") * F.col("projects")).alias("n"))
+    g = roles.with_affinity(pairs, spark).groupBy("required_role", "role", "role_level", "affinity").agg(F.sum("n").alias("n"))
     return g.select("required_role", "role", "role_level", F.round("affinity", 4).alias("affinity"), "n")
 
 

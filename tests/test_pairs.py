@@ -23,3 +23,13 @@ def test_other_companies_are_counted_without_pairs(spark):
     got = jobs.other_companies(frame, "group", F.col("name"), F.lower("name"), F.lower)
     want = {a: sum(g == h and j > a and not (n and n == m and len(n) >= 2) for j, h, m in rows) for a, g, n in rows if g}
     assert {x.id: x.others for x in got.collect()} == {a: n for a, n in want.items() if n}
+
+
+def test_role_fit_makes_no_pairs(spark, tmp_path):
+    from lodestar.plans.flows import role_fit
+
+    spark.range(1).selectExpr("cast(0 AS int) AS n_nationkey", "'n' AS n_name", "cast(0 AS int) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(400_000).selectExpr("id AS c_custkey", "'c' AS c_name", "cast(0 AS int) AS c_nationkey", "1.0D AS c_acctbal", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(200_000).selectExpr("id AS s_suppkey", "'s' AS s_name", "cast(0 AS int) AS s_nationkey", "1.0D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    home, work = sum(i % 19 != 0 for i in range(400_000)), sum(k % 12 != 0 for k in range(200_000))
+    assert role_fit(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == home * work  # 8e10 pairs
