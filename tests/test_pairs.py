@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import jobs
+from lodestar.operators import jobs, skills
 
 
 def test_newest_people_are_matched_alone(spark):
@@ -33,3 +33,16 @@ def test_role_fit_makes_no_pairs(spark, tmp_path):
     spark.range(200_000).selectExpr("id AS s_suppkey", "'s' AS s_name", "cast(0 AS int) AS s_nationkey", "1.0D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
     home, work = sum(i % 19 != 0 for i in range(400_000)), sum(k % 12 != 0 for k in range(200_000))
     assert role_fit(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == home * work  # 8e10 pairs
+
+
+def test_projects_that_ask_alike_are_held_against_once(spark):
+    r = random.Random(1)
+    kinds = [[(f"s{k}", r.choice([None, 3, 9])) for k in r.sample(range(6), 3)] for _ in range(4)]
+    asks = {p: r.choice(kinds) for p in range(2_500)}
+    needs = spark.createDataFrame([(p, s.upper(), m) for p, a in asks.items() for s, m in a], "project long, skill string, min_months long")
+    have = {i: {f"s{k}": r.choice([0, 4, 9]) for k in r.sample(range(6), 4)} for i in range(12)}
+    held = spark.createDataFrame([(i, s, m) for i, h in have.items() for s, m in h.items()], "id long, skill string, months long")
+    members, asked = skills.alike(needs, "min_months")
+    assert members.count() == 2_500 and asked.count() == 3 * len({str(sorted(map(str, a))) for a in asks.values()})
+    want = [(i, p) for i, h in have.items() for p, a in asks.items() if any(m for _, m in a) and all(h.get(s, 0) >= m for s, m in a if m)]
+    assert sorted((x.id, x.project) for x in skills.meets_all_years(held, needs).collect()) == sorted(want)
