@@ -46,3 +46,11 @@ def test_projects_that_ask_alike_are_held_against_once(spark):
     assert members.count() == 2_500 and asked.count() == 3 * len({str(sorted(map(str, a))) for a in asks.values()})
     want = [(i, p) for i, h in have.items() for p, a in asks.items() if any(m for _, m in a) and all(h.get(s, 0) >= m for s, m in a if m)]
     assert sorted((x.id, x.project) for x in skills.meets_all_years(held, needs).collect()) == sorted(want)
+
+
+def test_shown_pairs_alone_are_held_against_needs(spark):
+    needs = spark.createDataFrame([(p, s, 2, s == "c", False, True) for p in range(3) for s in "abc"], "project long, skill string, weight long, nice boolean, english boolean, tech boolean")
+    held = spark.createDataFrame([(1, "a", 5), (1, "c", 0), (2, "z", 1)], "id long, skill string, months long")
+    pairs = spark.createDataFrame([(1, 0, None), (2, 2, None)], "id long, project long, english string")
+    got = {(x.id, x.project): (x.hits, x.hit_weight, x.total, x.nice_hits, x.n_nice, x.longest) for x in jobs.shown_hits(needs, held, pairs).collect()}
+    assert got == {(1, 0): (1.0, 2.0, 4, 1, 1, 5), (2, 2): (0.0, 0.0, 4, 0, 1, None)}
