@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import jobs, skills
+from lodestar.operators import entities, jobs, skills
 
 
 def test_newest_people_are_matched_alone(spark):
@@ -54,3 +54,31 @@ def test_shown_pairs_alone_are_held_against_needs(spark):
     pairs = spark.createDataFrame([(1, 0, None), (2, 2, None)], "id long, project long, english string")
     got = {(x.id, x.project): (x.hits, x.hit_weight, x.total, x.nice_hits, x.n_nice, x.longest) for x in jobs.shown_hits(needs, held, pairs).collect()}
     assert got == {(1, 0): (1.0, 2.0, 4, 1, 1, 5), (2, 2): (0.0, 0.0, 4, 0, 1, None)}
+
+
+def _people(spark, seed, n=90):
+    r = random.Random(seed)
+    rows = [(i, r.choice("xy"), r.choice([None, "p", "q"]), r.choice([None, "n", "m"]), r.choice([None, 30, 31, 32]), r.choice([None, 1, 2, 4, 9]), r.sample("abcdef", r.randrange(0, 5)), r.choice("ef"), r.randrange(40)) for i in r.sample(range(1_000), n)]
+    return rows, spark.createDataFrame(rows, "id long, name string, station string, prefecture string, age int, experience_years int, skills array<string>, email string, subject int").withColumn("years", F.col("experience_years"))
+
+
+def _apart(a, b, least=5):
+    return any(x is not None and y is not None and x != y for x, y in ((a[2], b[2]), (a[3], b[3]))) or None not in (a[5], b[5]) and abs(a[5] - b[5]) >= least
+
+
+def test_duplicates_meet_where_nothing_speaks_against_them(spark):
+    rows, frame = _people(spark, 5)
+
+    def score(a, b):
+        known = lambda x, y: x is not None and x == y
+        least = min(len(a[6]), len(b[6]))
+        return 50 + 30 * known(a[2], b[2]) + 50 * (a[7] == b[7]) + 10 * (least > 0 and len({*a[6]} & {*b[6]}) / least >= 0.5) + 10 * (None not in (a[5], b[5]) and abs(a[5] - b[5]) <= 1)
+
+    want = sorted((a[0], b[0], score(a, b)) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and not _apart(a, b))
+    assert sorted(map(tuple, entities.shown_duplicates(frame, "name").collect())) == want
+    many = frame.withColumn("skills", F.concat("skills", F.when(F.col("id") == rows[0][0], F.transform(F.sequence(F.lit(0), F.lit(200)), lambda k: F.concat(F.lit("z"), k.cast("string")))).otherwise(F.array().cast("array<string>"))))
+    assert entities.with_bits(frame)[1] == 1 and entities.with_bits(many)[1] == 0
+    sizes = {rows[0][0]: 201}
+    plain = [r if r[0] not in sizes else (*r[:6], [*r[6], *(f"z{k}" for k in range(201))], *r[7:]) for r in rows]
+    want = sorted((a[0], b[0], score(a, b)) for a in plain for b in plain if a[0] != b[0] and a[1] == b[1] and not _apart(a, b))
+    assert sorted(map(tuple, entities.shown_duplicates(many, "name").collect())) == want
