@@ -82,3 +82,23 @@ def test_duplicates_meet_where_nothing_speaks_against_them(spark):
     plain = [r if r[0] not in sizes else (*r[:6], [*r[6], *(f"z{k}" for k in range(201))], *r[7:]) for r in rows]
     want = sorted((a[0], b[0], score(a, b)) for a in plain for b in plain if a[0] != b[0] and a[1] == b[1] and not _apart(a, b))
     assert sorted(map(tuple, entities.shown_duplicates(many, "name").collect())) == want
+
+
+def test_people_are_met_again_without_pairs(spark):
+    rows, frame = _people(spark, 6)
+    new = frame.where("id % 3 = 0")
+    for by, place in (("name", 1), ("station", 2)):
+
+        def agree(a, b):
+            near = None not in (a[5], b[5]) and abs(a[5] - b[5]) < 2
+            return a[8] == b[8] or sum(a[k] is not None and a[k] == b[k] for k in (2, 3, 4)) + near >= 2
+
+        met = [(a, [b for b in sorted(rows) if b[0] < a[0] and a[place] is not None and a[place] == b[place]]) for a in rows if a[0] % 3 == 0]
+        want = {a[0]: next(b[0] for b in found if agree(a, b)) for a, found in met if any(agree(a, b) for b in found)}
+        assert {x.me: x.id for x in jobs.met_by_facts(new, frame, by).collect()} == want
+        like = lambda a, b: len({*a[6]} & {*b[6]}) / len({*a[6]} | {*b[6]}) if a[6] or b[6] else 0
+        best = {a[0]: min(((-like(a, b), b[0]) for b in found if not _apart(a, b) and like(a, b) >= 0.3), default=None) for a, found in met}
+        bits, words = entities.with_bits(frame)
+        for p, n in ((frame, 0), (bits, words)):
+            got = jobs.met_by_skills(p.where("id % 3 = 0"), p, by, 0.3, n).collect()
+            assert {x.me: x.id for x in got} == {k: v[1] for k, v in best.items() if v}
