@@ -102,3 +102,10 @@ def test_people_are_met_again_without_pairs(spark):
         for p, n in ((frame, 0), (bits, words)):
             got = jobs.met_by_skills(p.where("id % 3 = 0"), p, by, 0.3, n).collect()
             assert {x.me: x.id for x in got} == {k: v[1] for k, v in best.items() if v}
+
+
+def test_marks_of_the_best_alone_are_counted(spark):
+    best = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1)], "project long, id long, rank int")
+    held = spark.createDataFrame([(7, "a"), (7, "b"), (7, "z"), (8, "b")], "id long, skill string")
+    needs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "z")], "project long, skill string")
+    assert sorted(map(tuple, jobs.refreshed_marks(best, held, needs).collect())) == [(1, 7, 1, 2, 2), (1, 8, 2, 1, 2), (2, 9, 1, 0, 1)]
