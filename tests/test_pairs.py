@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import entities, jobs, skills
+from lodestar.operators import entities, jobs, ranking, skills
 
 
 def test_newest_people_are_matched_alone(spark):
@@ -128,3 +128,22 @@ def test_people_who_differ_in_nothing_are_held_against_others_once(spark):
     many = spark.range(60_000).selectExpr("id", "'x' AS name", "transform(sequence(0, id % 12), k -> concat('s', k)) AS skills", "1 AS experience_years", "cast(null AS string) AS station", "cast(null AS string) AS prefecture", "cast(null AS int) AS age")
     found = entities.possible_duplicates(many, ["name"], entities.same_person_score("a", "b"), 0.4, 3)
     assert found.where("id in (0, 12, 59999)").orderBy("id", "rank").select("id", "other").collect() == [(0, 12), (0, 24), (0, 36), (12, 0), (12, 24), (12, 36), (59999, 11), (59999, 23), (59999, 35)]
+
+
+def test_only_contenders_are_held_against_projects(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice("xy"), float(r.randrange(6)), r.choice([float("inf"), *map(float, range(40))])) for i in r.sample(range(10_000), 1_500)]
+    frame = spark.createDataFrame(rows, "id long, place string, points double, cost double").repartition(5)
+    kept = {(x.place, x.id) for x in ranking.contenders(frame, ["place"], 3).collect()}
+    beats = lambda q, p: q[1] == p[1] and q[2] >= p[2] and q[3] <= p[3] and (q[2] > p[2] or q[0] < p[0])
+    assert kept == {(p[1], p[0]) for p in rows if sum(beats(q, p) for q in rows) < 3} and len(kept) < 300
+    for budget in (-1, 5, 17, 100):
+        best = sorted((-p[2] - 3 * (p[3] <= budget), p[0], p[1]) for p in rows if p[1] == "x")[:3]
+        assert all((place, i) in kept for _, i, place in best)
+
+
+def test_top_matches_make_no_pairs_of_all(spark):
+    from lodestar.plans.matching import top_matches
+
+    plan = top_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2  # people are thinned out within a nation, then within regions and all, before they meet projects
