@@ -15,6 +15,10 @@ from .staffing import PEOPLE, PROJECTS, ROLES, people, projects
 from .tables import table
 
 
+#: Files of a batch, where it is to hold all that there are.
+ALL_FILES = 2**31 - 1
+
+
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     return batches.daily_counts(batches.events_stream(spark, d), batches.folder(spark, "daily"))
 
@@ -80,11 +84,9 @@ def stream_marks_again(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_pages(spark: SparkSession, d: str) -> DataFrame:
     """Events in pages of 300, the oldest first."""
-    path = batches.folder(spark, "pages")
-    stream = pages.paged(spark, f"{d}/events.parquet", "event_id long, ts timestamp, event_type string", "ts", "event_id")
-    pages.read_all(stream, path, lambda page, number: page.withColumn("page", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/nr={number}"))
-    rows = spark.read.schema("event_id long, ts timestamp, event_type string, page long").parquet(f"{path}/rows")
-    return rows.groupBy("page").agg(F.count("*").alias("n"), F.min_by("event_id", "ts").alias("first"), F.max_by("event_id", "ts").alias("last"), F.sum("event_id").alias("ids"))
+    stream = batches.events_stream(spark, d, ALL_FILES).select("event_id", "ts", "event_type")
+    rows = pages.in_pages(stream, "ts", "event_id", batches.folder(spark, "pages"))
+    return rows.groupBy("page").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first"), F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("last"), F.sum("event_id").alias("ids"))
 
 
 def new_again(spark: SparkSession, d: str) -> DataFrame:

@@ -107,3 +107,23 @@ def test_pages_stop_and_go_on(spark, tmp_path):
     pages.read_all(source(), state, write)
     assert seen[11] == [900]
     assert pages._Reader({"path": table, "time": "ts", "key": "id", "limit": "1000"}, spark.read.parquet(table).schema).read({"at": None, "key": None, "done": False})[1]["done"]
+
+
+def test_a_batch_holds_many_pages(spark, tmp_path):
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    rows = [(i, START + HOUR * (i * 7 % 50)) for i in range(105)] + [(None, START), (500, None)]
+    spark.createDataFrame(rows, "id long, ts timestamp").repartition(4).write.parquet(table)
+    want = [i for t, i in sorted((t, i) for i, t in rows if t and i is not None)]
+    source = lambda: spark.readStream.schema("id long, ts timestamp").parquet(table)
+    read = lambda: [(r.page, r.id) for r in pages.in_pages(source(), "ts", "id", state, 10).orderBy("page", "ts", "id").collect()]
+    assert read() == [(k // 10, i) for k, i in enumerate(want)]
+    spark.createDataFrame([(900, START + HOUR * 900), (901, START)], "id long, ts timestamp").write.mode("append").parquet(table)
+    assert read() == [(k // 10, i) for k, i in enumerate(want)] + [(11, 901), (11, 900)] == read()
+
+
+def test_pages_of_many_rows_take_one_batch(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "timestamp_seconds(1700000000 + id * 7919 % 200000) AS ts").repartition(3).write.parquet(str(tmp_path / "table"))
+    stream = spark.readStream.schema("id long, ts timestamp").parquet(str(tmp_path / "table"))
+    got = pages.in_pages(stream, "ts", "id", str(tmp_path / "state"))  # 667 pages: one by one, as many batches
+    assert got.groupBy("page").count().selectExpr("count(*)", "min(count)", "sum(count)", "max(page)").first() == (667, 200, 200_000, 666)
+    assert len(list((tmp_path / "state" / "rows").glob("batch_=*"))) == 1
