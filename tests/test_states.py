@@ -127,3 +127,15 @@ def test_pages_of_many_rows_take_one_batch(spark, tmp_path):
     got = pages.in_pages(stream, "ts", "id", str(tmp_path / "state"))  # 667 pages: one by one, as many batches
     assert got.groupBy("page").count().selectExpr("count(*)", "min(count)", "sum(count)", "max(page)").first() == (667, 200, 200_000, 666)
     assert len(list((tmp_path / "state" / "rows").glob("batch_=*"))) == 1
+
+
+def test_many_keys_over_batches(spark, tmp_path):
+    """State is a table that batches join natively, of which the last few batches' alone is kept; key by key, 120,000 calls were made here."""
+    source, state = str(tmp_path / "files"), str(tmp_path / "state")
+    for i in range(5):
+        spark.range(30_000).selectExpr("concat('k', id) AS k", f"timestamp_seconds(1704067200 + {i * 2 * 86400} + id % 3600) AS ts").where(f"id % 2 = 0 or {i} in (0, 4)").coalesce(1).write.mode("append").parquet(source)
+    got = states.new_keys(stream(spark, source), ["k"], "ts", "1 minute", 3, state)
+    mark = 8 * 86400 + 3599 - 60  # odd keys are forgotten after the first batch, and come again in the last one, as far as the watermark goes
+    again = sum(i % 2 == 1 and 8 * 86400 + i % 3600 <= mark for i in range(30_000))
+    assert got.count() == 30_000 + again and got.where("k = 'k1'").count() == 2 and got.where("k = 'k2'").count() == 1
+    assert len(list((tmp_path / "state" / "state").iterdir())) == states.TURNS
