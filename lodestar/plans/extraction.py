@@ -136,6 +136,10 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
     marks = F.regexp_count(c, F.lit(r"[!|#*]"))
     rows = docs.select("doc_id", label.alias("label"), F.log1p(F.col("words")).alias("f_words"), F.log1p(marks.cast("double")).alias("f_marks"), (F.regexp_count(c, F.lit("[0-9]")) / (F.length(c) + 1)).alias("f_digits"), (F.regexp_count(c, F.lit(r"\n")) / (F.col("words") + 1)).alias("f_lines"))
     features = ["f_words", "f_marks", "f_digits", "f_lines"]
+    # Texts are read once: the scaler, the regression and the scores each go over these few numbers.
+    path = folder(spark, "quality")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     model = classifier.fitted(rows.where(F.col("label").isNotNull() & classifier.learns(F.col("doc_id"))), features, "label")
     return classifier.scored(model, rows)
 

@@ -58,3 +58,11 @@ def test_sweep_and_doubts_against_plain_loops(spark):
         assert (got.precision, got.recall, got.f1) == pytest.approx((precision, recall, f1))
     doubts = sorted((abs(r.p - 0.5), r.doc_id, round(r.p, 4)) for r in rows if r.label is None)[:20]
     assert [(r.doc_id, r.p) for r in extraction.classifier_doubts(spark, sf).collect()] == [(i, p) for _, i, p in doubts]
+
+
+def test_texts_are_read_once(spark):
+    """What is scored comes from numbers that were written, not from the texts again."""
+    from lodestar.plans import extraction
+
+    files = extraction._quality(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
