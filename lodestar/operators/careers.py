@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.durations import month_number
 from lodestar.functions.resume import without_links
+from lodestar.streaming.batches import folder
 
 from .intervals import union_length
 from .patterns import counted
@@ -209,17 +210,21 @@ def grid_skills(cells: DataFrame, today: int, key: str = "id") -> DataFrame:
     listed = (kind == "list") & ~F.col("marked") & ((F.col("share") >= VOTE) | F.coalesce(F.col("left_") == "label", F.lit(False)) | F.coalesce("under", F.lit(False)))
     skills = F.when(listed, named(F.col("value"))).when(kind == "text", within).when((kind == "mark") & F.col("head").isNotNull(), F.filter(F.array(F.col("head.value")), lambda x: is_skill(x)))
     c = c.withColumn("skills", skills)
-    dated = c.where("period is not null and size(skills) > 0").select(key, F.explode("skills").alias("skill"), "period.start", "period.end", F.lit(None).cast("int").alias("months"))
     nearest = F.last(F.when((kind == "list") & ~F.col("dated"), named(F.col("value"))), ignorenulls=True).over(right.rowsBetween(W.unboundedPreceding, -1))
-    lengths = c.withColumn("names", nearest).where("months is not null and not dated")
-    lengths = lengths.select(key, F.explode("names").alias("skill"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "months")
-    return dated.unionByName(lengths).withColumn("skill", F.lower("skill"))
+    c = c.withColumn("names", nearest)
+    # A cell says both of its kinds of things at once, so that tables are gone through only once.
+    nothing, said = F.lit(None).cast("int"), lambda x, start, end, months: F.struct(F.lower(x).alias("skill"), start.alias("start"), end.alias("end"), months.alias("months"))
+    dated = F.when(F.col("period").isNotNull(), F.transform("skills", lambda x: said(x, F.col("period.start"), F.col("period.end"), nothing)))
+    lengths = F.when(F.col("months").isNotNull() & ~F.col("dated"), F.transform("names", lambda x: said(x, nothing, nothing, F.col("months"))))
+    return c.select(key, F.explode(F.flatten(F.array_compact(F.array(dated, lengths)))).alias("s")).select(key, "s.*")
 
 
 def grid_months(cells: DataFrame, today: int, key: str = "id") -> DataFrame:
     """key, skill, months, stated, worked out of grids: worked is the union of the periods of a skill, stated the sum of its lengths in tables without
-    periods, months the larger. Empty cells count as absent; grids without a time have no rows."""
-    found = grid_skills(cells, today, key)
+    periods, months the larger. Empty cells count as absent; grids without a time have no rows. What cells say is written once, and read for both."""
+    said, path = grid_skills(cells, today, key), folder(cells.sparkSession, "grids")
+    said.write.parquet(path)
+    found = cells.sparkSession.read.schema(said.schema).parquet(path)
     worked = union_length(found.where("start is not null"), [key, "skill"]).select(key, "skill", F.col("covered").cast("long").alias("worked"))
     stated = found.where("months is not null").groupBy(key, "skill").agg(F.sum("months").cast("long").alias("stated"))
     both = worked.join(stated, [key, "skill"], "full")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestar.operators.careers import grid_months, text_months
+from lodestar.operators.careers import grid_months, grid_skills, text_months
 
 TODAY = 12 * 2024 + 6
 TEXTS = [
@@ -67,3 +67,11 @@ def test_grids(spark, shuffled):
     rows += [(52, 0, 0, 0, "2022.1~2022.2"), (52, 1, 0, 0, "Kotlin Go"), (52, 1, 0, 1, "会計の保守")]
     frame = spark.createDataFrame(rows[::-1] if shuffled else rows, "id long, table int, row int, col int, value string")
     assert months(grid_months(frame, TODAY)) == {i: want for i, (_, want) in enumerate(GRIDS) if want} | {None: {"kotlin": 2, "go": 2}}
+
+
+def test_tables_are_gone_through_once(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, "2020/01~2020/03"), (1, 0, 0, 1, "Java")], "id long, table int, row int, col int, value string")
+    assert "Union" not in grid_skills(cells, TODAY)._jdf.queryExecution().optimizedPlan().toString()
+    # What the months come from was written, so that it isn't made for each use again.
+    assert grid_months(cells, TODAY).inputFiles()
+    assert [(r.skill, r.months) for r in grid_months(cells, TODAY).collect()] == [("java", 3)]
