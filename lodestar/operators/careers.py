@@ -34,6 +34,9 @@ STATED = (
     (3, rf"(?:^|\n)\s*[●•・▪▶◆■○◇►➤※→]\s*({NAME})[ \t]*" + LENGTH),
     (4, rf"(?:^|\n)({NAME})\t+" + LENGTH + r"(?:以上|程度|超)?\s*(?:$|\n)"),
 )
+#: What a text must have for any length, and for each way of stating one; texts without it aren't searched.
+HAS_LENGTH = r"(?<![0-9])[0-9]{1,3} *[年ヶかカヵｶケ]"
+HAS = ("の経験がそれぞれ", "経験が|歴|の実績|の経験", r"[:(]\s*約? *[0-9]", "[●•・▪▶◆■○◇►➤※→]", r"\t")
 #: Months as text, what stands for today, and a span of both.
 MONTH = r"(?:(?:昭和|平成|令和|[SHR])\s*(?:元|[0-9]{1,2})\s*[年./]\s*[0-9]{1,2}\s*月?|(?:19|20)[0-9]{2}(?:\s*[年./-]\s*[0-9]{1,2}\s*月?|年?(?![0-9])))"
 TODAY = "現在|今|継続|在籍中|就業中"
@@ -53,15 +56,16 @@ def plain(c: Column) -> Column:
 def month_at(c: Column, today: int) -> Column:
     """Number of a month in a text; a year alone is its January, and words for now are `today`."""
     year = F.regexp_extract(c, r"^\s*((?:19|20)[0-9]{2})年?\s*$", 1).try_cast("int")
-    return F.when(c.rlike(TODAY), F.lit(today)).otherwise(F.coalesce(12 * year + 1, month_number(F.regexp_replace(c, r"(?<=[0-9元年])\s+|\s+(?=[年月./])", ""))))
+    # Each is made once; month_number names its text in many places.
+    close = F.array(F.regexp_replace(c, r"(?<=[0-9元年])\s+|\s+(?=[年月./])", ""))
+    return F.when(c.rlike(TODAY), F.lit(today)).otherwise(F.coalesce(12 * year + 1, F.transform(close, month_number)[0]))
 
 
 def with_span(df: DataFrame, column: str, today: int) -> DataFrame:
     """df with period: start and end of the first span of months in a plain text; null if there is none, it ends before it begins or is too long."""
     ends = F.transform(F.array(F.regexp_extract(column, SPAN, 1), F.regexp_extract(column, SPAN, 2)), lambda x: month_at(x, today))
-    df = df.withColumn("ends_", F.when(F.col(column).rlike(SPAN), ends))
-    start, end = F.col("ends_")[0], F.col("ends_")[1]
-    return df.withColumn("period", F.when((end - start).between(0, MOST_PERIOD - 1), F.struct(start.alias("start"), end.alias("end")))).drop("ends_")
+    period = lambda e: F.when((e[1] - e[0]).between(0, MOST_PERIOD - 1), F.struct(e[0].alias("start"), e[1].alias("end")))
+    return df.withColumn("period", F.when(F.col(column).rlike(SPAN), F.transform(F.array(ends), period)[0]))
 
 
 def stated_months(years: Column, months: Column) -> Column:
@@ -94,13 +98,14 @@ def lines_of(texts: DataFrame, key: str = "id") -> DataFrame:
 
 def statements(texts: DataFrame, key: str = "id") -> DataFrame:
     """key, skill, months: lengths that a text states for a skill. The surest way of stating counts; of those the longest."""
-    t = plain(F.col("text"))
+    t = F.col("text")
+    texts = texts.select(key, plain(t).alias("text")).where(t.rlike(HAS_LENGTH))
 
     def found(rank: int, pattern: str) -> Column:
         parts = [F.regexp_extract_all(t, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("name", "years", "months"), 1)]
         names = lambda x: F.split(x["name"], "[、,・/]|および|及び|と") if rank == 0 else F.array(x["name"])
         one = lambda x: F.struct(F.lit(-max(rank, 1)).alias("sure"), stated_months(x["years"], x["months"]).alias("months"), names(x).alias("names"))
-        return F.transform(F.arrays_zip(*parts), one)
+        return F.coalesce(F.when(t.rlike(HAS[rank]) & t.rlike(pattern), F.transform(F.arrays_zip(*parts), one)), F.array())
 
     each = texts.select(key, F.explode(F.concat(*(found(*shape) for shape in STATED))).alias("s")).where("s.months is not null")
     each = each.select(key, F.explode("s.names").alias("name"), F.struct("s.sure", "s.months").alias("s")).withColumn("name", cleaned(F.col("name"))).where(is_skill(F.col("name")))
@@ -135,6 +140,8 @@ def text_months(texts: DataFrame, today: int, key: str = "id") -> DataFrame:
     months: the larger of both. Null or empty texts, and texts that name no skill with a time, have no rows; rows that repeat a key are
     texts of one person. `today` (12 * year + month) is where a period that goes on ends.
     """
+    # Texts are long to search and may lie in few files; from here on a person's rows stay together.
+    texts = texts.select(key, "text").repartition(key)
     worked = union_length(project_skills(texts, today, key), [key, "skill"]).select(key, "skill", F.col("covered").alias("worked"))
     both = worked.join(statements(texts, key).withColumnRenamed("months", "stated"), [key, "skill"], "full")
     return both.select(key, "skill", F.greatest("stated", "worked").cast("long").alias("months"), F.col("stated").cast("long").alias("stated"), F.col("worked").cast("long").alias("worked"))
