@@ -20,7 +20,7 @@ def similar_people(spark: SparkSession, d: str) -> DataFrame:
         F.when(known, F.date_format("o_orderdate", "yyyy-MM")).alias("station"), F.when(known, F.col("o_custkey") % 30).alias("age"),
     )
     score = F.round(entities.same_person_score("a", "b"), 6)
-    return similar.similar_people(o.join(s, "id"), ["prefecture", "segment"], score, n=3).select("id", "other", "score", F.col("rank").cast("long").alias("rank"))
+    return similar.similar_people(o.join(s.hint("merge"), "id"), ["prefecture", "segment"], score, n=3).select("id", "other", "score", F.col("rank").cast("long").alias("rank"))
 
 
 SIMILAR = """
