@@ -147,3 +147,22 @@ def test_top_matches_make_no_pairs_of_all(spark):
 
     plan = top_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 2  # people are thinned out within a nation, then within regions and all, before they meet projects
+
+
+def test_same_people_are_compared_as_arrays(spark, monkeypatch):
+    r = random.Random(3)
+    known = lambda v: r.choice([None, None, v])
+    rows = [(i, r.choice("xxy"), r.choice([None, *[r.sample("abcdefg", r.randrange(0, 6)) for _ in range(9)]]), r.choice([None, 1, 4, 9]), known("p"), known(r.choice("nm")), known(r.choice([30, 31]))) for i in r.sample(range(1_000), 150)]
+    frame = spark.createDataFrame(rows, "id long, name string, skills array<string>, experience_years int, station string, prefecture string, age int")
+    many = frame.withColumn("skills", F.concat("skills", F.transform(F.sequence(F.lit(0), F.lit(130)), lambda k: F.concat(F.lit("z"), (k + F.col("id") % 3).cast("string")))))
+    for people in (frame, many):
+        score = F.round(entities.same_person_score("a", "b"), 6)
+        want = sorted(map(tuple, entities.possible_duplicates(people, ["name"], score, 0.4, 4).select("id", "other", "score", "rank").collect()))
+        for at_once, rows_at_once in ((8_192, 64), (7, 2)):
+            monkeypatch.setattr(entities, "BLOCK_AT_ONCE", at_once)
+            monkeypatch.setattr(entities, "ROWS_AT_ONCE", rows_at_once)
+            monkeypatch.setattr(entities, "SKILLS_AT_ONCE", 1_024 if rows_at_once > 2 else 3)
+            got = entities.same_people(people, ["name"], 0.4, 4)
+            assert sorted(map(tuple, got.select("id", "other", "score", "rank").collect())) == want
+    plan = entities.same_people(frame, ["name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
