@@ -269,8 +269,8 @@ def _namesakes(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicates_of_one(spark: SparkSession, d: str) -> DataFrame:
     p = _namesakes(spark, d)
-    found = entities.possible_duplicates(p.where((F.col("id") == 57) | (F.col("name") == 7)), ["name"], F.round(entities.same_person_score("a", "b"), 6))
-    return found.where("id = 57").select("other", "score")
+    found = entities.duplicates_of(p.where("name = 7"), p.where("id = 57"), ["name"], F.round(entities.same_person_score("a", "b"), 6))
+    return found.select("other", "score")
 
 
 def shown_duplicates(spark: SparkSession, d: str) -> DataFrame:

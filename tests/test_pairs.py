@@ -166,3 +166,16 @@ def test_same_people_are_compared_as_arrays(spark, monkeypatch):
             assert sorted(map(tuple, got.select("id", "other", "score", "rank").collect())) == want
     plan = entities.same_people(frame, ["name"])._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_one_person_meets_the_block_alone(spark):
+    from lodestar.plans.audits import duplicates_of_one
+
+    _, frame = _people(spark, 7, 60)
+    who = frame.orderBy("id").limit(3)
+    score = entities.same_person_score("a", "b")
+    want = entities.possible_duplicates(frame, ["name"], score, 0.2).join(who.select("id"), "id").select("id", "other", "score", "rank")
+    got = entities.duplicates_of(frame, who, ["name"], score, 0.2).select("id", "other", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    # No join of all with all of a block: what is scored is of one person.
+    assert "band_" not in duplicates_of_one(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
